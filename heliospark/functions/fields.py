@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from heliospark.functions.geometry import choose, clamp, cross, dot, norm, ratio
+from heliospark.functions.geometry import clamp, dot, ratio
 
 
 @dataclass(frozen=True)
@@ -104,12 +104,10 @@ class DipoleField:
         return F.when(on_cap, stretch + F.try_divide(F.lit(1.0), stretch)).otherwise(F.lit(2.0))
 
 
-def unit_gradient(b, jac, m=F):
+def unit_gradient(unit, size, jac):
     """Gradient of the unit field: (I - b b^T) J / |B|, as three rows."""
-    size = norm(*b, m)
-    unit = [ratio(c, size, m) for c in b]
     along = [unit[0] * jac[0][j] + unit[1] * jac[1][j] + unit[2] * jac[2][j] for j in range(3)]
-    return tuple(tuple(ratio(jac[i][j] - unit[i] * along[j], size, m) for j in range(3)) for i in range(3))
+    return tuple(tuple(F.try_divide(jac[i][j] - unit[i] * along[j], size) for j in range(3)) for i in range(3))
 
 
 def advect(gradient, d):
@@ -117,24 +115,12 @@ def advect(gradient, d):
     return tuple(dot(row, d) for row in gradient)
 
 
-def seed_basis(b, m=F):
-    """Two unit vectors normal to B, built on the axis least aligned with it (first one on ties)."""
-    size = norm(*b, m)
-    unit = tuple(ratio(c, size, m) for c in b)
-    ax, ay, az = (m.abs(c) for c in unit)
-    first = (ax <= ay) & (ax <= az)
-    second = ~first & (ay <= az)
-    one, nil = ax * 0.0 + 1.0, ax * 0.0
-    axis = (
-        choose(first, one, nil, m),
-        choose(second, one, nil, m),
-        choose(first | second, nil, one, m),
-    )
-    lean = dot(axis, unit)
-    u = tuple(a - lean * c for a, c in zip(axis, unit))
-    length = norm(*u, m)
-    u = tuple(ratio(c, length, m) for c in u)
-    return u, cross(unit, u)
+def least_aligned(unit):
+    """The axis least aligned with a unit vector (the first on ties), made normal to it; not unit length."""
+    ax, ay, az = (F.abs(c) for c in unit)
+    pick = F.when((ax <= ay) & (ax <= az), F.lit(0)).when(ay <= az, F.lit(1)).otherwise(F.lit(2))
+    lean = F.when(pick == 0, unit[0]).when(pick == 1, unit[1]).otherwise(unit[2])
+    return tuple((pick == k).cast("double") - lean * unit[k] for k in range(3))
 
 
 def reproject(d, b, normal, m=F):
@@ -149,32 +135,6 @@ def master_formula(a_f, b_f, a_b, b_b, prefactor, b0_squared, m=F):
     return ratio(prefactor, b0_squared, m) * total
 
 
-def assemble_q(u_b, v_b, u_f, v_f, b_b, b_f, foot_b, foot_f, b0, m=F):
-    """Perpendicular and classical squashing factor from both feet of a line."""
-    q = []
-    for kind in ("perpendicular", "radial"):
-        if kind == "perpendicular":
-            n_b, n_f = b_b, b_f
-            prefactor = norm(*b_f, m) * norm(*b_b, m)
-        else:
-            r_b, r_f = norm(*foot_b, m), norm(*foot_f, m)
-            n_b = tuple(ratio(c, r_b, m) for c in foot_b)
-            n_f = tuple(ratio(c, r_f, m) for c in foot_f)
-            prefactor = m.abs(dot(b_f, n_f) * dot(b_b, n_b))
-        q.append(
-            master_formula(
-                reproject(u_f, b_f, n_f, m),
-                reproject(v_f, b_f, n_f, m),
-                reproject(u_b, b_b, n_b, m),
-                reproject(v_b, b_b, n_b, m),
-                prefactor,
-                b0 * b0,
-                m,
-            )
-        )
-    return tuple(q)
-
-
 def safe_log10(value: Column) -> Column:
     """log10 of finite positive values, otherwise NULL."""
     usable = value.isNotNull() & ~F.isnan(value) & (value > 0) & (value < float("inf"))

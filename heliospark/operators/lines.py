@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliospark.functions import fields as fx
-from heliospark.functions.geometry import in_shell, norm
+from heliospark.functions.geometry import cart_to_sph, cross, dot, in_shell, norm
 from heliospark.functions.grid import GridSpec
 from heliospark.operators import stepper
 from heliospark.operators.blocks import BlockField
@@ -197,8 +197,6 @@ def _b_rows(field: GridField) -> DataFrame:
 def _superstep(half, tiling: Tiling, tile_nodes: DataFrame, spec: GridSpec, opt: TraceOptions) -> DataFrame:
     """Move each active half line as far as its tile reaches."""
     position = [F.element_at("state", k) for k in (1, 2, 3)]
-    from heliospark.functions.geometry import cart_to_sph
-
     fr, ft, _ = spec.index_of(*cart_to_sph(*position))
     keyed = half.withColumn("tile", tiling.tile_of(fr, ft))
 
@@ -321,11 +319,34 @@ def transport_lines(seeds: DataFrame, field, opt: TraceOptions | None = None) ->
     return fold_halves(trace_halves(seeds, field, opt, deviations=True), deviations=True)
 
 
-def with_seed_basis(seeds: DataFrame, field) -> DataFrame:
-    df = attach_b(seeds, field, ["line_id"])
-    u, w = fx.seed_basis(tuple(F.col(f"b_{c}") for c in "xyz"))
-    named = [c.alias(f"u_{n}") for c, n in zip(u, "xyz")] + [c.alias(f"w_{n}") for c, n in zip(w, "xyz")]
-    return df.select("*", *named)
+def vector(stem: str) -> tuple[Column, ...]:
+    return tuple(F.col(f"{stem}_{c}") for c in "xyz")
+
+
+def with_vector(df: DataFrame, stem: str, parts) -> DataFrame:
+    """Append a vector as three columns; steps built on it stay small expressions."""
+    return df.withColumns({f"{stem}_{c}": e for c, e in zip("xyz", parts)})
+
+
+def _unit(df: DataFrame, stem: str, source: str) -> DataFrame:
+    df = df.withColumn("_size", norm(*vector(source)))
+    return with_vector(df, stem, [F.try_divide(c, F.col("_size")) for c in vector(source)]).drop("_size")
+
+
+def with_seed_basis(seeds: DataFrame) -> DataFrame:
+    """Two unit vectors normal to B (columns b_*): u_* and w_*."""
+    df = with_vector(_unit(seeds, "_h", "b"), "_n", fx.least_aligned(vector("_h")))
+    df = _unit(df, "u", "_n")
+    df = with_vector(df, "w", cross(vector("_h"), vector("u")))
+    return df.drop(*[f"{s}_{c}" for s in ("_h", "_n") for c in "xyz"])
+
+
+def with_unit_gradient(df: DataFrame) -> DataFrame:
+    """Gradient g_ij of the unit field from b_* and its Jacobian j_ij."""
+    df = _unit(df, "_h", "b").withColumn("_m", norm(*vector("b")))
+    jac = [[F.col(f"j_{i}{j}") for j in range(3)] for i in range(3)]
+    grad = fx.unit_gradient(vector("_h"), F.col("_m"), jac)
+    return df.withColumns({f"g_{i}{j}": grad[i][j] for i in range(3) for j in range(3)}).drop("_h_x", "_h_y", "_h_z", "_m")
 
 
 def attach_foot_b(lines: DataFrame, field) -> DataFrame:
@@ -338,22 +359,33 @@ def attach_foot_b(lines: DataFrame, field) -> DataFrame:
 
 
 def assemble(lines: DataFrame) -> DataFrame:
-    """Append q_perp and q; NULL where a foot is missing."""
-    col = lambda stem: tuple(F.col(f"{stem}_{c}") for c in "xyz")
-    q_perp, q = fx.assemble_q(
-        col("u_b"), col("w_b"), col("u_f"), col("w_f"), col("b_b"), col("b_f"), col("foot_b"), col("foot_f"), F.col("b0")
-    )
+    """Append q_perp and q from feet, B at the feet, carried deviations and b0; NULL where a foot is missing.
+
+    The perpendicular factor slides deviations onto planes normal to B, the classical one onto the spheres.
+    """
+    kept = lines.columns
+    df = _unit(_unit(lines, "_r_b", "foot_b"), "_r_f", "foot_f")
+    for kind, stems in (("p", ("b_b", "b_f")), ("r", ("_r_b", "_r_f"))):
+        for side, stem in zip("bf", stems):
+            for d in "uw":
+                slid = fx.reproject(vector(f"{d}_{side}"), vector(f"b_{side}"), vector(stem))
+                df = with_vector(df, f"_{kind}{d}{side}", slid)
+    prefactor = {
+        "p": norm(*vector("b_f")) * norm(*vector("b_b")),
+        "r": F.abs(dot(vector("b_f"), vector("_r_f")) * dot(vector("b_b"), vector("_r_b"))),
+    }
     complete = classify(F.col("end_b"), F.col("end_f"))["is_complete"]
-    return lines.select(
-        "*",
-        F.when(complete, fx.null_if_nan(q_perp)).alias("q_perp"),
-        F.when(complete, fx.null_if_nan(q)).alias("q"),
-    )
+    out = []
+    for kind, name in (("p", "q_perp"), ("r", "q")):
+        parts = [vector(f"_{kind}{d}{side}") for side in "fb" for d in "uw"]
+        value = fx.master_formula(*parts, prefactor[kind], F.col("b0") * F.col("b0"))
+        out.append(F.when(complete, fx.null_if_nan(value)).alias(name))
+    return df.select(*kept, *out)
 
 
 def squash(seeds: DataFrame, field, opt: TraceOptions | None = None) -> DataFrame:
     """Squashing factors and line geometry of every seed."""
-    based = with_seed_basis(seeds, field)
+    based = with_seed_basis(attach_b(seeds, field, ["line_id"]))
     b0 = norm(F.col("b_x"), F.col("b_y"), F.col("b_z")).alias("b0")
     lines = transport_lines(based, field, opt).join(
         based.select("snapshot_id", "line_id", b0), ["snapshot_id", "line_id"]
