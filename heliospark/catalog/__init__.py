@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars",)
+MODULES = ("scalars", "stencils", "lines")
 
 
 def registered() -> tuple[dict, dict]:
