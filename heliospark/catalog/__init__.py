@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "stencils", "lines")
+MODULES = ("scalars", "stencils", "lines", "images", "pictures")
 
 
 def registered() -> tuple[dict, dict]:

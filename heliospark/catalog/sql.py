@@ -157,7 +157,7 @@ def stretch(columns: list[str], source: str, keep: str, anchor: str | None = Non
         for c in columns for n, p in (("lo", 0.01), ("hi", 0.995))
     )
     out = ", ".join(
-        f"coalesce(greatest(least((p.{c} - lo_{c})/CASE WHEN hi_{c} > lo_{c} THEN hi_{c} - lo_{c} ELSE 1e0 END, 1e0), 0e0), 0e0) AS {c}"
+        f"CASE WHEN p.{c} IS NULL THEN 0e0 ELSE greatest(least((p.{c} - lo_{c})/CASE WHEN hi_{c} > lo_{c} THEN hi_{c} - lo_{c} ELSE 1e0 END, 1e0), 0e0) END AS {c}"
         for c in columns
     )
     kept = ", ".join(f"p.{k.strip()}" for k in keep.split(","))

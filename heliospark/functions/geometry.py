@@ -23,6 +23,7 @@ def choose(condition, yes, no, m=F):
 
 
 def clamp(value, low, high, m=F):
+    """Hold a value between limits; as Columns a NULL becomes the lower limit, so guard it where it matters."""
     if m is np:
         return np.clip(value, low, high)
     if low is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -55,17 +56,27 @@ def thomson_intensity(rho, r, c_tan, c_pol, mode: str = "K", m=F):
     return polarized if mode == "pB" else 2.0 * c_tan - polarized
 
 
-def table_lookup(r, inner: float, outer: float, u: float, crossover: float, m=F, nodes: int = TABLE_NODES):
-    """Both coefficients read linearly in ln r from a table of log-spaced nodes.
+@lru_cache(maxsize=32)
+def coefficient_table(inner: float, outer: float, u: float, crossover: float) -> tuple[np.ndarray, np.ndarray]:
+    """Both coefficients at TABLE_NODES log-spaced radii."""
+    r = np.exp(np.linspace(math.log(inner), math.log(outer), TABLE_NODES))
+    return intensity_coefficients(r, u, crossover, np)
 
-    The two bracketing table entries are a closed form of the node number, so no table is built.
+
+def table_lookup(r, inner: float, outer: float, u: float, crossover: float, m=F):
+    """Both coefficients read linearly in ln r from the table, held at its ends.
+
+    The table has a fixed size, so as Columns it rides along as a folded array literal.
     """
     low, high = math.log(inner), math.log(outer)
-    step = (high - low) / (nodes - 1)
-    position = clamp((m.log(r) - low) / step, 0.0, nodes - 1.0, m)
-    below = m.floor(position)
-    above = clamp(below + 1, None, nodes - 1, m) if m is F else np.minimum(below + 1, nodes - 1)
-    share = position - below
-    lower = intensity_coefficients(m.exp(low + step * below), u, crossover, m)
-    upper = intensity_coefficients(m.exp(low + step * above), u, crossover, m)
-    return tuple(a * (1.0 - share) + b * share for a, b in zip(lower, upper))
+    top = TABLE_NODES - 1
+    position = clamp((m.log(r) - low) * (top / (high - low)), 0.0, float(top), m)
+    tables = coefficient_table(inner, outer, u, crossover)
+    if m is np:
+        below = position.astype(np.int64)
+        above, share = np.minimum(below + 1, top), position - below
+        return tuple(t[below] * (1.0 - share) + t[above] * share for t in tables)
+    below = F.floor(position).cast("int")
+    above, share = F.least(below + 1, F.lit(top)), position - below
+    arrays = [F.split(F.lit(",".join(map(repr, t.tolist()))), ",").cast("array<double>") for t in tables]
+    return tuple(F.get(t, below) * (1.0 - share) + F.get(t, above) * share for t in arrays)

@@ -219,9 +219,11 @@ def render_los(
     if density is not None:
         nodes = nodes.unionByName(tiling.spread(node_rows(density[0], ["ne"], kind=1, width=2), density[1]))
 
+    thick_spec = density[1] if density is not None else None
+
     def partial(tile_nodes, tile):
         block = block_of(tiling, spec, tile_nodes, tile, 2)
-        thick = block_of(tiling, density[1], tile_nodes, tile, 1, kind=1) if density is not None else None
+        thick = block_of(tiling, thick_spec, tile_nodes, tile, 1, kind=1) if thick_spec is not None else None
 
         def terms(p: _Samples):
             index = p.index(spec)
@@ -237,8 +239,8 @@ def render_los(
             mean_w = sum(weights) / 3.0
             scale = 1.0
             if thick is not None:
-                ne = thick.cubic(*p.index(density[1]))[0][:, 0]
-                table = rad.table_lookup(p.r, density[1].inner, density[1].outer, u, crossover, np)
+                ne = thick.cubic(*p.index(thick_spec))[0][:, 0]
+                table = rad.table_lookup(p.r, thick_spec.inner, thick_spec.outer, u, crossover, np)
                 scale = ne * rad.thomson_intensity(p.rho, p.r, *table, thomson, np)
             for w in weights:
                 yield np.where(valid, w * scale * value, 0.0)

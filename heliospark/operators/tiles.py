@@ -130,6 +130,8 @@ def tile_join(
     )
     group = keys + ["_share"]
     left, right = left.drop("_shares"), right.drop("_shares")
+    # both sides may come from one table: give the node side column identities of its own
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(evaluate, schema)
 
 
