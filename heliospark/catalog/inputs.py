@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from heliospark.functions.camera import Camera
 from heliospark.functions.grid import GridSpec
+from heliospark.session import ship_package
 
 GRID = GridSpec(5, 15, 20, inner=1.0, outer=2.5)
 CAMERA = Camera(fov=6.0, height=24, width=24)
@@ -162,7 +163,11 @@ def query(name: str, sql: str | None = None, digits: int = 6):
     """Register a query under an operator name, with the SQL that checks it where SQL can state it."""
 
     def register(build):
-        QUERIES[name] = lambda spark, sf_dir: rounded(build(Inputs(spark, sf_dir)), digits)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return rounded(build(Inputs(spark, sf_dir)), digits)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return build

@@ -190,7 +190,7 @@ def write_cfmesh(d: Inputs) -> str:
     corners = d.corners.withColumn("cell", F.col("cell_id") - snap * 250)
     cells = corners.groupBy("snapshot_id", "cell").agg(F.sort_array(F.collect_list(F.struct("slot", local("node_id").alias("n")))).alias("c"))
     states = d.points.where(F.col("pid") - snap * 1500 < 250).select("snapshot_id", (F.col("pid") - snap * 1500).alias("cell"), "v", "x", "y", "z")
-    value = [F.col("v") / 1e5, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("x"), F.col("y"), F.col("z"), F.lit(0.1), F.lit(0.0)]
+    value = [F.log("v"), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("x"), F.col("y"), F.col("z"), F.lit(0.1), F.lit(0.0)]
 
     def heads(part, *lines):
         numbered = d.snapshots.select("snapshot_id", F.posexplode(F.array(*[F.lit(t) for t in lines])).alias("k", "t"))
@@ -223,7 +223,7 @@ def snapshot_of_file():
     return F.regexp_extract("file", r"snapshot_id=(\d+)", 1).cast("long").alias("snapshot_id")
 
 
-MESH_SQL = {"st": "SELECT snapshot_id, pid - snapshot_id*1500 AS cell_id, v/1e5 AS rho, x AS b_x, y AS b_y, z AS b_z FROM points WHERE pid - snapshot_id*1500 < 250",
+MESH_SQL = {"st": "SELECT snapshot_id, pid - snapshot_id*1500 AS cell_id, ln(v) AS rho, x AS b_x, y AS b_y, z AS b_z FROM points WHERE pid - snapshot_id*1500 < 250",
             "ct": "SELECT c.snapshot_id, c.cell_id - c.snapshot_id*250 AS cell_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM corners c JOIN points p ON p.pid = c.node_id GROUP BY c.snapshot_id, c.cell_id"}
 MESH_CELLS = f"SELECT t.snapshot_id, t.cell_id, {r6(x='t.x', y='t.y', z='t.z', rho='s.rho', b_x='s.b_x', b_y='s.b_y', b_z='s.b_z')} FROM ct t JOIN st s ON s.snapshot_id = t.snapshot_id AND s.cell_id = t.cell_id"
 
@@ -259,7 +259,7 @@ def write_tecplot(d: Inputs) -> str:
     for k, c in enumerate("xyz"):
         parts.append(block(d.points, place, 1 + k, F.col(c)))
     states = d.points.where(place < 250)
-    for k, v in enumerate([F.col("v") / 1e5, *[F.lit(0.0)] * 3, F.col("x"), F.col("y"), F.col("z"), F.lit(0.1), F.lit(0.0)]):
+    for k, v in enumerate([F.log("v"), *[F.lit(0.0)] * 3, F.col("x"), F.col("y"), F.col("z"), F.lit(0.1), F.lit(0.0)]):
         parts.append(block(states, place, 4 + k, v))
     corners = d.corners.withColumn("n", F.col("node_id") - snap * 1500 + 1).groupBy("snapshot_id", (F.col("cell_id") - snap * 250).alias("cell"))
     bricks = corners.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "n"))), lambda e: e["n"].cast("string")).alias("c"))
@@ -329,7 +329,7 @@ def volume_provenance(d):
 
 
 @query("sink_sunjson", with_views("paths", "lines", more={"k": f"SELECT line_id FROM lines WHERE {LANDS}"}, final="""
-    SELECT p.snapshot_id, p.line_id, p.seq, (round(sqrt(x*x + y*y + z*z), 5) + 0e0) AS r, (round(degrees(asin(greatest(least(z/sqrt(x*x + y*y + z*z), 1e0), -1e0))), 5) + 0e0) AS lat,
+    SELECT p.snapshot_id, p.line_id, p.seq, (round(sqrt(x*x + y*y + z*z), 6) + 0e0) AS r, (round(degrees(asin(greatest(least(z/sqrt(x*x + y*y + z*z), 1e0), -1e0))), 6) + 0e0) AS lat,
     CASE WHEN l.end_b = 0 AND l.end_f = 0 THEN 'closed' ELSE 'open' END AS topology FROM paths p JOIN k ON k.line_id = p.line_id JOIN lines l ON l.line_id = p.line_id"""))
 def sink_sunjson(d):
     """Complete lines written as JSON, parsed back to vertices."""
@@ -338,10 +338,10 @@ def sink_sunjson(d):
     docs = sunjson.line_documents(lines, d.paths)
     geometry = F.from_json("geometry", "type string, coordinates array<array<double>>, colors array<array<int>>, thickness double, topology string")
     rows = docs.select("snapshot_id", "line_id", geometry.alias("g")).select("snapshot_id", "line_id", "g.topology", F.posexplode("g.coordinates").alias("k", "c"))
-    return rows.select("snapshot_id", "line_id", (F.col("k") + 1).alias("seq"), F.round(F.get("c", F.lit(0)), 5).alias("r"), F.round(F.get("c", F.lit(2)), 5).alias("lat"), "topology")
+    return rows.select("snapshot_id", "line_id", (F.col("k") + 1).alias("seq"), F.get("c", F.lit(0)).alias("r"), F.get("c", F.lit(2)).alias("lat"), "topology")
 
 
-@query("sink_frames", with_views("snapshots", "nodes", more={"pix": q.pixels()}, final=f"SELECT snapshot_id, pixel_id, prow, pcol, {r6(px='CAST(px AS FLOAT)', py='CAST(py AS FLOAT)', rho='CAST(rho AS FLOAT)', mean='CAST(CASE WHEN pcol % 3 = 0 THEN py ELSE (px + py)/2e0 END AS FLOAT)')} FROM pix"))
+@query("sink_frames", with_views("snapshots", "nodes", more={"pix": q.pixels()}, final=f"SELECT snapshot_id, pixel_id, prow, pcol, {r6(px='CAST(CAST(px AS FLOAT) AS DOUBLE)', py='CAST(CAST(py AS FLOAT) AS DOUBLE)', rho='CAST(CAST(rho AS FLOAT) AS DOUBLE)', mean='CAST(CAST(CASE WHEN pcol % 3 = 0 THEN py ELSE (px + py)/2e0 END AS FLOAT) AS DOUBLE)')} FROM pix"))
 def sink_frames(d):
     """Frames at rest; the channel mean leaves missing channels out."""
     from heliospark.operators.los import frame_mean

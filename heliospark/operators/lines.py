@@ -351,11 +351,24 @@ def with_unit_gradient(df: DataFrame) -> DataFrame:
 
 def attach_foot_b(lines: DataFrame, field) -> DataFrame:
     """B at both feet as b_b_* and b_f_*, NULL where a foot is missing."""
-    for tag in "bf":
-        lines = attach_b(
-            lines, field, ["line_id"], [f"b_{tag}_{c}" for c in "xyz"], [f"foot_{tag}_{c}" for c in "xyz"]
-        )
-    return lines
+    if not isinstance(field, GridField):
+        for tag in "bf":
+            lines = with_vector(lines, f"b_{tag}", field.b(*vector(f"foot_{tag}")))
+        return lines
+    # both feet go through one tile join
+    sides = [
+        F.struct(F.lit(tag).alias("side"), *[F.col(f"foot_{tag}_{c}").alias(c) for c in "xyz"]) for tag in "bf"
+    ]
+    keys = ["snapshot_id", "line_id"]
+    feet = lines.select(*keys, F.explode(F.array(*sides)).alias("_f")).select(*keys, "_f.*").where(F.col("x").isNotNull())
+    read = attach_b(feet, field, ["line_id", "side"])
+    pick = lambda tag, c: F.max(F.when(F.col("side") == tag, F.col(f"b_{c}"))).alias(f"b_{tag}_{c}")
+    return lines.join(read.groupBy(*keys).agg(*[pick(t, c) for t in "bf" for c in "xyz"]), keys, "left")
+
+
+def settled(df: DataFrame, field, label: str) -> DataFrame:
+    """A tile join reads its points twice (to count, then to read), so what feeds one is written once."""
+    return materialise(df, label) if isinstance(field, GridField) else df
 
 
 def assemble(lines: DataFrame) -> DataFrame:
@@ -385,12 +398,12 @@ def assemble(lines: DataFrame) -> DataFrame:
 
 def squash(seeds: DataFrame, field, opt: TraceOptions | None = None) -> DataFrame:
     """Squashing factors and line geometry of every seed."""
-    based = with_seed_basis(attach_b(seeds, field, ["line_id"]))
+    based = settled(with_seed_basis(attach_b(seeds, field, ["line_id"])), field, "seed-basis")
     b0 = norm(F.col("b_x"), F.col("b_y"), F.col("b_z")).alias("b0")
     lines = transport_lines(based, field, opt).join(
         based.select("snapshot_id", "line_id", b0), ["snapshot_id", "line_id"]
     )
-    return assemble(attach_foot_b(lines, field))
+    return assemble(attach_foot_b(settled(lines, field, "transported"), field))
 
 
 def squash_summary(result: DataFrame) -> DataFrame:

@@ -16,14 +16,15 @@ from heliospark.functions.camera import Camera
 from heliospark.functions.geometry import cart_to_sph, clamp
 from heliospark.functions.grid import GridSpec
 from heliospark.operators import generators as gen
-from heliospark.operators.tiles import (
-    Tiling, as_numpy, block_of, node_rows, nullable, tile_join,
-)
+from heliospark.operators.tiles import Tiling, as_numpy, block_of, node_rows, nullable, tile_join
+from heliospark.session import materialise
 
 PIXEL = ["snapshot_id", "pixel_id"]
 CHANNELS = (0, 1, 2)
 GLOW_OUTER = 1.15
 DISK_STEP = 0.005
+#: The tile join reads its rays twice; above this many samples per snapshot they are written instead of remade.
+RECOMPUTE_SAMPLES = 50_000_000
 
 
 # relational form, from a table of samples
@@ -180,6 +181,8 @@ def _tile_sums(pixel_table, nodes, tiling: Tiling, camera: Camera, step: float,
         )
 
     runs = _runs(pixel_table, tiling, look, outer, n)
+    if camera.n_pixels * n > RECOMPUTE_SAMPLES:
+        runs = materialise(runs, "ray-runs")
     sums = tile_join(runs, nodes, ["pixel_id", "k0"], evaluate, schema).groupBy(*PIXEL).agg(
         *[F.sum(c).alias(c) for c in names]
     )

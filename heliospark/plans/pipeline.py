@@ -115,8 +115,9 @@ def qmap_slice(
     df = sample_tiles(at, vol, spec, ["log_q"], ["seed_id"], mode="skip_nan", outside="null")
     if signs is None:
         return df.withColumn("radial_sign", F.lit(None).cast("long"))
-    df = sample_tiles(df, signs, sign_spec or spec, ["sign"], ["seed_id"])
-    return df.withColumn("radial_sign", F.signum("sign").cast("long")).drop("sign")
+    read = sample_tiles(at.select("snapshot_id", "seed_id", "x", "y", "z"), signs, sign_spec or spec, ["sign"], ["seed_id"])
+    sign = read.select("snapshot_id", "seed_id", F.signum("sign").cast("long").alias("radial_sign"))
+    return df.join(sign, ["snapshot_id", "seed_id"])
 
 
 def qmap_metrics(qmap: DataFrame) -> DataFrame:

@@ -56,23 +56,24 @@ def read_cfmesh(spark: SparkSession, path: str, variables: tuple[str, ...] | Non
     body = numbered(section_rows(rows.where(~F.col("line").startswith("!") & (F.trim("line") != "")), lists), ["file", "section"])
     body = body.withColumn("w", _words(F.col("line")))
     part = lambda name: body.where(F.col("section") == name)
-    number = lambda k, kind: F.get("w", F.lit(k)).cast(kind)
+    # filters may be evaluated in any order, so a cast must not fail on a row another filter drops
+    number = lambda k, kind: F.get("w", F.lit(k)).try_cast(kind)
     nodes = part("!LIST_NODE").select(
         "file", F.col("number").alias("node_id"), *[number(k, "double").alias(c) for k, c in enumerate("xyz")]
     )
     # an element line holds its node ids, then its state id
-    corners = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda c: c.cast("long"))
+    corners = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda c: c.try_cast("long"))
     elements = part("!LIST_ELEM").select(
-        "file", F.col("number").alias("cell_id"), corners.alias("node_ids"), F.element_at("w", -1).cast("long").alias("state_id")
+        "file", F.col("number").alias("cell_id"), corners.alias("node_ids"), F.try_element_at("w", F.lit(-1)).try_cast("long").alias("state_id")
     )
     states = part("!LIST_STATE").join(header.select("file", "n_equations"), "file").select(
         "file", F.col("number").alias("state_id"), *[number(k, "double").alias(n) for k, n in enumerate(names)]
     )
-    size = F.get("w", F.lit(0)).cast("int")
+    size = F.greatest(F.coalesce(F.get("w", F.lit(0)).try_cast("int"), F.lit(0)), F.lit(0))
     faces = body.where(F.col("section").startswith("face:")).select(
         "file", F.substring("section", 6, 1_000).alias("source_name"), F.col("number").alias("face_id"),
-        F.transform(F.slice("w", F.lit(3), size), lambda c: c.cast("long")).alias("node_ids"),
-        F.get("w", size + 2).cast("long").alias("adjacent_cell"),
+        F.transform(F.slice("w", F.lit(3), size), lambda c: c.try_cast("long")).alias("node_ids"),
+        F.get("w", size + 2).try_cast("long").alias("adjacent_cell"),
     )
     return Mesh(nodes, elements, states, faces, header, names)
 

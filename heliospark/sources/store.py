@@ -96,5 +96,6 @@ def content_hash(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
 
 
 def julian_date(ts: Column) -> Column:
-    """UTC timestamp to Julian date."""
-    return F.unix_micros(ts) / 86_400e6 + 2_440_587.5
+    """UTC wall-clock time (TIMESTAMP_NTZ) to Julian date."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz")) / 86_400e6 + 2_440_587.5

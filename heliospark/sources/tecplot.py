@@ -107,7 +107,7 @@ def read_tecplot(spark: SparkSession, path: str) -> ZoneTables:
     fields = [n for n in names[0] if n not in COORDINATES]
     if len(coordinates) != 3:
         raise ValueError(f"the nodal coordinates {tuple(COORDINATES)} are not all in the file")
-    pick = lambda n, out: F.max(F.when(F.col("name") == n, F.col("token").cast("double"))).alias(out)
+    pick = lambda n, out: F.max(F.when(F.col("name") == n, F.col("token").try_cast("double"))).alias(out)
     nodes = values.where(F.col("name").isin(coordinates)).groupBy("file", F.col("i").alias("node_id")).agg(
         *[pick(n, COORDINATES[n]) for n in coordinates]
     )
@@ -117,6 +117,6 @@ def read_tecplot(spark: SparkSession, path: str) -> ZoneTables:
     slot = F.array_position(F.array(*[F.lit(s) for s in PRISM_SLOTS]), (F.col("i") % BRICK).cast("int"))
     corners = values.where(F.col("name") == "#corners").select(
         "file", F.floor(F.col("i") / BRICK).cast("long").alias("cell_id"), (slot - 1).cast("long").alias("slot"),
-        (F.col("token").cast("long") - 1).alias("node_id"),
+        (F.col("token").try_cast("long") - 1).alias("node_id"),
     ).where(F.col("slot") >= 0)
     return ZoneTables(nodes, cells, corners, zones, tuple(RENAMED.get(n, n) for n in fields))
