@@ -357,9 +357,11 @@ def content_hash(d):
     return store.content_hash(d.spark, d.sf_dir, "*.parquet")
 
 
-@query("julian_date", with_views(final="SELECT event_id, (round(epoch_us(ts)/864e8 + 24405875e-1, 6) + 0e0) AS jd FROM events").replace("WITH \n", ""))
+@query("julian_date", f"""SELECT event_id, {big(jd_day='floor(jd)')}, {r6(jd_part='jd - floor(jd)')} FROM (SELECT event_id, epoch_us(ts)/864e8 + 24405875e-1 AS jd FROM events) a""")
 def julian_date(d):
-    return d.table("events").select("event_id", store.julian_date(F.col("ts")).alias("jd"))
+    """Day number and part of the day, so that rounding does not meet the limit of a double."""
+    jd = d.table("events").select("event_id", store.julian_date(F.col("ts")).alias("jd"))
+    return jd.select("event_id", F.floor("jd").alias("jd_day"), (F.col("jd") - F.floor("jd")).alias("jd_part"))
 
 
 # whole job: every snapshot's cells to finished pixels

@@ -67,7 +67,8 @@ def read_cfmesh(spark: SparkSession, path: str, variables: tuple[str, ...] | Non
         "file", F.col("number").alias("cell_id"), corners.alias("node_ids"), F.try_element_at("w", F.lit(-1)).try_cast("long").alias("state_id")
     )
     states = part("!LIST_STATE").join(header.select("file", "n_equations"), "file").select(
-        "file", F.col("number").alias("state_id"), *[number(k, "double").alias(n) for k, n in enumerate(names)]
+        "file", F.when(F.col("n_equations").isNotNull(), F.col("number")).alias("state_id"),
+        *[number(k, "double").alias(n) for k, n in enumerate(names)],
     )
     size = F.greatest(F.coalesce(F.get("w", F.lit(0)).try_cast("int"), F.lit(0)), F.lit(0))
     faces = body.where(F.col("section").startswith("face:")).select(
