@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliospark.functions.geometry import TWO_PI
+from heliospark.operators.tiles import as_numpy, tile_join
 from heliospark.session import materialise
 
 #: Cells a bucket may hold before buckets are halved.
@@ -30,12 +31,12 @@ def _bucket(edge: Column, scale: float) -> list[Column]:
 
 
 def _bucket_edges(cells: DataFrame, k: int) -> DataFrame:
-    """First bucket edge of each snapshot: about k/2 cells per bucket on average over the bounding box."""
+    """First bucket edge of each snapshot: a ball of that radius holds about 1.5 k cells on average over the box."""
     side = lambda c: F.max(c) - F.min(c)
     box = F.greatest(side("x"), side("y"), side("z"))
     n = F.count(F.lit(1))
     reach = F.greatest(*[F.max(F.abs(c)) for c in "xyz"]) * 1.7321
-    edge = box * F.pow(F.lit(k / 2.0) / n, F.lit(1.0 / 3.0))
+    edge = box * F.pow(F.lit(0.36 * k) / n, F.lit(1.0 / 3.0))
     return cells.groupBy("snapshot_id").agg(
         F.greatest(edge, F.lit(1e-12)).alias("_edge"), reach.alias("_reach"),
         n.alias("_count"),
@@ -64,21 +65,21 @@ def _shrink_crowded(cells: DataFrame, edges: DataFrame, limit: int = 8) -> DataF
 def knn_join(points: DataFrame, cells: DataFrame, k: int, id_col: str = "pid") -> DataFrame:
     """The k nearest cells of every point of the same snapshot, exactly; ties go to the smaller cell_id.
 
-    Buckets of one size are joined with their 26 neighbours; a point is settled once its k-th distance is
-    within what those buckets cover for sure, the rest goes on with buckets twice as wide. Cells at one
-    position beyond the k smallest ids can never be chosen and are dropped before any pair is made.
+    Space is cut into blocks two edges wide; a block's points meet the cells of the block and of a rim one
+    edge wide, in one task per block (several where many points share it). A point is settled once its k-th
+    cell lies within what the rim covers for sure; the rest goes on with blocks twice as wide. Cells at one
+    position beyond the k smallest ids can never be chosen and are dropped first.
     """
     copies = Window.partitionBy("snapshot_id", "x", "y", "z").orderBy("cell_id")
     sites = (
-        cells.select("snapshot_id", "cell_id", "x", "y", "z")
+        cells.select("snapshot_id", F.col("cell_id").cast("long").alias("cell_id"), "x", "y", "z")
         .withColumn("_copy", F.row_number().over(copies))
         .where(F.col("_copy") <= k)
         .drop("_copy")
     )
     edges = _shrink_crowded(sites, _bucket_edges(sites, k))
-    sites = sites.join(edges, "snapshot_id")
-    keep = ["snapshot_id", id_col, "x", "y", "z"]
-    waiting = points.select(*keep).join(edges, "snapshot_id")
+    sites = sites.join(edges.select("snapshot_id", "_edge"), "snapshot_id")
+    waiting = points.select("snapshot_id", id_col, "x", "y", "z").join(edges, "snapshot_id")
     settled, scale = [], 1.0
     while True:
         step = materialise(_knn_round(waiting, sites, k, id_col, scale), "knn-round")
@@ -97,27 +98,80 @@ def knn_join(points: DataFrame, cells: DataFrame, k: int, id_col: str = "pid") -
     )
 
 
+#: Block numbers of one axis lie within this of zero, so three of them pack into one key.
+_SPAN = 1 << 20
+
+
+def _block_key(numbers) -> Column:
+    key = F.lit(0).cast("long")
+    for n in numbers:
+        key = key * (2 * _SPAN) + (n + _SPAN)
+    return key.cast("long")
+
+
 def _knn_round(waiting: DataFrame, sites: DataFrame, k: int, id_col: str, scale: float) -> DataFrame:
-    keys = ["snapshot_id", "_x", "_y", "_z"]
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    asked = waiting.select("*", *_bucket(F.col("_edge"), scale))
+    rim = F.col("_edge") * scale
+    kept = waiting.columns
+    asked = waiting.withColumn("tile", _block_key([F.floor(F.col(c) / (2.0 * rim)) for c in "xyz"]))
+    held = sites
     for c in "xyz":
-        asked = asked.withColumn("_d", F.explode(near)).withColumn(f"_{c}", F.col(f"_{c}") + F.col("_d")).drop("_d")
-    asked = asked.select("snapshot_id", id_col, *[F.col(c).alias(f"p{c}") for c in "xyz"], "_x", "_y", "_z")
-    held = sites.select("snapshot_id", "cell_id", "x", "y", "z", *_bucket(F.col("_edge"), scale))
-    gap = F.sqrt(sum((F.col(c) - F.col(f"p{c}")) ** 2 for c in "xyz"))
-    pairs = asked.join(held, keys).select("snapshot_id", id_col, "cell_id", gap.alias("distance"))
-    order = Window.partitionBy("snapshot_id", id_col).orderBy("distance", "cell_id")
-    best = pairs.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
-    lists = best.groupBy("snapshot_id", id_col).agg(
-        F.sort_array(F.collect_list(F.struct("distance", "cell_id"))).alias("_near"), F.max("distance").alias("_far")
-    )
-    joined = waiting.join(lists, ["snapshot_id", id_col], "left")
-    wanted = F.least(F.lit(k), F.col("_count"))
-    everything = F.col("_edge") * scale >= F.col("_reach") + F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
-    enough = F.size("_near") >= wanted
-    done = F.coalesce((enough & (F.col("_far") <= F.col("_edge") * scale)) | everything, F.lit(False))
-    return joined.select(*waiting.columns, "_near", done.alias("_done"))
+        reach = F.sequence(F.floor((F.col(c) - rim) / (2.0 * rim)), F.floor((F.col(c) + rim) / (2.0 * rim)))
+        held = held.withColumn(f"_{c}", F.explode(reach))
+    held = held.select("snapshot_id", _block_key([F.col(f"_{c}") for c in "xyz"]).alias("tile"), "cell_id", "x", "y", "z")
+    pair = T.StructType([T.StructField("cell_id", T.LongType()), T.StructField("distance", T.DoubleType())])
+    schema = T.StructType(waiting.schema.fields + [T.StructField("_near", T.ArrayType(pair)), T.StructField("_done", T.BooleanType())])
+
+    def evaluate(rows: pa.Table, block: pa.Table) -> pa.Table:
+        block = block.sort_by("cell_id")
+        ids = block.column("cell_id").to_numpy(zero_copy_only=False)
+        xyz = np.stack([as_numpy(block, c) for c in "xyz"], axis=1)
+        at = np.stack([as_numpy(rows, c) for c in "xyz"], axis=1)
+        edge = as_numpy(rows, "_edge") * scale
+        offset = at - np.floor(at / (2.0 * edge[:, None])) * (2.0 * edge[:, None])
+        sure = edge + np.minimum(offset, 2.0 * edge[:, None] - offset).min(axis=1, initial=np.inf)
+        everything = edge >= as_numpy(rows, "_reach") + np.linalg.norm(at, axis=1)
+        sizes, near_ids, near_gaps = _nearest(at, xyz, ids, k)
+        wanted = np.minimum(k, as_numpy(rows, "_count"))
+        ends = np.cumsum(sizes)
+        far = np.full(len(at), np.inf)
+        far[sizes > 0] = near_gaps[ends[sizes > 0] - 1]
+        done = ((sizes >= wanted) & (far <= sure)) | everything
+        structs = pa.StructArray.from_arrays([pa.array(near_ids, pa.int64()), pa.array(near_gaps, pa.float64())], names=pair.names)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), structs)
+        return pa.Table.from_arrays([rows.column(c) for c in kept] + [lists, pa.array(done)], names=schema.names)
+
+    return tile_join(asked, held, [id_col], evaluate, schema)
+
+
+def _nearest(at: np.ndarray, xyz: np.ndarray, ids: np.ndarray, k: int):
+    """The k nearest of the given cells (sorted by id) per point: counts, then ids and distances end to end."""
+    n, m = len(at), len(xyz)
+    take = min(k, m)
+    gaps, picks = np.empty((n, take)), np.empty((n, take), dtype=np.int64)
+    pool = min(m, take + 8)
+    for lo in range(0, n if take else 0, rows_at_once(m)):
+        part = slice(lo, lo + rows_at_once(m))
+        d = np.sqrt(sum((at[part, c, None] - xyz[None, :, c]) ** 2 for c in range(3)))
+        if pool < m:
+            # a few more than needed, back in id order, so that a stable sort settles ties by id
+            near = np.sort(np.argpartition(d, pool - 1, axis=1)[:, :pool], axis=1)
+            some = np.take_along_axis(d, near, axis=1)
+            order = np.argsort(some, axis=1, kind="stable")
+            best = np.take_along_axis(near, order[:, :take], axis=1)
+            value = np.take_along_axis(some, order, axis=1)
+            # a tie that runs past the pool needs the whole row
+            tied = value[:, take - 1] == value[:, -1]
+            if tied.any():
+                best[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :take]
+        else:
+            best = np.argsort(d, axis=1, kind="stable")[:, :take]
+        picks[part], gaps[part] = best, np.take_along_axis(d, best, axis=1)
+    return np.full(n, take), ids[picks].ravel(), gaps.ravel()
+
+
+def rows_at_once(m: int) -> int:
+    """Points compared at a time, so that a block of distances stays small."""
+    return max(1, 2_000_000 // max(m, 1))
 
 
 def resample_nearest(points: DataFrame, cells: DataFrame, values: list[str], id_col: str = "pid") -> DataFrame:
