@@ -9,7 +9,13 @@ from heliospark.functions.grid import GridSpec, keys_slopes, keys_weights
 
 GHOST = 2
 MIN_KEPT_WEIGHT = 1e-6
-_CHUNK = 1 << 16
+#: Points read at a time: their partial sums stay in cache.
+_CHUNK = 1 << 11
+
+
+def _along(weights, values):
+    """Weighted sum of four vectors."""
+    return weights[0] * values[0] + weights[1] * values[1] + weights[2] * values[2] + weights[3] * values[3]
 
 
 class Block:
@@ -28,7 +34,7 @@ class Block:
         for c, column in enumerate(columns):
             core[(*at, c)] = column[keep]
         self.values = self._with_ghosts(core, lo_r - self.r0, self.r1 - hi_r, lo_t - self.t0, self.t1 - hi_t)
-        self._flat = self.values.reshape(-1, core.shape[3])
+        self._planes = np.ascontiguousarray(self.values.reshape(-1, core.shape[3]).T)
 
     def _with_ghosts(self, v, r_low, r_high, t_low, t_high):
         # theta beyond a pole reads the mirrored row half a turn away
@@ -58,7 +64,7 @@ class Block:
 
     def cubic(self, fr, ft, fp, gradient=False, skip_nan=False):
         """Tricubic values (n, C); with ``gradient`` also d/d(index) (n, 3, C)."""
-        n, width = len(fr), self._flat.shape[1]
+        n, width = len(fr), self.values.shape[3]
         value = np.empty((n, width))
         slope = np.empty((n, 3, width)) if gradient else None
         for lo in range(0, n, _CHUNK):
@@ -70,41 +76,43 @@ class Block:
         return value, slope
 
     def _cubic_chunk(self, fr, ft, fp, gradient, skip_nan):
-        _, n_t, n_p, width = self.values.shape
+        """Sum axis by axis; points run along the last axis, so every operation is one long vector."""
+        _, n_t, n_p, _ = self.values.shape
         start, frac = self._base(fr, ft, fp)
-        wr, wt = keys_weights(frac[0]), keys_weights(frac[1])
-        wp = np.stack(keys_weights(frac[2]), axis=1)
-        if gradient:
-            sr, st = keys_slopes(frac[0]), keys_slopes(frac[1])
-            sp = np.stack(keys_slopes(frac[2]), axis=1)
-            slope = np.zeros((len(fr), 3, width))
-        value = np.zeros((len(fr), width))
-        kept = np.zeros((len(fr), width))
-        lanes = start[:, None] + np.arange(4)
+        w_r, w_t, w_p = (keys_weights(f) for f in frac)
+        s_r, s_t, s_p = (keys_slopes(f) for f in frac) if gradient else (None, None, None)
+        total = slope = None
         for a in range(4):
+            rows = []
             for b in range(4):
-                row = self._flat[lanes + (a * n_t + b) * n_p]
-                w = (wr[a] * wt[b])[:, None]
+                first = start + (a * n_t + b) * n_p
+                taps = [self._planes.take(first + c, axis=1, mode="clip") for c in range(4)]
                 if skip_nan:
-                    good = np.isfinite(row)
-                    row = np.where(good, row, 0.0)
-                    kept += w * np.einsum("nk,nkc->nc", wp, good.astype(float))
-                along = np.einsum("nk,nkc->nc", wp, row)
-                value += w * along
-                if gradient:
-                    slope[:, 0] += (sr[a] * wt[b])[:, None] * along
-                    slope[:, 1] += (wr[a] * st[b])[:, None] * along
-                    slope[:, 2] += w * np.einsum("nk,nkc->nc", sp, row)
+                    good = [np.isfinite(v) for v in taps]
+                    taps = [np.where(g, v, 0.0) for g, v in zip(good, taps)]
+                    rows.append((_along(w_p, taps), _along(w_p, good)))
+                elif gradient:
+                    rows.append((_along(w_p, taps), _along(s_p, taps)))
+                else:
+                    rows.append((_along(w_p, taps),))
+            layer = [_along(w_t, [r[k] for r in rows]) for k in range(len(rows[0]))]
+            terms = [w_r[a] * v for v in layer]
+            total = terms if total is None else [x + y for x, y in zip(total, terms)]
+            if gradient:
+                tilt = [s_r[a] * layer[0], w_r[a] * _along(s_t, [r[0] for r in rows])]
+                slope = tilt if slope is None else [x + y for x, y in zip(slope, tilt)]
         if skip_nan:
-            usable = np.abs(kept) > MIN_KEPT_WEIGHT
-            value = np.where(usable, value / np.where(usable, kept, 1.0), np.nan)
-        return value, slope if gradient else None
+            usable = np.abs(total[1]) > MIN_KEPT_WEIGHT
+            return np.where(usable, total[0] / np.where(usable, total[1], 1.0), np.nan).T, None
+        if gradient:
+            return total[0].T, np.stack([slope[0].T, slope[1].T, total[1].T], axis=1)
+        return total[0].T, None
 
     def nearest(self, fr, ft, fp):
         """Values of the nearest node."""
         _, n_t, n_p, _ = self.values.shape
         br, bt, bp = (np.floor(f + 0.5).astype(np.int64) for f in (fr, ft, fp))
-        return self._flat[((br - self.r0) * n_t + bt - self.t0) * n_p + bp + GHOST]
+        return self._planes[:, ((br - self.r0) * n_t + bt - self.t0) * n_p + bp + GHOST].T
 
 
 class BlockField:

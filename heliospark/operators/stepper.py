@@ -182,12 +182,14 @@ def _land(lanes, at, y, h, k, reach, inner, outer) -> None:
     target = np.where(reach >= outer, outer, inner)
     poly = np.einsum("snd,sp->npd", k, np.asarray(DENSE))
 
-    def state(t):
-        powers = np.stack([t, t * t, t**3, t**4], axis=1)
-        return y + h[:, None] * np.einsum("np,npd->nd", powers, poly)
+    def state(t, width):
+        c = poly[:, :, :width]
+        t = t[:, None]
+        return y[:, :width] + h[:, None] * t * (c[:, 0] + t * (c[:, 1] + t * (c[:, 2] + t * c[:, 3])))
 
     def side(t):
-        return np.sign(np.sum(state(t)[:, :3] ** 2, axis=1) - target * target)
+        p = state(t, 3)
+        return np.sign(np.einsum("nd,nd->n", p, p) - target * target)
 
     low, high = np.zeros(len(at)), np.ones(len(at))
     start = side(low)
@@ -196,7 +198,7 @@ def _land(lanes, at, y, h, k, reach, inner, outer) -> None:
         same = side(middle) == start
         low, high = np.where(same, middle, low), np.where(same, high, middle)
     t = 0.5 * (low + high)
-    lanes.y[at] = state(t)
+    lanes.y[at] = state(t, y.shape[1])
     lanes.arc[at] += t * h
     lanes.code[at] = np.where(reach >= outer, OUTER, INNER)
     lanes.note(at, lanes.y[at, :3])

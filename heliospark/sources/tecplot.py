@@ -97,12 +97,18 @@ def read_tecplot(spark: SparkSession, path: str) -> ZoneTables:
     tokens = placed.select("file", "first", F.posexplode("w").alias("_k", "token")).select(
         "file", (F.col("first") + F.col("_k")).alias("n"), "token"
     )
-    blocks = _blocks(zones)
-    stray = F.when(F.col("start").isNull(), _fail("more than one zone, or values beyond it", "long"))
-    spans = blocks.withColumnRenamed("file", "_file")
+    # the body must hold exactly what the zone states; the check sits in a join key, so it always runs
+    held = body.groupBy("file").agg(F.sum(F.size("w")).alias("_held"))
+    stated = F.sum("length").over(Window.partitionBy("file"))
+    problem = F.when(F.col("_held") > F.col("_stated"), F.lit("more than one zone, or values beyond it")).otherwise(F.lit("the body is cut short"))
+    spans = (
+        _blocks(zones).withColumn("_stated", stated).join(held, "file", "left")
+        .withColumn("start", F.when(F.col("_held") == F.col("_stated"), F.col("start")).otherwise(F.raise_error(problem).cast("long")))
+        .select(F.col("file").alias("_file"), "name", "length", "start")
+    )
     inside = (F.col("n") >= F.col("start")) & (F.col("n") < F.col("start") + F.col("length"))
-    values = tokens.join(spans, (F.col("file") == F.col("_file")) & inside, "left")
-    values = values.select("file", "name", "nodal", F.coalesce(F.col("n") - F.col("start"), stray).alias("i"), "token")
+    values = tokens.join(spans, (F.col("file") == F.col("_file")) & inside)
+    values = values.select("file", "name", (F.col("n") - F.col("start")).alias("i"), "token")
     coordinates = [n for n in names[0] if n in COORDINATES]
     fields = [n for n in names[0] if n not in COORDINATES]
     if len(coordinates) != 3:

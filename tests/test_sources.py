@@ -75,12 +75,15 @@ def test_zone_file(spark, tmp_path, splitting):
 
 
 def test_zone_file_refusals(spark, tmp_path):
-    point, second = tmp_path / "p", tmp_path / "s"
-    point.mkdir(), second.mkdir()
+    point, second, short = tmp_path / "p", tmp_path / "s", tmp_path / "t"
+    point.mkdir(), second.mkdir(), short.mkdir()
+    (short / "a.plt").write_text(zoned().rsplit("\n", 2)[0] + "\n")
     (point / "a.plt").write_text(zoned(packing="POINT"))
     (second / "a.plt").write_text(zoned("1 2 3\n"))
     with pytest.raises(Exception, match="BLOCK"):
         tecplot.read_tecplot(spark, str(point)).nodes.collect()
+    with pytest.raises(Exception, match="cut short"):
+        tecplot.read_tecplot(spark, str(short)).cells.collect()
     with pytest.raises(Exception, match="more than one zone"):
         tecplot.read_tecplot(spark, str(second)).corners.collect()
 
