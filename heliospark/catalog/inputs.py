@@ -189,6 +189,10 @@ def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     return df.select(*out)
 
 
+def xyz() -> tuple:
+    return F.col("x"), F.col("y"), F.col("z")
+
+
 def r6(**columns: str) -> str:
     """Rounded select list of the checking query."""
     return ", ".join(f"(round({e}, 6) + 0e0) AS {n}" for n, e in columns.items())

@@ -321,6 +321,15 @@ def sink_volume(d):
     return out.select(*key, "log_q", "ne", "polarity", "sign")
 
 
+@query("src_volume", with_views("nodes", final=f"""SELECT snapshot_id, {r6(covered_fraction='avg(CASE WHEN log_q IS NOT NULL THEN 1e0 ELSE 0e0 END)')},
+    count(*) FILTER (WHERE CAST(log_q AS FLOAT) < {q.LOG_FLOOR}) AS sub_floor FROM nodes GROUP BY snapshot_id"""))
+def src_volume(d):
+    """A volume stored at single precision, loaded and measured."""
+    path = scratch_path(d.spark, "volume")
+    store.write_volume(path, d.volume, GRID, {"input": "orders"})
+    return vol.coverage(store.read_volume(d.spark, path)[0]["log_q"])
+
+
 @query("volume_provenance", with_views("nodes", more={"m": f"SELECT snapshot_id, count(*) FILTER (WHERE log_q < {q.LOG_FLOOR}) AS n FROM nodes GROUP BY snapshot_id"},
     final="SELECT snapshot_id, 'heliospark-volume-v1' AS format, '{\"path\": \"orders\"}' AS input, '{\"n_r\": 5}' AS field, '{\"builder\": \"paint\"}' AS volume, '{\"sub_floor\":' || n || '}' AS metrics FROM m"))
 def volume_provenance(d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heliospark.catalog import sql as q
-from heliospark.catalog.inputs import CAMERA, GRID, Inputs, big, query, r6, with_views
+from heliospark.catalog.inputs import CAMERA, GRID, Inputs, big, query, r6, with_views, xyz
 from heliospark.functions import fields as fx
 from heliospark.functions import geometry as g
 from heliospark.functions import imaging as im
@@ -15,7 +15,6 @@ from heliospark.functions.grid import GridSpec, index_columns, keys_slopes, keys
 from heliospark.operators import generators as gen
 from heliospark.operators import lines as ln
 
-X, Y, Z = (F.col(c) for c in "xyz")
 DIPOLE = fx.DipoleField()
 TILTED = Camera.from_sub_observer(30.0, 20.0, 35.0, fov=6.0, height=24, width=24)
 
@@ -108,7 +107,7 @@ SPH = with_views("points", more={"s": q.spherical("points", "pid")}, final="{}")
 
 @query("cart_to_sph", SPH.format(f"SELECT pid, {r6(r='r', theta='theta', phi='phi')} FROM s"))
 def cart_to_sph(d):
-    return d.points.select("pid", *named(g.cart_to_sph(X, Y, Z), "r theta phi"))
+    return d.points.select("pid", *named(g.cart_to_sph(*xyz()), "r theta phi"))
 
 
 @query("sph_to_cart", with_views("points", final=f"SELECT pid, {r6(x='x', y='y', z='z')} FROM points"))
@@ -120,31 +119,32 @@ def sph_to_cart(d):
     j_00='sin(theta)*cos(phi)', j_01='sin(theta)*sin(phi)', j_02='cos(theta)', j_10='cos(theta)*cos(phi)/r', j_11='cos(theta)*sin(phi)/r',
     j_12='-sin(theta)/r', j_20='-sin(phi)/(r*sin(theta))', j_21='cos(phi)/(r*sin(theta))', j_22='0e0')} FROM points"""))
 def coord_jacobian(d):
-    rows = g.coord_jacobian(X, Y, Z)
+    rows = g.coord_jacobian(*xyz())
     return d.points.select("pid", *[rows[i][j].alias(f"j_{i}{j}") for i in range(3) for j in range(3)])
 
 
 VEC = dict(r='v0*sin(theta)*cos(phi) + v1*sin(theta)*sin(phi) + v2*cos(theta)', t='v0*cos(theta)*cos(phi) + v1*cos(theta)*sin(phi) - v2*sin(theta)', p='-v0*sin(phi) + v1*cos(phi)')
 CAR = dict(x='v0*sin(theta)*cos(phi) + v1*cos(theta)*cos(phi) - v2*sin(phi)', y='v0*sin(theta)*sin(phi) + v1*cos(theta)*sin(phi) + v2*cos(phi)', z='v0*cos(theta) - v1*sin(theta)')
 V3 = "(SELECT *, v/1e5 AS v0, 1e0 - v/1e5 AS v1, v/3e5 AS v2 FROM points) a"
-COMPONENTS = (F.col("v") / 1e5, 1.0 - F.col("v") / 1e5, F.col("v") / 3e5)
+def components():
+    return F.col("v") / 1e5, 1.0 - F.col("v") / 1e5, F.col("v") / 3e5
 
 
 @query("vec_cart_to_sph", with_views("points", final=f"SELECT pid, {r6(v_r=VEC['r'], v_t=VEC['t'], v_p=VEC['p'])} FROM {V3}"))
 def vec_cart_to_sph(d):
-    return d.points.select("pid", *named(g.vec_cart_to_sph(*COMPONENTS, X, Y, Z), "v_r v_t v_p"))
+    return d.points.select("pid", *named(g.vec_cart_to_sph(*components(), *xyz()), "v_r v_t v_p"))
 
 
 @query("vec_sph_to_cart", with_views("points", final=f"SELECT pid, {r6(v_x=CAR['x'], v_y=CAR['y'], v_z=CAR['z'])} FROM {V3}"))
 def vec_sph_to_cart(d):
-    return d.points.select("pid", *named(g.vec_sph_to_cart(*COMPONENTS, X, Y, Z), "v_x v_y v_z"))
+    return d.points.select("pid", *named(g.vec_sph_to_cart(*components(), *xyz()), "v_x v_y v_z"))
 
 
 @query("vec_file_angles", with_views("points", final=f"""SELECT pid, {r6(b_x=CAR['x'], b_y=CAR['y'], b_z=CAR['z'])}
     FROM (SELECT pid, v0, v1, v2, phi, theta*11e-1 - 1e-1 AS theta FROM {V3}) b"""))
 def vec_file_angles(d):
     theta = F.col("theta") * 1.1 - 0.1
-    return d.points.select("pid", *named(g.vec_file_angles(*COMPONENTS, theta, F.col("phi")), "b_x b_y b_z"))
+    return d.points.select("pid", *named(g.vec_file_angles(*components(), theta, F.col("phi")), "b_x b_y b_z"))
 
 
 # grid maps
@@ -173,7 +173,7 @@ IDX = with_views("points", more={"s": q.spherical("points", "pid"), "i": q.index
 @query("index_map", IDX.format(f"SELECT pid, {r6(fr='fr', ft='ft', fp='fp', d_r='4e0/(r*ln(25e-1))', d_t='15e0/pi()', d_p='10e0/pi()')} FROM i"))
 def index_map(d):
     slope = GRID.index_slope(F.col("r"))
-    return d.points.select("pid", *named(index_columns(GRID, X, Y, Z), "fr ft fp"), slope[0].alias("d_r"), F.lit(slope[1]).alias("d_t"), F.lit(slope[2]).alias("d_p"))
+    return d.points.select("pid", *named(index_columns(GRID, *xyz()), "fr ft fp"), slope[0].alias("d_r"), F.lit(slope[1]).alias("d_t"), F.lit(slope[2]).alias("d_p"))
 
 
 CELL = "least(r*ln(25e-1)/4e0, r*pi()/15e0, greatest(r*sin(theta)*pi()/10e0, r*pi()/15e0))"
@@ -189,7 +189,7 @@ VOXEL = "(least(greatest(floor(fr), 0), 4)*15 + least(greatest(floor(ft), 0), 14
 
 @query("voxel_bin", IDX.format(f"SELECT pid, {big(voxel=VOXEL)} FROM i"))
 def voxel_bin_(d):
-    return d.points.select("pid", voxel_bin(GRID, X, Y, Z).alias("voxel"))
+    return d.points.select("pid", voxel_bin(GRID, *xyz()).alias("voxel"))
 
 
 CELL_R = "sqrt(x*x + y*y + z*z)"
@@ -197,7 +197,7 @@ CELL_R = "sqrt(x*x + y*y + z*z)"
 
 @query("in_domain", with_views("cells", final=f"SELECT cell_id, {CELL_R} >= 1e0 AND {CELL_R} <= 25e-1 AS inside FROM cells"))
 def in_domain(d):
-    return d.cells.select("cell_id", g.in_shell(g.norm(X, Y, Z), 1.0, 2.5).alias("inside"))
+    return d.cells.select("cell_id", g.in_shell(g.norm(*xyz()), 1.0, 2.5).alias("inside"))
 
 
 @query("require_interior", with_views("points", final="SELECT snapshot_id, count(*) AS n_inside FROM points GROUP BY snapshot_id"))
@@ -213,12 +213,12 @@ KEPT = f"greatest(least({CELL_R}, 25e-1*(1e0 - 1e-9)), 1e0*(1e0 + 1e-9))/{CELL_R
 
 @query("clip_radius", with_views("cells", final=f"SELECT cell_id, {r6(x=f'x*{KEPT}', y=f'y*{KEPT}', z=f'z*{KEPT}')} FROM cells"))
 def clip_radius(d):
-    return d.cells.select("cell_id", *named(g.clip_radius(X, Y, Z, 1.0, 2.5), "x y z"))
+    return d.cells.select("cell_id", *named(g.clip_radius(*xyz(), 1.0, 2.5), "x y z"))
 
 
 @query("radial_distance", with_views("cells", final=f"SELECT cell_id, {r6(r=CELL_R)} FROM cells"))
 def radial_distance(d):
-    return d.cells.select("cell_id", g.norm(X, Y, Z).alias("r"))
+    return d.cells.select("cell_id", g.norm(*xyz()).alias("r"))
 
 
 def _dot(v) -> str:
@@ -230,7 +230,7 @@ LOOK, RIGHT, UP = TILTED.basis()
 
 @query("project_points", with_views("points", final=f"SELECT pid, {r6(pcol=f'{_dot(RIGHT)}/25e-2 + 115e-1', prow=f'115e-1 - {_dot(UP)}/25e-2', depth=_dot(LOOK))} FROM points"))
 def project_points(d):
-    return d.points.select("pid", *named(TILTED.project(X, Y, Z), "pcol prow depth"))
+    return d.points.select("pid", *named(TILTED.project(*xyz()), "pcol prow depth"))
 
 
 # closed-form field
@@ -252,8 +252,8 @@ DIPOLE_STEP = {"dip": "SELECT pid, r, theta, x, y, z, " + ", ".join(f"{e} AS b_{
 
 @query("dipole_field", with_views("points", more=DIPOLE_STEP, final=f"SELECT pid, {r6(**{n: n for n in ('b_x', 'b_y', 'b_z', *JAC)})} FROM dip"))
 def dipole_field(d):
-    rows = DIPOLE.jacobian(X, Y, Z)
-    return d.points.select("pid", *named(DIPOLE.b(X, Y, Z), "b_x b_y b_z"), *[rows[i][j].alias(f"j_{i}{j}") for i in range(3) for j in range(3)])
+    rows = DIPOLE.jacobian(*xyz())
+    return d.points.select("pid", *named(DIPOLE.b(*xyz()), "b_x b_y b_z"), *[rows[i][j].alias(f"j_{i}{j}") for i in range(3) for j in range(3)])
 
 
 FLUX = "(r*r + 3125e-2/r)"
@@ -261,7 +261,7 @@ FLUX = "(r*r + 3125e-2/r)"
 
 @query("dipole_flux", with_views("points", final=f"SELECT pid, {r6(flux=f'{FLUX}*sin(theta)*sin(theta)')} FROM points"))
 def dipole_flux(d):
-    return d.points.select("pid", DIPOLE.flux(X, Y, Z).alias("flux"))
+    return d.points.select("pid", DIPOLE.flux(*xyz()).alias("flux"))
 
 
 @query("dipole_separatrix", with_views("points", final=f"SELECT pid, {r6(theta=f'asin(sqrt(1875e-2/{FLUX}))')} FROM points"))
@@ -302,8 +302,8 @@ UG = {"n": f"SELECT *, {MAG} AS m, b_x/{MAG} AS h_0, b_y/{MAG} AS h_1, b_z/{MAG}
 
 @query("unit_gradient", with_views("points", more=DIPOLE_STEP | UG, final=f"SELECT pid, {r6(**{f'g_{i}{j}': f'g_{i}{j}' for i in range(3) for j in range(3)}, **{f'd_{i}': f'g_{i}0*1e0 + g_{i}1*2e0 - g_{i}2' for i in range(3)})} FROM gr"))
 def unit_gradient(d):
-    rows = DIPOLE.jacobian(X, Y, Z)
-    df = d.points.select("pid", *named(DIPOLE.b(X, Y, Z), "b_x b_y b_z"), *[rows[i][j].alias(f"j_{i}{j}") for i in range(3) for j in range(3)])
+    rows = DIPOLE.jacobian(*xyz())
+    df = d.points.select("pid", *named(DIPOLE.b(*xyz()), "b_x b_y b_z"), *[rows[i][j].alias(f"j_{i}{j}") for i in range(3) for j in range(3)])
     df = ln.with_unit_gradient(df)
     grad = [[F.col(f"g_{i}{j}") for j in range(3)] for i in range(3)]
     moved = fx.advect(grad, (F.lit(1.0), F.lit(2.0), F.lit(-1.0)))
@@ -329,9 +329,9 @@ SAFE = "abs(b_x*x + b_y*y + b_z*z) > 1e-3"
 @query("reproject", with_views("points", more=DIPOLE_STEP | {"dv": "SELECT *, 1e0 AS d_0, 2e0 AS d_1, -1e0 AS d_2 FROM dip"}, final=f"""
     SELECT pid, {r6(**{f'd_{c}': f'CASE WHEN {SAFE} THEN d_{k} - {SLIDE}*b_{c} END' for k, c in enumerate('xyz')})} FROM dv"""))
 def reproject(d):
-    b = DIPOLE.b(X, Y, Z)
-    out = fx.reproject((F.lit(1.0), F.lit(2.0), F.lit(-1.0)), b, (X, Y, Z))
-    safe = F.abs(g.dot(b, (X, Y, Z))) > 1e-3
+    b = DIPOLE.b(*xyz())
+    out = fx.reproject((F.lit(1.0), F.lit(2.0), F.lit(-1.0)), b, xyz())
+    safe = F.abs(g.dot(b, xyz())) > 1e-3
     return d.points.select("pid", *[F.when(safe, c).alias(f"d_{n}") for c, n in zip(out, "xyz")])
 
 
@@ -345,7 +345,7 @@ AF, BF, AB, BB = ("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"), ("v/1e5", "x
 @query("master_formula", with_views("points", final=f"""SELECT pid, {r6(q=f"(v/1e5)/(r*r)*({_dots(AF, AF)}*{_dots(BB, BB)} + {_dots(AB, AB)}*{_dots(BF, BF)} - 2e0*{_dots(AF, BF)}*{_dots(AB, BB)})")} FROM points"""))
 def master_formula(d):
     v = F.col("v") / 1e5
-    q_ = fx.master_formula((X, Y, Z), (Y, Z, X), (Z, X, Y), (v, X, F.lit(1.0)), v, F.col("r") * F.col("r"))
+    q_ = fx.master_formula(xyz(), (F.col("y"), F.col("z"), F.col("x")), (F.col("z"), F.col("x"), F.col("y")), (v, F.col("x"), F.lit(1.0)), v, F.col("r") * F.col("r"))
     return d.points.select("pid", q_.alias("q"))
 
 
@@ -426,7 +426,7 @@ def thomson_intensity(d):
 @query("channel_weights", with_views("points", more={"w": f"SELECT pid, {q.weights()}, " + ", ".join(f"exp(-r/({h}e0/6957e-1)) AS n_{k}" for k, h in enumerate((21, 84, 140))) + " FROM (SELECT pid, r, z AS s FROM points) a"},
     final=f"SELECT pid, {r6(**{c: c for c in ('w_0', 'w_1', 'w_2', 'n_0', 'n_1', 'n_2')})} FROM w"))
 def channel_weights(d):
-    wide, near = im.LARGE_FOV.weights(Z, F.col("r")), im.SMALL_FOV.weights(Z, F.col("r"))
+    wide, near = im.LARGE_FOV.weights(F.col("z"), F.col("r")), im.SMALL_FOV.weights(F.col("z"), F.col("r"))
     return d.points.select("pid", *named(wide, "w_0 w_1 w_2"), *named(near, "n_0 n_1 n_2"))
 
 
@@ -435,12 +435,12 @@ RHO = "sqrt(y*y + z*z)"
 
 @query("occult_mask", with_views("points", final=f"SELECT pid, {RHO} < 12e-1 AND x < -sqrt(greatest(144e-2 - {RHO}*{RHO}, 0e0)) AS hidden FROM points"))
 def occult_mask(d):
-    return d.points.select("pid", im.occulted(F.sqrt(Y * Y + Z * Z), X, 1.2).alias("hidden"))
+    return d.points.select("pid", im.occulted(F.sqrt(F.col("y") * F.col("y") + F.col("z") * F.col("z")), F.col("x"), 1.2).alias("hidden"))
 
 
 @query("eclipse_alpha", with_views("points", final=f"SELECT pid, {r6(soft=q.alpha(RHO, '1e0', '3e-1'), hard=f'CASE WHEN {RHO} >= 1e0 THEN 1e0 ELSE 0e0 END')} FROM points"))
 def eclipse_alpha(d):
-    rho = F.sqrt(Y * Y + Z * Z)
+    rho = F.sqrt(F.col("y") * F.col("y") + F.col("z") * F.col("z"))
     return d.points.select("pid", im.eclipse_alpha(rho, 1.0, 0.3).alias("soft"), im.eclipse_alpha(rho, 1.0, 0.0).alias("hard"))
 
 
@@ -483,7 +483,7 @@ def slog_q(d):
 @query("sunjson_coords", with_views("paths", more={"a": "SELECT *, degrees(atan2(y, x)) AS l, sqrt(x*x + y*y + z*z) AS r FROM paths"},
     final=f"SELECT line_id, seq, {r6(r='r', lon='CASE WHEN l < 0 THEN l + 36e1 ELSE l END', lat='degrees(asin(greatest(least(z/r, 1e0), -1e0)))')} FROM a"))
 def sunjson_coords(d):
-    return d.paths.select("line_id", "seq", *named(im.sun_coordinates(X, Y, Z), "r lon lat"))
+    return d.paths.select("line_id", "seq", *named(im.sun_coordinates(*xyz()), "r lon lat"))
 
 
 FR = "((r - 1e0)/15e-1)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heliospark.catalog import sql as q
-from heliospark.catalog.inputs import GRID, Inputs, big, query, r6, with_views
+from heliospark.catalog.inputs import GRID, Inputs, big, query, r6, with_views, xyz
 from heliospark.functions import radiation as rad
 from heliospark.functions.geometry import cart_to_sph
 from heliospark.operators import resample as rs
@@ -14,7 +14,6 @@ from heliospark.operators.lookup import interp_table
 from heliospark.operators.resample import StructuredBlock
 from heliospark.operators.tiles import nearest_voxel, sample_tiles
 
-X, Y, Z = (F.col(c) for c in "xyz")
 ID = ["pid"]
 KEEP = "snapshot_id, pid"
 
@@ -25,14 +24,14 @@ GHOSTS = with_views("points", more={"s": q.spherical("points", "pid"), "i": q.in
 @query("ghost_theta", GHOSTS.format(f"""SELECT pid, CASE WHEN {RAW_T} < 0 THEN -1 - ({RAW_T}) ELSE {RAW_T} END AS i_t,
     ({RAW_P} + CASE WHEN {RAW_T} < 0 THEN 10 ELSE 0 END + 20) % 20 AS i_p FROM i"""))
 def ghost_theta(d: Inputs):
-    _, ft, fp = GRID.index_of(*cart_to_sph(X, Y, Z))
+    _, ft, fp = GRID.index_of(*cart_to_sph(*xyz()))
     i_t, i_p = st.ghost_theta(GRID, F.floor(ft) - 1, F.floor(fp) - 1)
     return d.points.select("pid", i_t.alias("i_t"), i_p.alias("i_p"))
 
 
 @query("ghost_phi", GHOSTS.format(f"SELECT pid, ({RAW_P} + 20) % 20 AS i_p FROM i"))
 def ghost_phi(d):
-    _, _, fp = GRID.index_of(*cart_to_sph(X, Y, Z))
+    _, _, fp = GRID.index_of(*cart_to_sph(*xyz()))
     return d.points.select("pid", st.ghost_phi(GRID, F.floor(fp) - 1).alias("i_p"))
 
 
@@ -98,7 +97,7 @@ NEAR_T = "CAST(floor(ft + 5e-1) AS BIGINT)"
     (CAST(floor(fp + 5e-1) AS BIGINT) + CASE WHEN {NEAR_T} > 14 THEN 10 ELSE 0 END) % 20 AS i_p FROM i"""},
     final=f"SELECT snapshot_id, pid, {big(polarity='v.polarity')} FROM n JOIN nodes v USING (snapshot_id, i_r, i_t, i_p)"))
 def sample_nearest(d):
-    i_r, i_t, i_p = nearest_voxel(GRID, X, Y, Z)
+    i_r, i_t, i_p = nearest_voxel(GRID, *xyz())
     keyed = d.points.select("snapshot_id", "pid", i_r.alias("i_r"), i_t.alias("i_t"), i_p.alias("i_p"))
     return keyed.join(d.volume.select("snapshot_id", "i_r", "i_t", "i_p", "polarity"), st.NODE_KEY).select("snapshot_id", "pid", "polarity")
 
@@ -181,7 +180,7 @@ def mls_normal(d):
 def mls_fit(d):
     """The cells' field is linear in position, so the fit must return it everywhere."""
     fit = rs.mls_fit(d.points, d.cells, ["b_x", "b_y", "b_z"], 30).join(d.points.select("pid", "x", "y", "z"), "pid")
-    exact = (0.3 + 0.5 * X - 0.2 * Y + 0.1 * Z, -0.7 + 0.4 * Y - 0.3 * Z, 1.1 + 0.2 * X + 0.1 * Y - 0.6 * Z)
+    exact = (0.3 + 0.5 * F.col("x") - 0.2 * F.col("y") + 0.1 * F.col("z"), -0.7 + 0.4 * F.col("y") - 0.3 * F.col("z"), 1.1 + 0.2 * F.col("x") + 0.1 * F.col("y") - 0.6 * F.col("z"))
     return fit.select("snapshot_id", "pid", *[(F.abs(F.col(c) - e) < 1e-5).alias(f"{c}_exact") for c, e in zip(B, exact)])
 
 
@@ -216,7 +215,7 @@ def resample_structured(d):
     "pos": "SELECT a.snapshot_id, a.pid, greatest(least(a.t, CAST(hi AS DOUBLE)), CAST(lo AS DOUBLE)) AS t, CAST(least(floor(greatest(least(a.t, CAST(hi AS DOUBLE)), CAST(lo AS DOUBLE))), hi - 1) AS BIGINT) AS j FROM want a JOIN lim USING (snapshot_id)"},
     final=f"SELECT p.snapshot_id, p.pid, {r6(value='a.v + (p.t - p.j)*(b.v - a.v)')} FROM pos p JOIN curve a ON a.snapshot_id = p.snapshot_id AND a.k = p.j JOIN curve b ON b.snapshot_id = p.snapshot_id AND b.k = p.j + 1"))
 def interp_table_(d):
-    curve = d.paths.groupBy("snapshot_id", F.col("seq").alias("k")).agg(F.avg(X * X + Z).alias("v"))
+    curve = d.paths.groupBy("snapshot_id", F.col("seq").alias("k")).agg(F.avg(F.col("x") * F.col("x") + F.col("z")).alias("v"))
     at = d.points.select("snapshot_id", "pid", "r")
     return interp_table(at, curve, F.col("r") * 40.0 - 50.0, "k", "v", "value").drop("r")
 
