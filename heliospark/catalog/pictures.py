@@ -236,7 +236,7 @@ def src_cfmesh(d):
 
 
 @query("solution_info", with_views("points", more=FACES | {"t": "SELECT snapshot_id, avg(r) FILTER (WHERE source_name = 'Inlet') AS a, avg(r) FILTER (WHERE source_name = 'Outlet') AS b, count(*) AS n FROM fc GROUP BY snapshot_id"},
-    final=f"""SELECT snapshot_id, CAST(1500 AS BIGINT) AS n_nodes, CAST(250 AS BIGINT) AS n_cells, {r6(inner_radius='a', outer_radius='b')}, n AS n_faces, 'coconut' AS model,
+    final=f"""SELECT snapshot_id, CAST(1500 AS BIGINT) AS n_nodes, CAST(250 AS BIGINT) AS n_cells, {r6(inner_radius='a', outer_radius='b')}, n AS n_faces, 'mhd' AS model,
     'rho,vx,vy,vz,Bx,By,Bz,p,psi' AS variables, 'corona' AS normalization FROM t"""))
 def solution_info(d):
     return cfmesh.solution_info(cfmesh.read_cfmesh(d.spark, write_cfmesh(d))).select(snapshot_of_file(), "*").drop("file")

@@ -136,7 +136,7 @@ def cells_of(mesh: Mesh) -> DataFrame:
     return mesh_prism_center(corners, mesh.nodes).join(mesh_state_to_cell(mesh.elements, mesh.states), ["file", "cell_id"])
 
 
-def solution_info(mesh: Mesh, model: str = "coconut") -> DataFrame:
+def solution_info(mesh: Mesh, model: str = "mhd") -> DataFrame:
     """One row per solution: counts, variables, boundary radii."""
     face_nodes = mesh.faces.select("file", "source_name", "face_id", F.explode("node_ids").alias("node_id"))
     tags = mesh_boundary_tag(face_nodes, mesh.nodes).groupBy("file").agg(
