@@ -31,3 +31,17 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heliospark.llm.pack import PackOptions, pack
 
     return pack(table(spark, sf_dir, "documents"), PackOptions(public_tokenizer()))
+
+
+@query()
+def op3_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heliospark.llm.winnow import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heliospark.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
