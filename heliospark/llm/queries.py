@@ -45,3 +45,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heliospark.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heliospark.llm.repeats import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents"))
