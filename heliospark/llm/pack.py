@@ -30,7 +30,7 @@ from heliospark.llm.frames import field, materialise
 #: Ranks of one kind of length are counted in so many parts, so that a length that most documents share is split.
 SALTS = 256
 #: Words whose ids a worker remembers; beyond it the memory starts anew, results do not depend on it.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 _tokenizers: dict[str, "WordIds"] = {}
 
@@ -89,10 +89,10 @@ class WordIds:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*words) - self.known.keys()
+        missing = set().union(*words).difference(self.known)
         if missing:
             self.learn(missing)
-            lost = set().union(*words) - self.known.keys()  # forgotten just now
+            lost = set().union(*words).difference(self.known)  # forgotten just now
             if lost:
                 self.learn(lost)
         known = self.known.__getitem__

@@ -52,3 +52,10 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heliospark.llm.repeats import repeated_bytes
 
     return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heliospark.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
