@@ -27,6 +27,8 @@ from heliospark.llm.flat import mix
 from heliospark.llm.frames import field, fold
 
 UNKNOWN = "und"
+#: Names of the added columns beside all columns of the input, which may have a ``score`` of their own.
+LANGUAGE, SCORE = "_identified_language", "_identified_score"
 #: Rows and characters of a batch of texts that are turned into vectors at a time.
 ROWS, CHARS = 96, 1 << 18
 
@@ -147,12 +149,12 @@ def learn(docs: DataFrame, options: LanguageOptions) -> tuple[list[str], np.ndar
 
 
 def identify(docs: DataFrame, options: LanguageOptions = LanguageOptions(), keep: bool = False) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred and score (the cosine, at least 0); with ``keep`` all its columns."""
+    """Per document: doc_id, held_out, lang_pred and score (the cosine, at least 0); with ``keep`` all its columns and LANGUAGE, SCORE."""
     names, model = learn(docs, options)
     size = options.size
     given = docs if keep else docs.select("doc_id", "text")
     kept = [f.name for f in given.schema if keep or f.name != "text"]
-    schema = T.StructType([field(given, c) for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([field(given, c) for c in kept] + [T.StructField(LANGUAGE, T.StringType()), T.StructField(SCORE, T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,4 +176,15 @@ def identify(docs: DataFrame, options: LanguageOptions = LanguageOptions(), keep
     out = given.mapInArrow(predict, schema)
     if keep:
         return out
-    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), F.col(LANGUAGE).alias("lang_pred"), F.col(SCORE).alias("score"))
+
+
+def recognised(docs: DataFrame, options: LanguageOptions = LanguageOptions(), chars: int = 200, least: float = 0.15) -> DataFrame:
+    """The documents in a known language.
+
+    Rejected are those without a language, and those of at least ``chars`` characters whose cosine is below ``least``:
+    a shorter text holds too few trigrams to be told from noise and stays.
+    """
+    judged = identify(docs, options, keep=True)
+    sure = (F.char_length("text") < chars) | (F.col(SCORE) >= least)
+    return judged.where((F.col(LANGUAGE) != UNKNOWN) & sure).select(*docs.columns)

@@ -22,7 +22,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,3 +197,11 @@ def near_duplicates(docs: DataFrame, options: SimHashOptions = SimHashOptions())
     return named.join(component, "mark").select(
         "doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def without_near_duplicates(docs: DataFrame, options: SimHashOptions = SimHashOptions()) -> DataFrame:
+    """One document of each component: the one with the smallest id. Of identical rows one stays."""
+    first = near_duplicates(docs, options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    return kept.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")

@@ -237,3 +237,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 7, span: int =
             ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
         )
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 7, span: int = 13) -> DataFrame:
+    """The documents that are not contaminated, told apart by id and text."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("text"))
+    judged = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, k, span)
+    bad = judged.where("contaminated").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.text").alias("_text")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left_anti")
