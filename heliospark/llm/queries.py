@@ -98,3 +98,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heliospark.llm.quality import score
 
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heliospark.llm.bloom_lm import score
+
+    return score(table(spark, sf_dir, "documents"))
