@@ -105,3 +105,10 @@ def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heliospark.llm.bloom_lm import score
 
     return score(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heliospark.llm.order_minhash import edited_pairs
+
+    return edited_pairs(table(spark, sf_dir, "documents"))
