@@ -29,8 +29,8 @@ from heliospark.llm.frames import field, materialise
 
 #: Ranks of one kind of length are counted in so many parts, so that a length that most documents share is split.
 SALTS = 256
-#: Words whose ids a worker remembers; beyond it the memory starts anew, results do not depend on it.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers, and as many older ones; results do not depend on it.
+REMEMBERED = 200_000
 
 _tokenizers: dict[str, "WordIds"] = {}
 
@@ -49,6 +49,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = {i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")}
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.marks = {mark: self._alone([mark])[0] for mark in ".,"}
 
     def _alone(self, words: list[str]) -> list[bytes]:
@@ -64,18 +65,22 @@ class WordIds:
         return [flat[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)]
 
     def learn(self, missing: set[str]) -> None:
-        known = self.known
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            known[""] = b""
+        if len(self.known) + len(missing) > REMEMBERED:
+            self.older, self.known = self.known, {"": b""}
+        known, older = self.known, self.older
         forms, plain, odd = [], set(), []
         for word in missing:
+            if word in older:
+                known[word] = older[word]
+                continue
             mark = word[-1] if word[-1] in ".," and len(word) > 1 else ""
             stem = word[:-1] if mark else word
             if not stem.isalpha():
                 odd.append(word)
                 continue
             stem = stem.lower() if stem.isascii() else stem
+            if stem in older:
+                known[stem] = older[stem]
             forms.append((word, stem, mark))
             plain.add(stem)
         new = [w for w in plain if w not in known]
@@ -89,10 +94,11 @@ class WordIds:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*words).difference(self.known)
+        different = set().union(*words)
+        missing = different.difference(self.known)
         if missing:
             self.learn(missing)
-            lost = set().union(*words).difference(self.known)  # forgotten just now
+            lost = different.difference(self.known)  # of the older words just laid aside
             if lost:
                 self.learn(lost)
         known = self.known.__getitem__
