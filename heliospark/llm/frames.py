@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from heliospark.session import materialise, scratch_path, ship_package, task_count
 
-__all__ = ["materialise", "scratch_path", "ship_package", "task_count", "table", "text_bytes", "parts", "fold", "field"]
+__all__ = ["materialise", "scratch_path", "ship_package", "task_count", "table", "text_bytes", "parts", "fold", "field", "boxed"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +36,8 @@ def fold(doc_id: Column, by: int) -> Column:
 def field(df: DataFrame, name: str, alias: str | None = None) -> T.StructField:
     """A column's field, nullable, under a new name."""
     return T.StructField(alias or name, df.schema[name].dataType, True)
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """All columns as one, ``doc``: names of added columns then clash with none of them. ``select("doc.*")`` undoes it."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))

@@ -24,11 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliospark.llm.flat import mix
-from heliospark.llm.frames import field, fold
+from heliospark.llm.frames import boxed, field, fold
 
 UNKNOWN = "und"
-#: Names of the added columns beside all columns of the input, which may have a ``score`` of their own.
-LANGUAGE, SCORE = "_identified_language", "_identified_score"
 #: Rows and characters of a batch of texts that are turned into vectors at a time.
 ROWS, CHARS = 96, 1 << 18
 
@@ -148,35 +146,36 @@ def learn(docs: DataFrame, options: LanguageOptions) -> tuple[list[str], np.ndar
     return names, unit(model)
 
 
-def identify(docs: DataFrame, options: LanguageOptions = LanguageOptions(), keep: bool = False) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred and score (the cosine, at least 0); with ``keep`` all its columns and LANGUAGE, SCORE."""
-    names, model = learn(docs, options)
+def predictions(rows: DataFrame, names: list[str], model: np.ndarray, options: LanguageOptions) -> DataFrame:
+    """``key`` of rows (key, text) with lang_pred and score."""
     size = options.size
-    given = docs if keep else docs.select("doc_id", "text")
-    kept = [f.name for f in given.schema if keep or f.name != "text"]
-    schema = T.StructType([field(given, c) for c in kept] + [T.StructField(LANGUAGE, T.StringType()), T.StructField(SCORE, T.DoubleType())])
+    schema = T.StructType([field(rows, "key"), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             langs, scores = [], []
-            for a, b in batches_of(texts):
-                each = vectors(texts[a:b], size)
-                if not names:
-                    langs += [UNKNOWN] * (b - a)
-                    scores += [0.0] * (b - a)
-                    continue
-                cosine = unit(each) @ model.T
-                best = np.round(cosine, 12).argmax(axis=1)
-                some = each.any(axis=1) | np.array([any(map(str.isalpha, t)) for t in texts[a:b]])
-                langs += [names[k] if s else UNKNOWN for k, s in zip(best, some)]
-                scores += np.where(some, np.clip(cosine[np.arange(b - a), best], 0, 1), 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [f.name for f in schema])
-
-    out = given.mapInArrow(predict, schema)
-    if keep:
-        return out
-    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), F.col(LANGUAGE).alias("lang_pred"), F.col(SCORE).alias("score"))
+            for k in range(0, batch.num_rows, 1024):
+                texts = [t or "" for t in batch.column("text").slice(k, 1024).to_pylist()]
+                for a, b in batches_of(texts):
+                    if not names:
+                        langs += [UNKNOWN] * (b - a)
+                        scores += [0.0] * (b - a)
+                        continue
+                    cosine = unit(vectors(texts[a:b], size)) @ model.T
+                    best = np.round(cosine, 12).argmax(axis=1)
+                    some = np.array([any(map(str.isalpha, t)) for t in texts[a:b]])
+                    langs += [names[j] if s else UNKNOWN for j, s in zip(best, some)]
+                    scores += np.where(some, np.clip(cosine[np.arange(b - a), best], 0, 1), 0.0).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["key", "lang_pred", "score"])
+
+    return rows.mapInArrow(predict, schema)
+
+
+def identify(docs: DataFrame, options: LanguageOptions = LanguageOptions()) -> DataFrame:
+    """Per document: doc_id, held_out, lang_pred and score (the cosine, at least 0)."""
+    found = predictions(docs.select(F.col("doc_id").alias("key"), "text"), *learn(docs, options), options)
+    held = F.coalesce(fold(F.col("key"), 5) == 0, F.lit(False))
+    return found.select(F.col("key").alias("doc_id"), held.alias("held_out"), "lang_pred", "score")
 
 
 def recognised(docs: DataFrame, options: LanguageOptions = LanguageOptions(), chars: int = 200, least: float = 0.15) -> DataFrame:
@@ -185,6 +184,7 @@ def recognised(docs: DataFrame, options: LanguageOptions = LanguageOptions(), ch
     Rejected are those without a language, and those of at least ``chars`` characters whose cosine is below ``least``:
     a shorter text holds too few trigrams to be told from noise and stays.
     """
-    judged = identify(docs, options, keep=True)
-    sure = (F.char_length("text") < chars) | (F.col(SCORE) >= least)
-    return judged.where((F.col(LANGUAGE) != UNKNOWN) & sure).select(*docs.columns)
+    rows = boxed(docs)
+    found = predictions(rows.select(F.col("doc").alias("key"), F.col("doc.text").alias("text")), *learn(docs, options), options)
+    sure = (F.char_length("key.text") < chars) | (F.col("score") >= least)
+    return found.where((F.col("lang_pred") != UNKNOWN) & sure).select("key.*")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliospark.llm.flat import mix, planes, prefix_hashes, runs, span_hashes, unplanes
-from heliospark.llm.frames import materialise, parts, text_bytes
+from heliospark.llm.frames import boxed, materialise, parts, text_bytes
 
 #: Bytes of text of a slice, and bytes of names of a range, on average.
 SLICE = 4 << 20
@@ -268,28 +268,28 @@ def class_results(docs: DataFrame, length: int = 400, keep_text: bool = False) -
     return settled.unionAll(copied).unionAll(finished)
 
 
-def _digest():
-    return F.unhex(F.sha2(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")), 256))
+def _digest(text: str):
+    return F.unhex(F.sha2(F.coalesce(F.encode(text, "UTF-8"), F.lit(b"")), 256))
 
 
 def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
-    return docs.select("doc_id", _digest().alias("digest")).join(class_results(docs, length), "digest").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rows = docs.select("doc_id", _digest("text").alias("digest"))
+    return rows.join(class_results(docs, length), "digest").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """The documents with the kept text; characters cut by a span are dropped, documents of which nothing stays go."""
-    changed = class_results(docs, length, keep_text=True).where("n_removed > 0").select(F.col("digest").alias("_digest"), F.col("kept").alias("_kept"))
 
     def valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column("_kept").to_pylist()
-            kept = pa.array([None if x is None else x.decode("utf-8", "ignore") for x in raw], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("_digest"), kept], ["_digest", "_kept"])
+            kept = pa.array([x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), kept], ["digest", "kept"])
 
-    changed = changed.mapInArrow(valid, "_digest binary, _kept string")
-    joined = docs.withColumn("_digest", _digest()).join(changed, "_digest", "left").where("_kept is null or _kept <> ''")
-    columns = {"text": F.coalesce("_kept", "text")}
+    changed = class_results(docs, length, keep_text=True).where("n_removed > 0").select("digest", "kept")
+    changed = changed.mapInArrow(valid, "digest binary, kept string")
+    joined = boxed(docs).withColumn("digest", _digest("doc.text")).join(changed, "digest", "left").where("kept is null or kept <> ''")
+    columns = {"text": F.coalesce("kept", "doc.text")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("long")
-    return joined.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
+        columns["n_chars"] = F.when(F.col("kept").isNull(), F.col("doc.n_chars")).otherwise(F.char_length("kept")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(columns.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))

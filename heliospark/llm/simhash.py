@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliospark.llm.components import components
-from heliospark.llm.frames import field, materialise
+from heliospark.llm.frames import boxed, field, materialise
 
 BITS = 64
 
@@ -127,9 +127,10 @@ def near_chance(share: np.ndarray, most: int) -> np.ndarray:
 
 def allocate(total: int, pairs: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """Parts and thresholds of least estimated cost; the thresholds plus one add up to ``distance + 1``."""
-    share = pairs.diagonal() / max(total, 1)
+    total = max(total, 1)
+    share = pairs.diagonal() / total
     best: tuple[float, list] = (np.inf, [])
-    for parts in range(1, distance + 2):
+    for parts in range(min(2, distance + 1), distance + 2):
         groups = group_bits(total, pairs, parts)
         costs = []
         for group in groups:
@@ -201,7 +202,8 @@ def near_duplicates(docs: DataFrame, options: SimHashOptions = SimHashOptions())
 
 def without_near_duplicates(docs: DataFrame, options: SimHashOptions = SimHashOptions()) -> DataFrame:
     """One document of each component: the one with the smallest id. Of identical rows one stays."""
-    first = near_duplicates(docs, options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return kept.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
+    first = near_duplicates(docs, options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = boxed(docs).withColumn("id", F.col("doc.doc_id"))
+    kept = kept.join(first, F.col("id").eqNullSafe(first["doc_id"]), "left_semi")
+    same = Window.partitionBy("id", F.xxhash64("doc.text")).orderBy(F.lit(0))
+    return kept.withColumn("copy", F.row_number().over(same)).where("copy = 1").select("doc.*")

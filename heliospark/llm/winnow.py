@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliospark.llm.flat import LOWER, WORD_BYTES, mix, prefix_hashes, span_hashes, texts_of, word_spans
-from heliospark.llm.frames import field, materialise, task_count
+from heliospark.llm.frames import boxed, field, materialise, task_count
 
 BLOOM_BITS = 1 << 24
 SALTS = 16
@@ -243,5 +243,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 7, span
     """The documents that are not contaminated, told apart by id and text."""
     key = F.struct("doc_id", F.xxhash64("text").alias("text"))
     judged = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, k, span)
-    bad = judged.where("contaminated").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.text").alias("_text")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left_anti")
+    bad = judged.where("contaminated").select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.text").alias("text")).distinct()
+    rows = boxed(docs)
+    same = rows["doc.doc_id"].eqNullSafe(bad["id"]) & (F.xxhash64(rows["doc.text"]) == bad["text"])
+    return rows.join(bad, same, "left_anti").select("doc.*")
