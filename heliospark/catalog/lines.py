@@ -153,7 +153,7 @@ PAINT = ARC | {
     "seg": f"""SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1, lead(s) OVER w AS s1,
         max(s) OVER (PARTITION BY line_id) AS total, min({CELL}) OVER (PARTITION BY line_id) AS cell
         FROM (SELECT *, sqrt(x*x + y*y + z*z) AS r FROM arc) a WINDOW w AS (PARTITION BY line_id ORDER BY seq)""",
-    "num": "SELECT line_id, CAST(floor(max(total)/greatest(5e-1*max(cell), max(total)/1e5)) AS BIGINT) AS n, max(total) AS total FROM seg GROUP BY line_id",
+    "num": "SELECT line_id, CAST(floor(max(total)/(5e-1*max(cell))) AS BIGINT) AS n, max(total) AS total FROM seg GROUP BY line_id",
     "ks": "SELECT line_id, total, n, unnest(range(n + 1)) AS k FROM num",
     "smp": """SELECT g.snapshot_id, g.line_id, CAST(k.k AS BIGINT) AS k, g.x + t*(g.x1 - g.x) AS x, g.y + t*(g.y1 - g.y) AS y, g.z + t*(g.z1 - g.z) AS z
         FROM (SELECT ks.line_id, ks.k, ks.k*(ks.total/ks.n) AS at, ks.n FROM ks) k

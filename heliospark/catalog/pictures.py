@@ -200,7 +200,7 @@ def write_cfmesh(d: Inputs) -> str:
     counts = faces.groupBy("snapshot_id", "source_name").count()
     number = lambda part, name: _lines(counts.where(F.col("source_name") == name), snap, part, F.lit(0), F.concat(F.lit("!NB_GEOM_ENTS "), F.col("count").cast("string")))
     parts = [
-        heads(0, "!COOLFLUID_VERSION 2013.9", "!NB_DIM 3", "!NB_EQ 9", "!NB_NODES 1500 0", "!NB_STATES 250 0", "!NB_ELEM 250", "!ELEM_TYPES Prism", "!NB_NODES_PER_TYPE 6", "!LIST_ELEM"),
+        heads(0, "!COOLFLUID_VERSION 1.0", "!NB_DIM 3", "!NB_EQ 9", "!NB_NODES 1500 0", "!NB_STATES 250 0", "!NB_ELEM 250", "!ELEM_TYPES Prism", "!NB_NODES_PER_TYPE 6", "!LIST_ELEM"),
         _lines(cells, snap, 1, F.col("cell"), words(F.array_join(F.transform("c", lambda e: e["n"]), " "), F.col("cell").cast("string"))),
         heads(2, "!NB_TRSs 2", "!TRS_NAME Inlet"), number(3, "Inlet"), heads(4, "!LIST_GEOM_ENT"), surface(5, "Inlet"),
         heads(6, "!TRS_NAME Outlet"), number(7, "Outlet"), heads(8, "!LIST_GEOM_ENT"), surface(9, "Outlet"),

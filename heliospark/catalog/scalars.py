@@ -463,12 +463,13 @@ def colour_ramp(d):
     return d.points.select("pid", *named(im.ramp(v, im.POLARITY_STOPS), "pol_red pol_green pol_blue"), *named(im.ramp(v, im.MAP_STOPS), "map_red map_green map_blue"))
 
 
-LEVELS = {"v": "8e-1", "p": "8e-1*55e-2", "q": "8e-1*(1e0 - f*45e-2)", "t": "8e-1*(1e0 - (1e0 - f)*45e-2)"}
-HSV = {n: "CASE s " + " ".join(f"WHEN {k} THEN {LEVELS[c]}" for k, c in enumerate(order)) + " END" for n, order in zip(RGB, ("vqpptv", "tvvqpp", "pptvvq"))}
+# a colour at full value 8e-1 loses up to its saturation (45e-2 of it) with the distance of its channel on the hue circle
+HSV = {n: f"8e-1 - 36e-2*greatest(0e0, least(1e0, k_{n}, 4e0 - k_{n}))" for n in RGB}
+TURN = {"red": 5, "green": 3, "blue": 1}
 
 
 @query("hsv_rainbow", with_views("lines", more={"h": "SELECT line_id, (row_number() OVER (PARTITION BY snapshot_id ORDER BY line_id) - 1)*6180339887498949e-16 AS u FROM lines",
-    "g": "SELECT line_id, CAST(floor((u - floor(u))*6e0) AS BIGINT) % 6 AS s, (u - floor(u))*6e0 - floor((u - floor(u))*6e0) AS f FROM h"}, final=f"SELECT line_id, {r6(**HSV)} FROM g"))
+    "g": "SELECT line_id, " + ", ".join(f"{n}e0 + 6e0*u - 6e0*floor(({n}e0 + 6e0*u)/6e0) AS k_{c}" for c, n in TURN.items()) + " FROM h"}, final=f"SELECT line_id, {r6(**HSV)} FROM g"))
 def hsv_rainbow(d):
     from heliospark.operators.picture import line_colours
 

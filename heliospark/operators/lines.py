@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,12 +21,10 @@ from heliospark.operators.stepper import INNER, OUTER, Lanes, TraceOptions
 from heliospark.operators.tiles import Tiling, block_of, node_rows, sample_tiles, tile_join
 from heliospark.session import materialise, task_count
 
-#: A snapshot's field up to this many nodes goes whole to a task; beyond, lines move tile by tile.
-WHOLE_GRID_NODES = 4_000_000
 #: Half lines handled by one task.
 LINES_PER_TASK = 20_000
-#: Widest reach of a stage in cells (the largest row sum of stage weights is below 25) at cfl 1/2, plus the stencil.
-FRONTIER_HALO = 18
+#: The largest row sum of stage weights is below this many steps; a stage reads this many cells beyond itself.
+STAGE_REACH, STENCIL = 25, 5
 
 
 @dataclass(frozen=True)
@@ -44,10 +43,9 @@ class GridField:
     def outer(self) -> float:
         return self.spec.outer
 
-    def frontier_tiling(self) -> Tiling | None:
-        if self.tiling is not None:
-            return self.tiling
-        return None if self.spec.size <= WHOLE_GRID_NODES else Tiling(self.spec, halo=FRONTIER_HALO)
+    def frontier_tiling(self, cfl: float) -> Tiling:
+        """Tiles whose halo is wider than any stage of a step of ``cfl`` cells can reach."""
+        return self.tiling or Tiling(self.spec, halo=math.ceil(STAGE_REACH * cfl) + STENCIL)
 
 
 def attach_b(points: DataFrame, field, row_id: list[str], names=("b_x", "b_y", "b_z"), at=("x", "y", "z")):
@@ -183,11 +181,7 @@ def run_half_lines(half: DataFrame, field, opt: TraceOptions) -> DataFrame:
 
         spread = half.repartition(task_count(half.sparkSession), "snapshot_id", "line_id", "direction")
         return spread.mapInArrow(closed, _STATE)
-    tiling = field.frontier_tiling()
-    if tiling is None:
-        whole = Tiling(field.spec, block_r=field.spec.n_r, block_t=field.spec.n_theta)
-        return _superstep(half, whole, whole.spread(_b_rows(field)), field.spec, opt)
-    return _frontier(half, field, tiling, opt)
+    return _frontier(half, field, field.frontier_tiling(opt.cfl), opt)
 
 
 def _b_rows(field: GridField) -> DataFrame:

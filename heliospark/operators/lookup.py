@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A snapshot's curve is carried as one sorted array; a lookup table is never longer than this.
-MAX_NODES = 100_000
-
-
 def interp_table(
     rows: DataFrame, nodes: DataFrame, at: Column, key: str, value: str, out: str, by: list[str] | None = None
 ) -> DataFrame:
@@ -35,12 +31,12 @@ def interp_table(
 
 
 def _rank(keys: Column, at: Column, n: Column) -> Column:
-    """How many sorted keys are <= at: a bisection of 17 halvings, enough for MAX_NODES."""
-    steps = F.array(*[F.lit(1 << b) for b in range(16, -1, -1)])
+    """How many sorted keys are <= at: a bisection that starts at the highest power of two the keys reach."""
+    steps = F.filter(F.array(*[F.lit(1 << b) for b in range(30, -1, -1)]), lambda step: step <= n)
     return F.aggregate(
         steps,
         F.lit(0),
-        lambda i, step: F.when((i + step <= n) & (F.get(keys, i + step - 1) <= at), i + step).otherwise(i),
+        lambda i, step: F.when((i <= n - step) & (F.get(keys, i + step - 1) <= at), i + step).otherwise(i),
     )
 
 

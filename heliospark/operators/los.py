@@ -23,8 +23,6 @@ PIXEL = ["snapshot_id", "pixel_id"]
 CHANNELS = (0, 1, 2)
 GLOW_OUTER = 1.15
 DISK_STEP = 0.005
-#: The tile join reads its rays twice; above this many samples per snapshot they are written instead of remade.
-RECOMPUTE_SAMPLES = 50_000_000
 
 
 # relational form, from a table of samples
@@ -180,9 +178,8 @@ def _tile_sums(pixel_table, nodes, tiling: Tiling, camera: Camera, step: float,
             [pa.array([], pa.int64())] * 2 + [pa.array([], pa.float64())] * len(names), names=PIXEL + names
         )
 
-    runs = _runs(pixel_table, tiling, look, outer, n)
-    if camera.n_pixels * n > RECOMPUTE_SAMPLES:
-        runs = materialise(runs, "ray-runs")
+    # the tile join reads its rays twice
+    runs = materialise(_runs(pixel_table, tiling, look, outer, n), "ray-runs")
     sums = tile_join(runs, nodes, ["pixel_id", "k0"], evaluate, schema).groupBy(*PIXEL).agg(
         *[F.sum(c).alias(c) for c in names]
     )

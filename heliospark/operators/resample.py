@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,9 +45,12 @@ def _bucket_edges(cells: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _shrink_crowded(cells: DataFrame, edges: DataFrame, limit: int = 8) -> DataFrame:
-    """Halve the edge of a snapshot until no bucket holds more than BUCKET_CAP cells (counts only)."""
-    for level in range(limit):
+def _shrink_crowded(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """Halve the edge of a snapshot until no bucket holds more than BUCKET_CAP cells (counts only).
+
+    It ends, as the cells at one position are fewer than that: some edge tells the others apart.
+    """
+    for level in count():
         crowd = (
             cells.join(edges, "snapshot_id")
             .groupBy("snapshot_id", *_bucket(F.col("_edge"), 1.0))
@@ -58,8 +63,7 @@ def _shrink_crowded(cells: DataFrame, edges: DataFrame, limit: int = 8) -> DataF
             "_edge", F.when(F.col("_max") > BUCKET_CAP, F.col("_edge") / 2).otherwise(F.col("_edge"))
         ).drop("_max")
         if checked.where(F.col("_max") > BUCKET_CAP).isEmpty():
-            break
-    return edges
+            return edges
 
 
 def knn_join(points: DataFrame, cells: DataFrame, k: int, id_col: str = "pid") -> DataFrame:

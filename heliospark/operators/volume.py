@@ -16,8 +16,6 @@ from heliospark.operators.stepper import INNER, OUTER, TraceOptions
 from heliospark.session import materialise
 
 LINE = ["snapshot_id", "line_id"]
-#: Most samples a polyline is resampled to (the pitch widens beyond).
-MAX_SAMPLES = 100_000
 
 
 # line values
@@ -149,7 +147,7 @@ def path_resample(paths: DataFrame, spec: GridSpec, paint_step: float = 0.5) ->
             F.min("_cell").over(whole).alias("_small"),
         )
     )
-    pitch = F.greatest(paint_step * F.col("_small"), F.col("_total") / MAX_SAMPLES)
+    pitch = paint_step * F.col("_small")
     # number of gaps between samples; a line of no length keeps its first vertex only
     gaps = F.when(F.col("_total") > 0, F.floor(F.col("_total") / pitch)).otherwise(0)
     df = df.withColumn("_n", gaps.cast("long"))

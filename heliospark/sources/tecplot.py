@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from heliospark.sources.text_rows import after, numbered, text_rows
 
 BRICK = 8
-#: Columns of a brick whose repeated corners make it a prism.
+# Fixed values of the file format: the columns of a brick whose repeated corners make it a prism, and names of variables.
 PRISM_SLOTS = (0, 1, 2, 4, 5, 6)
 COORDINATES = {"x0": "x", "x1": "y", "x2": "z"}
 RENAMED = {"u": "vx", "v": "vy", "w": "vz", "phi": "psi"}
@@ -31,46 +31,59 @@ def _fail(text: str, kind: str = "string") -> Column:
     return F.raise_error(F.lit(text)).cast(kind)
 
 
-def _word(key: str, default: str) -> Column:
-    found = F.upper(F.regexp_extract("zone", rf"\b{key}\s*=\s*([A-Za-z_]+)", 1))
-    return F.when(found == "", F.lit(default)).otherwise(found)
+def _pieces(text: Column, opened: str, closed: str) -> Column:
+    """The parts of a list between commas that stand outside brackets."""
+    return F.transform(F.split(text, rf",(?![^{opened}{closed}]*{closed})"), lambda p: F.trim(p))
 
 
-def _number(key: str) -> Column:
-    found = F.regexp_extract("zone", rf"\b{key}\s*=\s*(\d+)", 1)
-    return F.when(found == "", _fail(f"the zone states no {key}=")).otherwise(found).cast("long")
+def _fact(key: str) -> Column:
+    """What the zone line, cut into ``key = value`` pieces, says for a key; NULL where it says nothing."""
+    left = lambda p: F.upper(F.trim(F.substring_index(p, "=", 1)))
+    said = F.get(F.filter("facts", lambda p: left(p) == key), F.lit(0))
+    return F.trim(F.substring(said, F.instr(said, "=") + 1, F.length(said)))
+
+
+def _count(key: str, needed: Column, otherwise: str) -> Column:
+    number = F.coalesce(_fact(key).try_cast("long"), _fail(f"the zone states no {key}=", "long"))
+    return F.when(needed, number).otherwise(_fail(otherwise, "long"))
 
 
 def _zones(rows: DataFrame) -> DataFrame:
     """Header facts per file: where the body starts, counts, names."""
-    head = rows.select("file", "split", "row", F.trim("line").alias("line")).where(F.col("line").rlike("(?i)^(title|variables|zone)"))
-    first = lambda word: F.min_by(F.when(F.col("line").rlike(f"(?i)^{word}"), F.col("line")), F.when(F.col("line").rlike(f"(?i)^{word}"), F.struct("split", "row")))
-    at = F.min(F.when(F.col("line").rlike("(?i)^zone"), F.struct("split", "row")))
-    zones = head.groupBy("file").agg(
-        first("title").alias("title"), first("variables").alias("names"), first("zone").alias("zone"), at.alias("at")
+    words = ("title", "variables", "zone")
+    head = rows.select("file", F.struct("split", "row").alias("at"), F.trim("line").alias("line"))
+    head = head.withColumn("word", F.lower(F.regexp_substr("line", F.lit("^[A-Za-z]+")))).where(F.col("word").isin(*words))
+    firsts = {w: F.min(F.when(F.col("word") == w, F.struct("at", "line"))) for w in words}
+    zones = head.groupBy("file").agg(*[e.alias(w) for w, e in firsts.items()]).select(
+        "file", F.col("title.line").alias("title"), F.split("variables.line", '"').alias("quoted"),
+        _pieces(F.substring("zone.line", 5, 1_000_000), r"\(", r"\)").alias("facts"), "zone.at",
     )
-    packing, kind = _word("DATAPACKING", "POINT"), _word("ZONETYPE", "ORDERED")
+    blocked = F.upper(_fact("DATAPACKING")) == "BLOCK"
+    bricks = F.upper(_fact("ZONETYPE")) == "FEBRICK"
     return zones.select(
-        "file", F.trim(F.regexp_extract("title", r"=(.*)$", 1)).alias("title"),
-        F.expr(r"""regexp_extract_all(names, '"([^"]*)"', 1)""").alias("names"),
-        F.when(packing == "BLOCK", _number("N")).otherwise(_fail("only DATAPACKING=BLOCK is read", "long")).alias("n_nodes"),
-        F.when(kind == "FEBRICK", _number("E")).otherwise(_fail("only ZONETYPE=FEBRICK is read", "long")).alias("n_cells"),
-        F.regexp_extract("zone", r"(?i)VARLOCATION\s*=\s*\((.*?)\)", 1).alias("where"),
-        F.coalesce(F.regexp_extract("zone", r"SOLUTIONTIME\s*=\s*([0-9eE.+-]+)", 1).try_cast("double"), F.lit(0.0)).alias("solution_time"),
+        "file", F.trim(F.substring("title", F.instr("title", "=") + 1, 1_000_000)).alias("title"),
+        F.filter("quoted", lambda _, i: i % 2 == 1).alias("names"),
+        _count("N", blocked, "only DATAPACKING=BLOCK is read").alias("n_nodes"),
+        _count("E", bricks, "only ZONETYPE=FEBRICK is read").alias("n_cells"),
+        F.btrim(F.coalesce(_fact("VARLOCATION"), F.lit("")), F.lit("() ")).alias("where"),
+        F.coalesce(_fact("SOLUTIONTIME").try_cast("double"), F.lit(0.0)).alias("solution_time"),
         F.col("at.split").alias("s_split"), F.col("at.row").alias("s_row"),
     )
 
 
 def _blocks(zones: DataFrame) -> DataFrame:
     """One row per variable block (and one for the connectivity) with its token range."""
-    ranges = F.expr(r"regexp_extract_all(where, '\\[\\s*(\\d+)\\s*(?:-\\s*\\d+)?\\s*\\]\\s*=\\s*\\w+', 1)")
-    tops = F.expr(r"regexp_extract_all(where, '\\[\\s*(?:\\d+\\s*-\\s*)?(\\d+)\\s*\\]\\s*=\\s*\\w+', 1)")
-    kinds = F.expr(r"regexp_extract_all(where, '\\]\\s*=\\s*(\\w+)', 1)")
-    located = zones.withColumn("_loc", F.arrays_zip(ranges.alias("lo"), tops.alias("hi"), kinds.alias("kind")))
-    rows = located.select("file", "n_nodes", "n_cells", "_loc", F.posexplode("names").alias("slot", "name"))
-    match = F.filter("_loc", lambda e: (e["lo"].cast("int") <= F.col("slot") + 1) & (e["hi"].cast("int") >= F.col("slot") + 1))
-    kind = F.coalesce(F.upper(F.get(match, F.lit(0))["kind"]), F.lit("NODAL"))
-    rows = rows.select("file", "slot", "name", "n_nodes", "n_cells", (kind == "NODAL").alias("nodal"))
+    # each piece is [1-3,7]=KIND: its numbers become the slots (from 0) of that kind
+    numbers = lambda p: F.split(F.btrim(F.substring_index(p, "=", 1), F.lit("[] ")), ",")
+    ends = lambda x: (F.substring_index(x, "-", 1).try_cast("int"), F.substring_index(x, "-", -1).try_cast("int"))
+    slots = lambda p: F.flatten(F.transform(numbers(p), lambda x: F.sequence(*ends(x))))
+    located = zones.select(
+        "file", F.explode(F.filter(_pieces(F.col("where"), r"\[", r"\]"), lambda p: F.instr(p, "=") > 0)).alias("piece")
+    ).select("file", F.upper(F.trim(F.substring_index("piece", "=", -1))).alias("kind"), F.explode(slots(F.col("piece"))).alias("slot"))
+    kinds = located.groupBy("file", (F.col("slot") - 1).alias("slot")).agg(F.first("kind").alias("kind"))
+    rows = zones.select("file", "n_nodes", "n_cells", F.posexplode("names").alias("slot", "name")).join(kinds, ["file", "slot"], "left")
+    nodal = F.coalesce(F.col("kind"), F.lit("NODAL")) == "NODAL"
+    rows = rows.select("file", "slot", "name", "n_nodes", "n_cells", nodal.alias("nodal"))
     rows = rows.withColumn("length", F.when(F.col("nodal"), F.col("n_nodes")).otherwise(F.col("n_cells")))
     tail = zones.select(
         "file", F.size("names").alias("slot"), F.lit("#corners").alias("name"), "n_nodes", "n_cells", F.lit(False).alias("nodal"),

@@ -15,6 +15,7 @@ from heliospark.operators import brightness, los, resample, stencil, volume
 from heliospark.operators import generators as gen
 from heliospark.operators import lines as ln
 from heliospark.operators.stepper import TraceOptions
+from heliospark.operators.lookup import interp_table
 from heliospark.operators.tiles import Tiling, sample_tiles
 from heliospark.plans import pipeline
 
@@ -219,15 +220,38 @@ def test_effective_neighbours_rounds_half_to_even():
     assert resample.effective_neighbours(2_166_667 * 2, k=30) == round(30 * 4_333_334 / 2_000_000)
 
 
-# frontier and whole-grid tracing
+# tracing tile by tile
+
+
+def whole_grid(nodes, spec):
+    """The field as one tile."""
+    return ln.GridField(nodes, spec, Tiling(spec, block_r=spec.n_r, block_t=spec.n_theta))
+
+
+def test_long_steps_stay_within_their_tiles(spark, one):
+    spec = GridSpec(40, 48, 48, inner=1.0, outer=2.5)
+    nodes = dipole_nodes(one, spec)
+    seeds = seeds_at(spark, [20, 90, 150])
+    opt = ln.TraceOptions(cfl=0.9)
+    tiles = Tiling(spec, 10, 12, halo=ln.GridField(nodes, spec).frontier_tiling(opt.cfl).halo)
+    whole, moved = [ln.trace_lines(seeds, f, opt).orderBy("line_id").toPandas() for f in (whole_grid(nodes, spec), ln.GridField(nodes, spec, tiles))]
+    assert (whole[["end_b", "end_f"]] == moved[["end_b", "end_f"]]).all().all()
+    assert np.abs(whole["len_f"] - moved["len_f"]).max() < 1e-10
+
+
+def test_curve_of_many_nodes(spark):
+    nodes = spark.range(200_000).select(F.lit(0).alias("snapshot_id"), F.col("id").cast("double").alias("k"), (2.0 * F.col("id")).alias("v"))
+    rows = spark.createDataFrame([(0, x) for x in (-1.0, 0.25, 131071.5, 150000.5, 199000.5, 3e5)], "snapshot_id long, at double")
+    got = [r["out"] for r in interp_table(rows, nodes, F.col("at"), "k", "v", "out").orderBy("at").collect()]
+    assert got == [0.0, 0.5, 262143.0, 300001.0, 398001.0, 399998.0]
 
 
 def test_frontier_tracing_equals_whole_grid(spark, one):
     spec = GridSpec(40, 48, 48, inner=1.0, outer=2.5)
     nodes = dipole_nodes(one, spec)
     seeds = seeds_at(spark, [20, 35, 60, 90, 120, 150])
-    whole = ln.trace_lines(seeds, ln.GridField(nodes, spec)).orderBy("line_id").toPandas()
-    tiles = Tiling(spec, 10, 12, halo=ln.FRONTIER_HALO)
+    whole = ln.trace_lines(seeds, whole_grid(nodes, spec)).orderBy("line_id").toPandas()
+    tiles = Tiling(spec, 10, 12, halo=18)
     moved = ln.trace_lines(seeds, ln.GridField(nodes, spec, tiles)).orderBy("line_id").toPandas()
     assert (whole[["end_b", "end_f"]] == moved[["end_b", "end_f"]]).all().all()
     numbers = [c for c in whole.columns if c.startswith(("foot", "len"))]
@@ -238,8 +262,8 @@ def test_frontier_transport_and_paths(spark, one):
     spec = GridSpec(40, 48, 48, inner=1.0, outer=2.5)
     nodes = dipole_nodes(one, spec)
     seeds = seeds_at(spark, [30, 80, 140])
-    tiles = Tiling(spec, 8, 10, halo=ln.FRONTIER_HALO)
-    fields = [ln.GridField(nodes, spec), ln.GridField(nodes, spec, tiles)]
+    tiles = Tiling(spec, 8, 10, halo=18)
+    fields = [whole_grid(nodes, spec), ln.GridField(nodes, spec, tiles)]
     q = [ln.squash(seeds, f).orderBy("line_id").toPandas()["q_perp"].to_numpy() for f in fields]
     assert np.abs(q[0] / q[1] - 1).max() < 1e-8
     paths = [ln.join_paths(ln.trace_halves(seeds, f, store_path=True)).orderBy("line_id", "seq").toPandas() for f in fields]

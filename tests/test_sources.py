@@ -9,24 +9,33 @@ from pyspark.sql import functions as F
 from heliospark.functions.grid import GridSpec
 from heliospark.sources import cfmesh, store, structured, sunjson, tecplot
 
-NODES = [(k if a == 0 else 0, k if a == 1 else 0, k if a == 2 else 0) for k in (1, 2, 3) for a in range(3)]
-STATES = ["0.5 0 0 0 1 2 3 0.1 0", "0.6 0 0 0 4 5 6 0.2 0"]
+# three triangles around a top, each raised from radius 1 to radius 4
+BASE = [(1, 0, 0), (0, 1, 0), (-1, 0, 0), (0, -1, 0), (0, 0, 1)]
+NODES = BASE + [tuple(4 * c for c in n) for n in BASE]
+TRIANGLES = [(0, 1, 4), (1, 2, 4), (2, 3, 4)]
+STATES = [f"{2 + k} 0 0 0 {10 + k} {20 - k} {3 * k} 0.{5 + k} 0" for k in range(3)]
+FIELD = [[10 + k, 20 - k, 3 * k] for k in range(3)]
+CENTRES = [5 / 6, -5 / 6, -5 / 6]
 
 
 def sectioned() -> str:
-    head = ["!COOLFLUID_VERSION 2013.9", "!NB_DIM 3", "!NB_EQ 9", "!NB_NODES 9 0", "!NB_STATES 2 0", "!NB_ELEM 2", "!ELEM_TYPES Prism", "!NB_NODES_PER_TYPE 6"]
-    faces = ["!TRS_NAME Inlet", "!NB_GEOM_ENTS 1", "!LIST_GEOM_ENT", "3 1 0 1 2 0", "!TRS_NAME Outlet", "!NB_GEOM_ENTS 1", "!LIST_GEOM_ENT", "3 1 6 7 8 1"]
-    body = ["!LIST_ELEM", "0 1 2 3 4 5 0", "3 4 5 6 7 8 1", *faces, "!LIST_NODE", *[" ".join(map(str, n)) for n in NODES], "!LIST_STATE 1", *STATES, "!END", "left over"]
-    return "\n".join(head + body) + "\n"
+    def surface(name, raised, ends):
+        return [f"!TRS_NAME {name}", "!NB_GEOM_ENTS 3", "!LIST_GEOM_ENT", *[f"3 1 {' '.join(str(n + raised) for n in t)} {e}" for t, e in zip(TRIANGLES, ends)]]
 
+    elements = [" ".join(map(str, [*t, *(n + 5 for n in t), k])) for k, t in enumerate(TRIANGLES)]
+    lines = ["!COOLFLUID_VERSION 1.0", "!NB_DIM 3", "!NB_EQ 9", "!NB_NODES 10 0", "!NB_STATES 3 0", "!NB_ELEM 3", "!ELEM_TYPES Prism", "!NB_NODES_PER_TYPE 6"]
+    lines += ["!LIST_ELEM", *elements, *surface("Floor", 0, (0, 1, 2)), *surface("Lid", 5, (0, 1, 2))]
+    lines += ["!LIST_NODE", *[" ".join(map(str, n)) for n in NODES], "!LIST_STATE 1", *STATES, "!END", "unread"]
+    return "\n".join(lines) + "\n"
 
-def zoned(extra: str = "", packing: str = "BLOCK") -> str:
+
+def zoned(extra: str = "", packing: str = "BLOCK", where: str = "([1-3]=NODAL,[4-12]=CELLCENTERED)") -> str:
     names = "x0 x1 x2 rho u v w Bx By Bz p phi".split()
-    columns = list(zip(*[s.split() for s in STATES]))
-    lines = ['TITLE = "two prisms"', "VARIABLES = " + " ".join(f'"{n}"' for n in names),
-             f"ZONE N=9, E=2, ZONETYPE=FEBRICK, DATAPACKING={packing}, VARLOCATION=([1-3]=NODAL,[4-12]=CELLCENTERED), SOLUTIONTIME=2.5"]
-    lines += [" ".join(str(n[a]) for n in NODES) for a in range(3)] + [" ".join(c) for c in columns]
-    return "\n".join(lines + ["1 2 3 3 4 5 6 6", "4 5 6 6 7 8 9 9"]) + "\n" + extra
+    lines = ['TITLE = "a fan of prisms"', "VARIABLES = " + ", ".join(f'"{n}"' for n in names)]
+    lines += [f"ZONE N=10, E=3, ZONETYPE=FEBRICK, DATAPACKING={packing}, VARLOCATION={where}, SOLUTIONTIME=2.5"]
+    lines += [" ".join(str(n[a]) for n in NODES) for a in range(3)] + [" ".join(c) for c in zip(*[s.split() for s in STATES])]
+    bricks = [[a, b, c, c, a + 5, b + 5, c + 5, c + 5] for a, b, c in TRIANGLES]
+    return "\n".join(lines + [" ".join(str(n + 1) for n in brick) for brick in bricks]) + "\n" + extra
 
 
 @pytest.fixture(params=["whole", "split"])
@@ -47,14 +56,14 @@ def test_sectioned_mesh(spark, tmp_path, splitting):
     (tmp_path / "a.CFmesh").write_text(sectioned())
     mesh = cfmesh.read_cfmesh(spark, str(tmp_path))
     cells = cfmesh.cells_of(mesh).orderBy("cell_id").toPandas()
-    assert cells[["Bx", "By", "Bz"]].to_numpy().tolist() == [[1, 2, 3], [4, 5, 6]]
-    assert cells["rho"].tolist() == [0.5, 0.6] and cells["x"].tolist() == [0.5, 5 / 6]
+    assert cells[["Bx", "By", "Bz"]].to_numpy().tolist() == FIELD
+    assert cells["rho"].tolist() == [2, 3, 4] and cells["x"].tolist() == CENTRES
     faces = mesh.faces.select("file", "source_name", "face_id", F.explode("node_ids").alias("node_id"))
     tags = cfmesh.mesh_boundary_tag(faces, mesh.nodes).orderBy("role").collect()
-    assert [(t["role"], t["source_name"], round(t["mean_radius"], 12)) for t in tags] == [("inner", "Inlet", 1.0), ("outer", "Outlet", 3.0)]
-    assert mesh.faces.where("source_name = 'Outlet'").first()["adjacent_cell"] == 1
+    assert [(t["role"], t["source_name"], round(t["mean_radius"], 12)) for t in tags] == [("inner", "Floor", 1.0), ("outer", "Lid", 4.0)]
+    assert sorted(r["adjacent_cell"] for r in mesh.faces.where("source_name = 'Lid'").collect()) == [0, 1, 2]
     info = cfmesh.solution_info(mesh).first()
-    assert (info["n_nodes"], info["n_cells"], info["inner_radius"], info["outer_radius"]) == (9, 2, 1.0, 3.0)
+    assert (info["n_nodes"], info["n_cells"], info["inner_radius"], info["outer_radius"]) == (10, 3, 1.0, 4.0)
 
 
 def test_wrong_variable_count(spark, tmp_path):
@@ -63,14 +72,15 @@ def test_wrong_variable_count(spark, tmp_path):
         cfmesh.read_cfmesh(spark, str(tmp_path), ("rho", "Bx")).states.collect()
 
 
-def test_zone_file(spark, tmp_path, splitting):
-    (tmp_path / "a.plt").write_text(zoned())
+@pytest.mark.parametrize("where", ["([1-3]=NODAL,[4-12]=CELLCENTERED)", "([4,5]=CELLCENTERED, [6-12] = CellCentered)"])
+def test_zone_file(spark, tmp_path, splitting, where):
+    (tmp_path / "a.plt").write_text(zoned(where=where))
     zone = tecplot.read_tecplot(spark, str(tmp_path))
     cells = cfmesh.mesh_prism_center(zone.corners, zone.nodes).join(zone.cells, ["file", "cell_id"]).orderBy("cell_id").toPandas()
-    assert cells[["Bx", "By", "Bz"]].to_numpy().tolist() == [[1, 2, 3], [4, 5, 6]]
-    assert cells["x"].tolist() == [0.5, 5 / 6] and {"vx", "vy", "vz", "psi"} <= set(cells.columns)
+    assert cells[["Bx", "By", "Bz"]].to_numpy().tolist() == FIELD
+    assert cells["x"].tolist() == CENTRES and {"vx", "vy", "vz", "psi"} <= set(cells.columns)
     ends = cfmesh.mesh_boundary_synth(zone.nodes).first()
-    assert (round(ends["inner_radius"], 12), round(ends["outer_radius"], 12)) == (1.0, 3.0)
+    assert (round(ends["inner_radius"], 12), round(ends["outer_radius"], 12)) == (1.0, 4.0)
     assert zone.zones.first()["solution_time"] == 2.5
 
 
