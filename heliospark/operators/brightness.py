@@ -10,6 +10,8 @@ from heliospark.functions import radiation as rad
 from heliospark.operators.generators import counter
 from heliospark.operators.lookup import even_curve, interp_table
 from heliospark.operators.los import percentile_stretch
+from heliospark.operators.ranks import quantiles
+from heliospark.session import materialise
 
 NEWKIRK_EXPONENT = 4.32
 PROFILE_NODES = 1024
@@ -44,10 +46,10 @@ def brightness_metrics(frame: DataFrame) -> DataFrame:
     """Median polarization of lit pixels and the decades spanned by polarized brightness."""
     p = F.when(F.col("total") > 0, polarization(F.col("polarized"), F.col("total")))
     lit = F.when(F.col("polarized") > 0, F.col("polarized"))
-    return frame.groupBy("snapshot_id").agg(
-        F.coalesce(F.median(p), F.lit(0.0)).alias("median_polarization"),
-        F.coalesce(F.log10(F.max(lit) / F.min(lit)), F.lit(0.0)).alias("pb_decades"),
-    )
+    frame = materialise(frame, "frame")
+    middle = quantiles(frame, {"_p": p}, [0.5]).select("snapshot_id", F.coalesce(F.get("_p", F.lit(0)), F.lit(0.0)).alias("median_polarization"))
+    decades = frame.groupBy("snapshot_id").agg(F.coalesce(F.log10(F.max(lit) / F.min(lit)), F.lit(0.0)).alias("pb_decades"))
+    return middle.join(decades, "snapshot_id")
 
 
 def hydrostatic_profile(

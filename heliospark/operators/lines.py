@@ -16,6 +16,7 @@ from heliospark.functions.geometry import cart_to_sph, cross, dot, in_shell, nor
 from heliospark.functions.grid import GridSpec
 from heliospark.operators import stepper
 from heliospark.operators.blocks import BlockField
+from heliospark.operators.ranks import quantiles
 from heliospark.operators.stencil import pad_radial
 from heliospark.operators.stepper import INNER, OUTER, Lanes, TraceOptions
 from heliospark.operators.tiles import Tiling, block_of, node_rows, sample_tiles, tile_join
@@ -141,11 +142,16 @@ def _write_lanes(rows: pa.Table, lanes: Lanes) -> pa.Table:
         who = np.concatenate([w for w, _ in lanes.trail])
         where = np.concatenate([p for _, p in lanes.trail])[np.argsort(who, kind="stable")]
         ends = np.cumsum(np.bincount(who, minlength=rows.num_rows))
-        parts = np.split(where, ends[:-1])
-        before = rows.column("path").to_pylist()
-        columns["path"] = pa.array(
-            [old + new.ravel().tolist() for old, new in zip(before, parts)], pa.list_(pa.float64())
-        )
+        before = rows.column("path").combine_chunks()
+        sizes = np.diff(before.offsets.to_numpy())
+        starts = np.concatenate(([0], np.cumsum(sizes + 3 * np.diff(np.append(0, ends)))))
+        flat = np.empty(starts[-1])
+        old = np.repeat(starts[:-1] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
+        flat[old] = before.flatten().to_numpy(zero_copy_only=False)
+        added = 3 * np.diff(np.append(0, ends))
+        new = np.repeat(starts[:-1] + sizes - np.append(0, np.cumsum(added)[:-1]), added) + np.arange(added.sum())
+        flat[new] = where.ravel()
+        columns["path"] = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat))
     return pa.Table.from_arrays([columns[f.name] for f in _STATE.fields], names=_STATE.names)
 
 
@@ -404,10 +410,12 @@ def squash_summary(result: DataFrame) -> DataFrame:
     """Valid share, median and log range per snapshot."""
     complete = classify(F.col("end_b"), F.col("end_f"))["is_complete"]
     log_q = fx.safe_log10(F.col("q_perp"))
-    return result.groupBy("snapshot_id").agg(
+    result = materialise(result, "squashed")
+    middle = quantiles(result, {"_q": F.when(complete, F.col("q_perp"))}, [0.5]).select("snapshot_id", F.get("_q", F.lit(0)).alias("median_q"))
+    rest = result.groupBy("snapshot_id").agg(
         F.count_if(complete).alias("n_valid"),
         F.count(F.lit(1)).alias("n_total"),
-        F.median(F.when(complete, F.col("q_perp"))).alias("median_q"),
         F.min(log_q).alias("min_log_q"),
         F.max(log_q).alias("max_log_q"),
     )
+    return rest.join(middle, "snapshot_id")

@@ -16,6 +16,7 @@ from heliospark.functions.camera import Camera
 from heliospark.functions.geometry import cart_to_sph, clamp
 from heliospark.functions.grid import GridSpec
 from heliospark.operators import generators as gen
+from heliospark.operators.ranks import join_few, quantiles
 from heliospark.operators.tiles import Tiling, as_numpy, block_of, node_rows, nullable, tile_join
 from heliospark.session import materialise
 
@@ -309,14 +310,13 @@ def percentile_stretch(
     if scaling == "log":
         logs = {c: F.log10(F.greatest(F.col(c), F.lit(1e-300))) for c in columns}
         prepared = prepared.withColumns({c: F.when(F.col(c).isNotNull(), e) for c, e in logs.items()})
-    levels = F.array(*[F.lit(p / 100.0) for p in percentiles])
-    aggs = []
-    for c in columns:
-        every = F.percentile(F.col(c), levels)
-        picked = every if anchor is None else F.coalesce(F.percentile(F.when(anchor, F.col(c)), levels), every)
-        aggs.append(picked.alias(f"_{c}"))
-    limits = prepared.groupBy("snapshot_id").agg(*aggs)
-    joined = prepared.join(limits, "snapshot_id")
+    wanted = {f"_{c}": F.col(c) for c in columns}
+    if anchor is not None:
+        wanted |= {f"_{c}_in": F.when(anchor, F.col(c)) for c in columns}
+    limits = quantiles(prepared, wanted, [p / 100.0 for p in percentiles])
+    if anchor is not None:
+        limits = limits.select("snapshot_id", *[F.coalesce(f"_{c}_in", f"_{c}").alias(f"_{c}") for c in columns])
+    joined = join_few(prepared, limits)
     scaled = {}
     for c in columns:
         low, high = F.col(f"_{c}")[0], F.col(f"_{c}")[1]
@@ -333,7 +333,8 @@ def render_finish(
 
     The eclipse core is removed before the stretch, so it does not count in the percentiles.
     """
-    df, alpha = los, F.lit(1.0)
+    # read by both stretches: the line-of-sight pass runs once
+    df, alpha = materialise(los, "line-of-sight"), F.lit(1.0)
     if occult == "eclipse":
         alpha = im.eclipse_alpha(F.col("rho"), r_occult, softness)
         core = alpha <= 0
@@ -364,6 +365,7 @@ def render_composite(
 ) -> DataFrame:
     """Lay an opaque-disk image over an eclipse image: matched ring tone, rim glow, screen blend."""
     shared = [f"{k}_{c}" for k in ("signal", "image") for c in CHANNELS] + ["coverage", "polarity"]
+    base, disk = materialise(base, "eclipse-image"), materialise(disk, "disk-image")
     other = disk.select(*PIXEL, *[F.col(c).alias(f"_{c}") for c in shared])
     df = base.join(other, PIXEL)
     grey = (F.col("_image_0") + F.col("_image_1") + F.col("_image_2")) / 3.0
@@ -376,7 +378,7 @@ def render_composite(
     rings = df.groupBy("snapshot_id").agg(
         F.avg(F.when(outside, mean3("image"))).alias("_outer"), F.avg(F.when(inside, mean3("_layer"))).alias("_inner")
     )
-    df = df.join(rings, "snapshot_id")
+    df = join_few(df, rings)
     matched = F.when(F.col("_outer").isNotNull() & (F.col("_inner") > 0), tone * F.col("_outer") / F.col("_inner"))
     level = F.coalesce(matched, F.lit(tone))
     glow = im.smoothstep((GLOW_OUTER * r_occult - rho) / ((GLOW_OUTER - 1.0) * r_occult))
