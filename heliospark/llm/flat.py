@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at a time; bounds the temporary arrays of a task.
-PORTION = 1 << 21
+PORTION = 1 << 20
 
 _ODD = 0x9E3779B97F4A7C15
 _WRAP = 1 << 64
@@ -44,7 +44,7 @@ _powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
 def powers(n: int, sign: int = 1) -> np.ndarray:
     """The first n powers of the hash base (sign 1) or of its inverse (sign -1), modulo 2**64."""
     if len(_powers[sign]) < n:
-        size = max(n, 2 * len(_powers[sign]), 1 << 16)
+        size = max(n, PORTION + 4096)
         out = np.full(size, _ODD if sign == 1 else _inverse(_ODD), np.uint64)
         out[0] = 1
         _powers[sign] = np.cumprod(out)

@@ -10,11 +10,21 @@ from pyspark.sql import types as T
 
 from heliospark.session import materialise, scratch_path, ship_package, task_count
 
-__all__ = ["materialise", "scratch_path", "ship_package", "task_count", "table", "text_bytes", "parts", "fold", "field", "boxed"]
+__all__ = ["prepare", "materialise", "scratch_path", "ship_package", "task_count", "table", "text_bytes", "parts", "fold", "field", "boxed"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows of a batch that a Python task gets at a time: documents are large rows.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package to the workers and bounds the batches they get; call it once per session."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -87,8 +87,8 @@ def vectors(texts: list[str], size: int) -> np.ndarray:
     else:
         present, at = np.unique(keys, return_inverse=True)
     base = letter_vectors(alphabet, size)
-    for lo in range(0, len(present), 1 << 14):  # bounds the vectors made at a time
-        part = present[lo : lo + (1 << 14)]
+    for lo in range(0, len(present), 1 << 13):  # bounds the vectors made at a time
+        part = present[lo : lo + (1 << 13)]
         grams = np.roll(base, 2, axis=1)[part // (n * n)] * np.roll(base, 1, axis=1)[part // n % n] * base[part % n]
         inside = (at >= lo) & (at < lo + len(part)) if len(present) > len(part) else slice(None)
         counts = np.bincount(row[inside] * len(part) + (at[inside] - lo), minlength=len(texts) * len(part))
@@ -147,15 +147,16 @@ def learn(docs: DataFrame, options: LanguageOptions) -> tuple[list[str], np.ndar
 
 
 def predictions(rows: DataFrame, names: list[str], model: np.ndarray, options: LanguageOptions) -> DataFrame:
-    """``key`` of rows (key, text) with lang_pred and score."""
+    """``key`` of the rows with lang_pred and score. The text is a column, or else a field of the key."""
     size = options.size
     schema = T.StructType([field(rows, "key"), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], []
-            for k in range(0, batch.num_rows, 1024):
-                texts = [t or "" for t in batch.column("text").slice(k, 1024).to_pylist()]
+            column = batch.column("text") if "text" in batch.schema.names else batch.column("key").field("text")
+            for k in range(0, batch.num_rows, 256):
+                texts = [t or "" for t in column.slice(k, 256).to_pylist()]
                 for a, b in batches_of(texts):
                     if not names:
                         langs += [UNKNOWN] * (b - a)
@@ -184,7 +185,6 @@ def recognised(docs: DataFrame, options: LanguageOptions = LanguageOptions(), ch
     Rejected are those without a language, and those of at least ``chars`` characters whose cosine is below ``least``:
     a shorter text holds too few trigrams to be told from noise and stays.
     """
-    rows = boxed(docs)
-    found = predictions(rows.select(F.col("doc").alias("key"), F.col("doc.text").alias("text")), *learn(docs, options), options)
+    found = predictions(boxed(docs).select(F.col("doc").alias("key")), *learn(docs, options), options)
     sure = (F.char_length("key.text") < chars) | (F.col("score") >= least)
     return found.where((F.col("lang_pred") != UNKNOWN) & sure).select("key.*")

@@ -30,7 +30,7 @@ from heliospark.llm.frames import field, materialise
 #: Ranks of one kind of length are counted in so many parts, so that a length that most documents share is split.
 SALTS = 256
 #: Words whose ids a worker remembers, and as many older ones; results do not depend on it.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 _tokenizers: dict[str, "WordIds"] = {}
 
