@@ -34,8 +34,8 @@ from heliospark.llm.frames import field, fold, materialise, parts, text_bytes
 
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Tokens that a task counts before it passes the counts on; bytes of text of a slice; bytes of names of a range.
-TOKENS = 1 << 22
-SLICE = 8 << 20
+TOKENS = 1 << 21
+SLICE = 4 << 20
 RANGE = 4 << 20
 
 COUNTS = "kind int, range long, names binary, counts binary"
