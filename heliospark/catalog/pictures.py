@@ -235,11 +235,15 @@ def src_cfmesh(d):
     return cfmesh.cells_of(mesh).select(snapshot_of_file(), "cell_id", "x", "y", "z", "rho", *[F.col(a).alias(b) for a, b in named.items()])
 
 
-@query("solution_info", with_views("points", more=FACES | {"t": "SELECT snapshot_id, avg(r) FILTER (WHERE source_name = 'Inlet') AS a, avg(r) FILTER (WHERE source_name = 'Outlet') AS b, count(*) AS n FROM fc GROUP BY snapshot_id"},
-    final=f"""SELECT snapshot_id, CAST(1500 AS BIGINT) AS n_nodes, CAST(250 AS BIGINT) AS n_cells, {r6(inner_radius='a', outer_radius='b')}, n AS n_faces, 'mhd' AS model,
-    'rho,vx,vy,vz,Bx,By,Bz,p,psi' AS variables, 'corona' AS normalization FROM t"""))
+INFO = f"""SELECT snapshot_id, CAST(1500 AS BIGINT) AS n_nodes, CAST(250 AS BIGINT) AS n_cells, {r6(inner_radius='a', outer_radius='b')}, n AS n_faces, m.model,
+    'rho,vx,vy,vz,Bx,By,Bz,p,psi' AS variables, m.normalization FROM t CROSS JOIN (VALUES ('mhd', 'corona'), ('polytropic', 'unit')) m(model, normalization)"""
+
+
+@query("solution_info", with_views("points", more=FACES | {"t": "SELECT snapshot_id, avg(r) FILTER (WHERE source_name = 'Inlet') AS a, avg(r) FILTER (WHERE source_name = 'Outlet') AS b, count(*) AS n FROM fc GROUP BY snapshot_id"}, final=INFO))
 def solution_info(d):
-    return cfmesh.solution_info(cfmesh.read_cfmesh(d.spark, write_cfmesh(d))).select(snapshot_of_file(), "*").drop("file")
+    mesh = cfmesh.read_cfmesh(d.spark, write_cfmesh(d))
+    both = cfmesh.solution_info(mesh).unionByName(cfmesh.solution_info(mesh, "polytropic", "unit"))
+    return both.select(snapshot_of_file(), "*").drop("file")
 
 
 def write_tecplot(d: Inputs) -> str:
@@ -361,9 +365,11 @@ def sink_frames(d):
     return store.write_frames(scratch_path(d.spark, "frames"), frame, ["mean"]).select("snapshot_id", "pixel_id", "prow", "pcol", "px", "py", "rho", "mean")
 
 
-@query("content_hash")
+@query("content_hash", "SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash FROM documents")
 def content_hash(d):
-    return store.content_hash(d.spark, d.sf_dir, "*.parquet")
+    """The hash of each row's content; ``store.content_hash`` is the same over files."""
+    rows = d.spark.read.parquet(f"{d.sf_dir}/documents.parquet")
+    return rows.select("doc_id", store.short_hash(F.col("text")).alias("content_hash"))
 
 
 @query("julian_date", f"""SELECT event_id, {big(jd_day='floor(jd)')}, {r6(jd_part='jd - floor(jd)')} FROM (SELECT event_id, epoch_us(ts)/864e8 + 24405875e-1 AS jd FROM events) a""")

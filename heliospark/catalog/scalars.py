@@ -221,14 +221,14 @@ def radial_distance(d):
     return d.cells.select("cell_id", g.norm(*xyz()).alias("r"))
 
 
-def _dot(v) -> str:
-    return "(" + " + ".join(f"{c}*({float(k):.17e})" for c, k in zip("xyz", v)) + ")"
+# the observer stands over longitude 30 and latitude 20 degrees; east and north there, then turned by a roll of 35 degrees
+SKY = """SELECT *, x*cos(la)*cos(lo) + y*cos(la)*sin(lo) + z*sin(la) AS toward, y*cos(lo) - x*sin(lo) AS east,
+    z*cos(la) - x*sin(la)*cos(lo) - y*sin(la)*sin(lo) AS north
+    FROM points, (SELECT radians(3e1) AS lo, radians(2e1) AS la, radians(35e0) AS turn) a"""
 
 
-LOOK, RIGHT, UP = TILTED.basis()
-
-
-@query("project_points", with_views("points", final=f"SELECT pid, {r6(pcol=f'{_dot(RIGHT)}/25e-2 + 115e-1', prow=f'115e-1 - {_dot(UP)}/25e-2', depth=_dot(LOOK))} FROM points"))
+@query("project_points", with_views("points", more={"sky": SKY}, final=f"""SELECT pid, {r6(pcol='(east*cos(turn) - north*sin(turn))/25e-2 + 115e-1',
+    prow='115e-1 - (east*sin(turn) + north*cos(turn))/25e-2', depth='toward')} FROM sky"""))
 def project_points(d):
     return d.points.select("pid", *named(TILTED.project(*xyz()), "pcol prow depth"))
 

@@ -136,7 +136,7 @@ def cells_of(mesh: Mesh) -> DataFrame:
     return mesh_prism_center(corners, mesh.nodes).join(mesh_state_to_cell(mesh.elements, mesh.states), ["file", "cell_id"])
 
 
-def solution_info(mesh: Mesh, model: str = "mhd") -> DataFrame:
+def solution_info(mesh: Mesh, model: str = "mhd", normalization: str = "corona") -> DataFrame:
     """One row per solution: counts, variables, boundary radii."""
     face_nodes = mesh.faces.select("file", "source_name", "face_id", F.explode("node_ids").alias("node_id"))
     tags = mesh_boundary_tag(face_nodes, mesh.nodes).groupBy("file").agg(
@@ -148,5 +148,5 @@ def solution_info(mesh: Mesh, model: str = "mhd") -> DataFrame:
         mesh.nodes.groupBy("file").agg(F.count(F.lit(1)).alias("n_nodes"))
         .join(mesh.elements.groupBy("file").agg(F.count(F.lit(1)).alias("n_cells")), "file")
         .join(tags, "file")
-        .select("*", F.lit(model).alias("model"), F.lit(",".join(mesh.variables)).alias("variables"), F.lit("corona").alias("normalization"))
+        .select("*", F.lit(model).alias("model"), F.lit(",".join(mesh.variables)).alias("variables"), F.lit(normalization).alias("normalization"))
     )

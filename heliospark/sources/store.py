@@ -88,11 +88,16 @@ def write_frames(path: str, frame: DataFrame, values: list[str], camera=None) ->
     return frame.sparkSession.read.parquet(path)
 
 
+def short_hash(content: Column) -> Column:
+    """First 16 hex digits of the SHA-256 of a binary or text column."""
+    return F.substring(F.sha2(content.cast("binary"), 256), 1, 16)
+
+
 def content_hash(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """First 16 hex digits of the SHA-256 of each file."""
+    """``short_hash`` of each file; a file is one row, so it stays below 2 GiB."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("file_name"), F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"))
+    return files.select(name.alias("file_name"), short_hash(F.col("content")).alias("content_hash"))
 
 
 def julian_date(ts: Column) -> Column:
