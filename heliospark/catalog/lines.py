@@ -36,10 +36,34 @@ def trace_lines(d):
     return lines.select("snapshot_id", "line_id", flag["is_closed"].alias("closed"), flag["is_open"].alias("opened"), (kept[0] & kept[1]).alias("on_flux"))
 
 
-@query("trace_lines_grid")
+# a uniform field: cubic reads are exact, lines are straight and feet are where they meet the spheres
+UNIFORM = {
+    "ray": """SELECT snapshot_id, line_id, x, y, z, s, nx/size AS nx, ny/size AS ny, nz/size AS nz
+        FROM (SELECT *, sqrt(nx*nx + ny*ny + nz*nz) AS size FROM (SELECT snapshot_id, line_id, x, y, z, 37e-2*(1 + snapshot_id % 3) AS nx, -2e-1 AS ny, 6e-1 AS nz
+        FROM seeds) a, (VALUES (-1e0), (1e0)) side(s)) b""",
+    "hit": """SELECT *, x*x + y*y + z*z AS rr, s*(x*nx + y*ny + z*nz) AS along FROM ray""",
+    "foot": """SELECT *, CASE WHEN along < 0 AND along*along - rr + 1e0 > 0 THEN 0 ELSE 1 END AS code,
+        CASE WHEN along < 0 AND along*along - rr + 1e0 > 0 THEN -along - sqrt(along*along - rr + 1e0) ELSE -along + sqrt(along*along - rr + 625e-2) END AS t FROM hit""",
+    "two": """SELECT b.snapshot_id, b.line_id, b.code AS end_b, f.code AS end_f, b.t AS len_b, f.t AS len_f,
+        b.x - b.t*b.nx AS bx, b.y - b.t*b.ny AS b_y, b.z - b.t*b.nz AS bz, f.x + f.t*f.nx AS fx, f.y + f.t*f.ny AS fy, f.z + f.t*f.nz AS fz
+        FROM foot b JOIN foot f ON b.line_id = f.line_id AND b.snapshot_id = f.snapshot_id WHERE b.s < 0 AND f.s > 0""",
+}
+
+
+def uniform_field(d: Inputs) -> ln.GridField:
+    """One direction per snapshot, as strong as its nodes' mean value."""
+    strength = d.nodes.groupBy("snapshot_id").agg((1.0 + F.avg("ne")).alias("size"))
+    turned = 0.37 * (1 + F.col("snapshot_id") % 3)
+    b = [(F.col("size") * k).alias(c) for c, k in (("b_x", turned), ("b_y", F.lit(-0.2)), ("b_z", F.lit(0.6)))]
+    return ln.GridField(d.nodes.join(strength, "snapshot_id").select("snapshot_id", "i_r", "i_t", "i_p", *b), GRID)
+
+
+@query("trace_lines_grid", with_views("seeds", more=UNIFORM, final=f"""SELECT snapshot_id, line_id, {big(end_b='end_b', end_f='end_f')}, {r6(len_b='len_b', len_f='len_f',
+    foot_b_x='bx', foot_b_y='b_y', foot_b_z='bz', foot_f_x='fx', foot_f_y='fy', foot_f_z='fz')} FROM two"""))
 def trace_lines_grid(d):
-    """The same job on a field given on grid nodes, one field per snapshot."""
-    return ln.trace_lines(line_seeds(d), ln.GridField(d.field_nodes, GRID), TraceOptions(rtol=1e-3))
+    """A field given on grid nodes, one per snapshot."""
+    lines = ln.trace_lines(line_seeds(d), uniform_field(d), TraceOptions(cfl=0.1))
+    return lines.select("snapshot_id", "line_id", "end_b", "end_f", "len_b", "len_f", *[f"foot_{s}_{c}" for s in "bf" for c in "xyz"])
 
 
 @query("fold_halves", with_views("lines", final=f"""SELECT snapshot_id, line_id, {big(end_b='end_b', end_f='end_f')}, {r6(len_b='len_b', len_f='len_f',
