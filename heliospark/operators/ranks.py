@@ -67,3 +67,17 @@ def join_few(rows: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
     salted = few.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
     return spread.join(salted, ["snapshot_id", "_salt"], how).drop("_salt")
+
+
+def row_ranks(rows: DataFrame, order: str, out: str) -> DataFrame:
+    """Append the place (from 0) of each row of a snapshot in the order of a column.
+
+    Rows are dealt to ranges of (snapshot, column); a place is the one inside the range plus the sizes of earlier ranges.
+    """
+    ranged = materialise(rows.repartitionByRange("snapshot_id", order).withColumn("_range", F.spark_partition_id()), "ranges")
+    key = ["snapshot_id", "_range"]
+    earlier = Window.partitionBy("snapshot_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).select(*key, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1
+    placed = ranged.withColumn("_place", inside).join(sizes, key)
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_place")).cast("long").alias(out))
