@@ -258,7 +258,9 @@ def volume_paint(
     seeds = _both_spheres(snapshots, field, *size)
     half = materialise(ln.trace_halves(seeds, field, opt, store_path=True), "half-lines")
     values = materialise(line_values(ln.fold_halves(half), maps, *size, field, closed), "line-values")
-    voxels = path_voxels(path_resample(ln.join_paths(half), spec, paint_step), spec)
+    # lines without a value paint nothing: they leave before their paths are cut up
+    usable = half.join(values.where(F.col("log_q").isNotNull()).select(*LINE), LINE, "left_semi")
+    voxels = path_voxels(path_resample(ln.join_paths(usable), spec, paint_step), spec)
     nodes = gen.grid_nodes(snapshots, spec).select("snapshot_id", "node_id", "i_r", "i_t", "i_p")
     return paint_finalize(paint_accumulate(voxels, values), nodes).withColumnRenamed("voxel", "node_id")
 
