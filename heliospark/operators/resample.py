@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from heliospark.functions.geometry import TWO_PI
 from heliospark.operators.tiles import as_numpy, tile_join
+from heliospark.operators.ranks import join_few
 from heliospark.session import materialise
 
 #: Cells a bucket may hold before buckets are halved.
@@ -21,7 +22,11 @@ BUCKET_CAP = 4096
 RIDGE = 1e-8
 
 
-def effective_neighbours(n_cells: int, k: int = 30, reference: int = 2_000_000) -> int:
+#: Cells of a mesh for which k neighbours are meant; larger meshes take more.
+REFERENCE_CELLS = 2_000_000
+
+
+def effective_neighbours(n_cells: int, k: int = 30, reference: int = REFERENCE_CELLS) -> int:
     """Neighbours per node, growing with the mesh (round half to even)."""
     if k <= 4:
         raise ValueError("k must exceed the four unknowns of a linear fit")
@@ -187,9 +192,21 @@ def resample_nearest(points: DataFrame, cells: DataFrame, values: list[str], id_
 _MOMENTS = ["n00", "n01", "n02", "n03", "n11", "n12", "n13", "n22", "n23", "n33"]
 
 
+def _effective_pairs(points: DataFrame, cells: DataFrame, k: int, id_col: str, reference: int = REFERENCE_CELLS) -> DataFrame:
+    """Each point's neighbours, as many as its snapshot's number of cells calls for (see effective_neighbours)."""
+    n = F.count(F.lit(1))
+    wanted = cells.groupBy("snapshot_id").agg(
+        F.greatest(F.lit(k), F.least(F.bround(n * (k / reference)).cast("long"), n)).alias("_wanted")
+    )
+    wanted = materialise(wanted, "neighbours")
+    widest = wanted.agg(F.max("_wanted")).first()[0] or k
+    pairs = knn_join(points, cells, int(widest), id_col)
+    return join_few(pairs, wanted).where(F.col("rank") <= F.col("_wanted")).drop("_wanted")
+
+
 def mls_normal(points: DataFrame, cells: DataFrame, values: list[str], k: int, id_col: str = "pid") -> DataFrame:
     """Weighted normal-equation sums of a linear fit around each point (10 shared, 4 per variable)."""
-    pairs = knn_join(points, cells, k, id_col)
+    pairs = _effective_pairs(points, cells, k, id_col)
     width = pairs.groupBy("snapshot_id", id_col).agg(F.greatest(F.avg("distance"), F.lit(1e-30)).alias("_h"))
     at = points.select("snapshot_id", id_col, *[F.col(c).alias(f"_p{c}") for c in "xyz"])
     df = (
