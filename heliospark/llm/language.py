@@ -179,7 +179,7 @@ def identify(docs: DataFrame, options: LanguageOptions = LanguageOptions()) -> D
     return found.select(F.col("key").alias("doc_id"), held.alias("held_out"), "lang_pred", "score")
 
 
-def recognised(docs: DataFrame, options: LanguageOptions = LanguageOptions(), chars: int = 200, least: float = 0.15) -> DataFrame:
+def recognised(docs: DataFrame, options: LanguageOptions = LanguageOptions(), chars: int = 200, least: float = 0.1) -> DataFrame:
     """The documents in a known language.
 
     Rejected are those without a language, and those of at least ``chars`` characters whose cosine is below ``least``:

@@ -8,7 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from brute import awkward, awkward_texts, base_scores, empty, fold, likeness, order_minhash, prose, rows_of, spelled
+from brute import awkward, awkward_texts, base_scores, empty, fold, likeness, order_minhash, prose, spelled
 
 from heliospark.llm import bloom_lm
 from heliospark.llm.chat import example_texts, formatted, read_back
