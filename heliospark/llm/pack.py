@@ -25,21 +25,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from heliospark.llm.flat import LOWER, byte_set, prefix_hashes, span_hashes, texts_of, word_spans
 from heliospark.llm.frames import field, materialise
 
 #: Ranks of one kind of length are counted in so many parts, so that a length that most documents share is split.
 SALTS = 256
-#: Words whose ids a worker remembers, and as many older ones; results do not depend on it.
-REMEMBERED = 120_000
+#: Words whose ids a worker remembers; beyond it it starts anew. Results do not depend on it.
+REMEMBERED = 1_000_000
 
 _tokenizers: dict[str, "WordIds"] = {}
+#: All bytes but the blank and the line feed, at which texts are cut into words.
+INSIDE = byte_set(b" \n", invert=True)
 
 
 class WordIds:
     """Ids of texts by a tokenizer that lets no token cross white space, remembering the ids of words.
 
-    Words are cut at blanks and line feeds, which that tokenizer drops. A word of letters that ends in a full stop or
-    comma has the ids of its letters followed by those of the mark; upper-case ASCII letters have those of lower case.
+    Words are cut at blanks and line feeds, which that tokenizer drops. A full stop or comma after an ASCII letter at a
+    word's end is a word of its own, and ASCII letters are lower-cased, as that tokenizer does either. Words are known by
+    64-bit hashes; each different one is given to the tokenizer once.
     """
 
     def __init__(self, path: str):
@@ -48,61 +52,79 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = {i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")}
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.marks = {mark: self._alone([mark])[0] for mark in ".,"}
+        self.forget()
 
-    def _alone(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def forget(self) -> None:
+        """Names of the known words, rising; the place of each one's ids, and how many it has."""
+        self.names = np.zeros(0, np.uint64)
+        self.places, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _letters(self, words: list[str]) -> list[bytes]:
+    def _alone(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[list[int]]:
         """Of words of letters only: one call for all, cut at the tokens that end a word."""
         ids = self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
         cuts = [k + 1 for k, i in enumerate(ids) if i in self.ends]
         if len(cuts) != len(words) or (cuts and cuts[-1] != len(ids)):
             return self._alone(words)
-        flat = np.array(ids, "<u4").tobytes()
-        return [flat[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)]
-
-    def learn(self, missing: set[str]) -> None:
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.older, self.known = self.known, {"": b""}
-        known, older = self.known, self.older
-        forms, plain, odd = [], set(), []
-        for word in missing:
-            if word in older:
-                known[word] = older[word]
-                continue
-            mark = word[-1] if word[-1] in ".," and len(word) > 1 else ""
-            stem = word[:-1] if mark else word
-            if not stem.isalpha():
-                odd.append(word)
-                continue
-            stem = stem.lower() if stem.isascii() else stem
-            if stem in older:
-                known[stem] = older[stem]
-            forms.append((word, stem, mark))
-            plain.add(stem)
-        new = [w for w in plain if w not in known]
-        for k in range(0, len(new), 4096):
-            known.update(zip(new[k : k + 4096], self._letters(new[k : k + 4096])))
-        for k in range(0, len(odd), 4096):
-            known.update(zip(odd[k : k + 4096], self._alone(odd[k : k + 4096])))
-        for word, stem, mark in forms:
-            known[word] = known[stem] + self.marks[mark] if mark else known[stem]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        different = set().union(*words)
-        missing = different.difference(self.known)
-        if missing:
-            self.learn(missing)
-            lost = different.difference(self.known)  # of the older words just laid aside
-            if lost:
-                self.learn(lost)
-        known = self.known.__getitem__
-        return [b"".join(map(known, w)) for w in words]
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def learn(self, names: np.ndarray, words: list[str]) -> None:
+        """Adds words by their (rising) names."""
+        ids: list[list[int]] = [[]] * len(words)
+        letters = [word.isalpha() for word in words]
+        for ask, kind in ((self._letters, True), (self._alone, False)):
+            chosen = [k for k, plain in enumerate(letters) if plain is kind]
+            for k in range(0, len(chosen), 4096):
+                part = chosen[k : k + 4096]
+                for j, found in zip(part, ask([words[j] for j in part])):
+                    ids[j] = found
+        sizes = np.array([len(i) for i in ids], np.int64)
+        flat = np.array([i for found in ids for i in found], np.uint32)
+        while len(self.flat) < self.used + len(flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[self.used : self.used + len(flat)] = flat
+        at = np.searchsorted(self.names, names)
+        self.places = np.insert(self.places, at, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, at, sizes)
+        self.names = np.insert(self.names, at, names)
+        self.used += len(flat)
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, each closed by the end id, and how many each row has."""
+        raw = data.tobytes()
+        low = data if b"<|" in raw else LOWER[data]
+        starts, ends, rows = word_spans(low, offsets, INSIDE)
+        last, before = low[ends - 1], low[np.maximum(ends - 2, starts)]
+        marked = ((last == 46) | (last == 44)) & (before >= 97) & (before <= 122)
+        at = np.arange(len(starts)) + np.cumsum(marked) - marked
+        firsts, lasts, owner = (np.zeros(len(starts) + int(marked.sum()), np.int64) for _ in range(3))
+        firsts[at], lasts[at], owner[at] = starts, ends - marked, rows
+        mark = at[marked] + 1
+        firsts[mark], lasts[mark], owner[mark] = ends[marked] - 1, ends[marked], rows[marked]
+        names, where, back = np.unique(span_hashes(prefix_hashes(low), firsts, lasts), return_index=True, return_inverse=True)
+        if len(self.names) > REMEMBERED:
+            self.forget()
+        spot = np.searchsorted(self.names, names)
+        known = spot < len(self.names)
+        known[known] = self.names[spot[known]] == names[known]
+        if not known.all():
+            new = where[~known]
+            text = raw if low is data else low.tobytes()
+            self.learn(names[~known], [text[a:b].decode() for a, b in zip(firsts[new].tolist(), lasts[new].tolist())])
+            spot = np.searchsorted(self.names, names)
+        spot = spot[back]
+        sizes = self.sizes[spot]
+        upto = np.cumsum(sizes) - sizes
+        total = int(sizes.sum())
+        ids = self.flat[np.repeat(self.places[spot] - upto, sizes) + np.arange(total)]
+        n = len(offsets) - 1
+        count = np.bincount(owner, sizes, minlength=n).astype(np.int64) + 1
+        out = np.full(total + n, end_id, "<u4")
+        out[np.arange(total) + np.repeat(owner, sizes)] = ids
+        return out, count
 
 
 def word_ids(path: str) -> WordIds:
@@ -127,24 +149,25 @@ def pieces(docs: DataFrame, options: PackOptions) -> DataFrame:
         + [T.StructField("ids", T.BinaryType())] * options.keep_ids
     )
     arrow_schema = to_arrow_schema(schema)
-    end = np.array([options.end_id], "<u4").tobytes()
-    step = 4 * options.capacity
+    capacity = options.capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(options.tokenizer)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                out: dict[str, list] = {f.name: [] for f in schema}
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.ids(texts)):
-                    ids += end
-                    for at in range(0, len(ids), step):
-                        piece = ids[at : at + step]
-                        row = (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece)
-                        for values, value in zip(out.values(), row):
-                            values.append(value)
-                yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
+            for a, b, data, offsets in texts_of(batch, "text"):
+                ids, sizes = encoder.ids(data, offsets, options.end_id)
+                n_pieces = -(-sizes // capacity)
+                row = np.repeat(np.arange(b - a), n_pieces)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)) * capacity
+                length = np.minimum(sizes[row] - start, capacity)
+                first = (np.cumsum(sizes) - sizes)[row] + start
+                raw = memoryview(ids).cast("B")
+                parts = [raw[4 * x : 4 * (x + n)] for x, n in zip(first.tolist(), length.tolist())]
+                columns = [batch.column("doc_id").slice(a, b - a).take(pa.array(row)), pa.array(start), pa.array(length)]
+                columns += [pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(sizes[row])]
+                if options.keep_ids:
+                    columns.append(pa.array([p.tobytes() for p in parts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
