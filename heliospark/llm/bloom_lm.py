@@ -2,16 +2,15 @@
 
 Counts of words and word pairs are summed over all training texts. A pair's count is put into levels, each twice the one
 before; the filter holds (pair, 1), ..., (pair, level). A pair is looked up by probing level after level until one is
-missing, which gives its count up to a factor and never too low. The filter has a fixed number of bits, which bounds what
-is broadcast; pairs below the least count with which all levels fit into it are left to the word model. That count
-follows from sums over all pairs by one rule at every size.
+missing, which gives its count up to a factor and never too high but for the filter's errors. The filter has one part for
+each range of names, with so many bits for each of its entries; it grows with the pairs and holds all of them.
 
 The score of a token after another is ``(1 - mix) * word + mix * pair / context``: its share of all training tokens
-(smoothed, see ``base_score``) and that of the pair among the context's. As pruned pairs only lower it, the sum over all
+(smoothed, see ``base_score``) and that of the pair among the context's. As levels only lower a count, the sum over all
 tokens does not pass 1 but for the filter's errors. A text starts after a start mark and ends with an end token.
 
-Exact word counts are not broadcast: texts are dealt to slices of some MB, each slice asks the ranges of words for the
-counts of its different words, and the answers meet the slice's texts. Words are known by 64-bit hashes.
+Neither word counts nor the filter are broadcast: texts are dealt to slices of some MB, each slice asks the ranges for the
+counts of its different words and the levels of its different pairs, and the answers meet the slice's texts. Words are known by 64-bit hashes.
 
 Null is the empty text, which is the end token alone. Without training texts every token has base probability 1.
 A null doc_id is not held out and learned from. Repeated rows count as often as they occur. Extra columns are ignored.
@@ -20,7 +19,7 @@ A null doc_id is not held out and learned from. Repeated rows count as often as
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +42,11 @@ COUNTS = "kind int, range long, names binary, counts binary"
 
 @dataclass(frozen=True)
 class ModelOptions:
+    #: Of one filter; those of a range follow from its entries.
     bits: int = 1 << 28
     probes: int = 3
     bits_each: int = 12
-    least: int = 2
+    least: int = 1
     mix: float = 0.1
 
 
@@ -134,41 +134,28 @@ def level_counts(filter_: np.ndarray, names: np.ndarray, least: int, ranges: int
     return out
 
 
-def build_filter(pairs: DataFrame, ranges: int, options: ModelOptions) -> tuple[np.ndarray, int]:
-    """The filter and the least count that it holds."""
-    found = pairs.select(F.explode("sizes").alias("s")).groupBy("s.level").agg(F.sum("s.n").alias("n")).collect()  # at most 64 rows
-    n = {r["level"]: r["n"] for r in found}  # pairs whose count is in [least * 2**(level - 1), least * 2**level)
-    room, skip = options.bits // options.bits_each, 0
-    while sum(k * (level - skip) for level, k in n.items() if level > skip) > room:
-        skip += 1
-    least = options.least * 2**skip
+def range_filter(names: np.ndarray, counts: np.ndarray, options: ModelOptions) -> bytes:
+    """The part of the filter that holds all levels of a range's pairs."""
+    names, counts = names[counts >= options.least], counts[counts >= options.least]
+    level = levels_of(counts, options.least)
+    bits = np.zeros(64 * max(1, -(-int(level.sum()) * options.bits_each // 64)), bool)
+    options = replace(options, bits=len(bits))
+    for q in range(1, int(level.max(initial=0)) + 1):
+        for at in filter_places(names[level >= q], q, 1, options):
+            bits[at] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = options.bits // ranges
-        for batch in batches:
-            out = []
-            for k, names, counts in zip(*(batch.column(c).to_pylist() for c in ("range", "names", "counts"))):
-                names, counts = unplanes(names), unplanes(counts).astype(np.int64)
-                names, level = names[counts >= least], levels_of(counts[counts >= least], least)
-                bits = np.zeros(each, bool)
-                for q in range(1, int(level.max(initial=0)) + 1):
-                    for at in filter_places(names[level >= q], q, ranges, options):
-                        bits[at - np.uint64(k * each)] = True
-                out.append(np.packbits(bits, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("range"), pa.array(out, pa.binary())], ["range", "bits"])
-
-    filter_ = np.zeros(options.bits // 8, np.uint8)
-    width = len(filter_) // ranges
-    for k, bits in pairs.select("range", "names", "counts").mapInArrow(fill, "range long, bits binary").toLocalIterator():
-        filter_[k * width : (k + 1) * width] = np.frombuffer(bits, np.uint8)  # options.bits in all
-    return filter_, least
+
+def range_levels(part: bytes, names: np.ndarray, options: ModelOptions) -> np.ndarray:
+    """The level of each pair in its range's part of the filter; 0 where it is missing."""
+    counts = level_counts(np.frombuffer(part, np.uint8), names, options.least, 1, replace(options, bits=8 * len(part)))
+    return np.where(counts > 0, levels_of(counts, options.least), 0).astype(np.uint8)
 
 
 def score(docs: DataFrame, options: ModelOptions = ModelOptions()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    spark = docs.sparkSession
     size = text_bytes(docs)
-    ranges = min(parts(2 * size, RANGE), options.bits // 4096)
+    ranges = parts(2 * size, RANGE)
     slices = parts(size, SLICE)
     train = docs.where(F.coalesce(fold(F.col("doc_id"), 5) != 1, F.lit(True)))
 
@@ -176,12 +163,7 @@ def score(docs: DataFrame, options: ModelOptions = ModelOptions()) -> DataFrame:
         names, counts = merged(rows)
         kind = key[0].as_py()
         total, different = int(counts.sum()), len(names)
-        sizes = []
-        if kind == 2:
-            names, counts = names[counts >= options.least], counts[counts >= options.least]
-            level, n = np.unique(levels_of(counts, options.least), return_counts=True)
-            sizes = [{"level": int(a), "n": int(b)} for a, b in zip(level, n)]
-        packed = pack_counts(names, counts)
+        packed = (range_filter(names, counts, options), b"") if kind == 2 else pack_counts(names, counts)
         return pa.table(
             {
                 "kind": pa.array([kind], pa.int32()),
@@ -190,38 +172,49 @@ def score(docs: DataFrame, options: ModelOptions = ModelOptions()) -> DataFrame:
                 "counts": pa.array([packed[1]], pa.binary()),
                 "total": pa.array([total], pa.int64()),
                 "different": pa.array([different], pa.int64()),
-                "sizes": pa.array([sizes], pa.list_(pa.struct([("level", pa.int32()), ("n", pa.int64())]))),
             }
         )
 
-    added = COUNTS + ", total long, different long, sizes array<struct<level:int,n:bigint>>"
+    added = COUNTS + ", total long, different long"
     counted = materialise(count_tokens(train, ranges).groupBy("kind", "range").applyInArrow(add, added), "counts")
-    words, pairs = counted.where("kind = 1"), counted.where("kind = 2")
-    n_all, n_different = (int(x or 0) for x in words.agg(F.sum("total"), F.sum("different")).first())
-    filter_, least = build_filter(pairs, ranges, options)
-    shared = spark.sparkContext.broadcast(filter_)
+    n_all, n_different = (int(x or 0) for x in counted.where("kind = 1").agg(F.sum("total"), F.sum("different")).first())
+
+    def different(rows: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
+        """Tokens of a slice's texts, its different words and its different pairs."""
+        held = [(a, b, *tokens(d, o)) for a, b, d, o in texts_of(rows, "text")]
+        none = np.zeros(0, np.uint64)
+        words = np.unique(np.concatenate([none, *(np.unique(h[2]) for h in held)]))
+        return held, words, np.unique(np.concatenate([none, *(np.unique(pair_names(contexts(h[2], h[3]), h[2])) for h in held)]))
 
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
-        names, _ = totals(np.concatenate([np.zeros(0, np.uint64), *(tokens(d, o)[0] for _, _, d, o in texts_of(rows, "text"))]))
-        at = cuts(names, ranges)
-        full = np.flatnonzero(np.diff(at))
+        found: dict[str, list] = {c: [] for c in ("kind", "range", "names")}
+        for kind, names in enumerate(different(rows)[1:], 1):
+            at = cuts(names, ranges)
+            for k in np.flatnonzero(np.diff(at)):
+                for values, value in zip(found.values(), (kind, int(k), planes(names[at[k] : at[k + 1]]))):
+                    values.append(value)
         return pa.table(
             {
-                "range": pa.array(full, pa.int64()),
-                "slice": pa.array([key[0].as_py()] * len(full), pa.int64()),
-                "names": pa.array([planes(names[at[k] : at[k + 1]]) for k in full], pa.binary()),
+                "kind": pa.array(found["kind"], pa.int32()),
+                "range": pa.array(found["range"], pa.int64()),
+                "slice": pa.array([key[0].as_py()] * len(found["kind"]), pa.int64()),
+                "names": pa.array(found["names"], pa.binary()),
             }
         )
 
     def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
-        names, counts = merged(known)
-        out = []
+        kind, out = key[0].as_py(), []
+        names, counts = merged(known) if kind == 1 else (None, None)
         for raw in asked.column("names").to_pylist():
             wanted = unplanes(raw)
+            if kind == 2:
+                found = range_levels(known.column("names")[0].as_py(), wanted, options) if known.num_rows else np.zeros(len(wanted), np.uint8)
+                out.append(found.tobytes())
+                continue
             at = np.minimum(np.searchsorted(names, wanted), max(len(names) - 1, 0))
             found = np.where(names[at] == wanted, counts[at], 0) if len(names) else np.zeros(len(wanted), np.int64)
             out.append(planes(found))
-        return pa.table({"slice": asked.column("slice"), "range": asked.column("range"), "counts": pa.array(out, pa.binary())})
+        return pa.table({"slice": asked.column("slice"), "kind": asked.column("kind"), "range": asked.column("range"), "counts": pa.array(out, pa.binary())})
 
     out_schema = T.StructType(
         [field(docs, "doc_id"), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType())]
@@ -229,15 +222,16 @@ def score(docs: DataFrame, options: ModelOptions = ModelOptions()) -> DataFrame:
     )
 
     def assess(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        held = [(a, b, *tokens(d, o)) for a, b, d, o in texts_of(rows, "text")]
-        names = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h[2] for h in held)]))
-        at = cuts(names, ranges)
-        counts = np.zeros(len(names), np.int64)
-        for k, raw in zip(answers.column("range").to_pylist(), answers.column("counts").to_pylist()):
-            counts[at[k] : at[k + 1]] = unplanes(raw).astype(np.int64)
+        held, names, pairs = different(rows)
+        at, pair_at = cuts(names, ranges), cuts(pairs, ranges)
+        counts, levels = np.zeros(len(names), np.int64), np.zeros(len(pairs), np.uint8)
+        for kind, k, raw in zip(*(answers.column(c).to_pylist() for c in ("kind", "range", "counts"))):
+            if kind == 1:
+                counts[at[k] : at[k + 1]] = unplanes(raw).astype(np.int64)
+            else:
+                levels[pair_at[k] : pair_at[k + 1]] = np.frombuffer(raw, np.uint8)
         n_texts = counts[names == END].sum()
         columns: list[list[np.ndarray]] = [[] for _ in range(4)]
-        bits = shared.value
         for a, b, token, sizes in held:
             first = np.cumsum(sizes) - sizes
             count = counts[np.searchsorted(names, token)]
@@ -246,8 +240,8 @@ def score(docs: DataFrame, options: ModelOptions = ModelOptions()) -> DataFrame:
             context = np.empty(len(token))
             context[1:] = count[:-1]
             context[first] = n_texts
-            once, back = np.unique(pair_names(before, token), return_inverse=True)
-            pair = level_counts(bits, once, least, ranges, options)[back]
+            level = levels[np.searchsorted(pairs, pair_names(before, token))]
+            pair = np.where(level > 0, options.least * 2.0 ** (level.astype(np.int64) - 1), 0)
             share = np.minimum(pair / np.maximum(context, 1), 1) * (context > 0)
             mixed = np.log10((1 - options.mix) * chance + options.mix * share)
             for column, value in zip(columns, (sizes, np.add.reduceat((count > 0).astype(np.int64), first), np.add.reduceat(np.log10(chance), first), np.add.reduceat(mixed, first))):
@@ -256,8 +250,9 @@ def score(docs: DataFrame, options: ModelOptions = ModelOptions()) -> DataFrame:
 
     key = F.pmod(F.xxhash64("doc_id", F.crc32(F.encode("text", "UTF-8"))), F.lit(slices)).alias("slice")
     texts = docs.select("doc_id", "text", key)
-    asked = texts.select("slice", "doc_id", "text").groupBy("slice").applyInArrow(ask, "range long, slice long, names binary")
-    answers = asked.groupBy("range").cogroup(words.select("range", "names", "counts").groupBy("range")).applyInArrow(answer, "slice long, range long, counts binary")
+    asked = texts.select("slice", "doc_id", "text").groupBy("slice").applyInArrow(ask, "kind int, range long, slice long, names binary")
+    known = counted.select("kind", "range", "names", "counts").groupBy("kind", "range")
+    answers = asked.groupBy("kind", "range").cogroup(known).applyInArrow(answer, "slice long, kind int, range long, counts binary")
     scored = texts.select("slice", "doc_id", "text").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(assess, out_schema)
     held = F.coalesce(fold(F.col("doc_id"), 5) == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
