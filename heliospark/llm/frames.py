@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heliospark.session import materialise, scratch_path, ship_package, task_count
+from heliospark.session import discard, materialise, scratch_path, ship_package, task_count
 
-__all__ = ["prepare", "materialise", "scratch_path", "ship_package", "task_count", "table", "text_bytes", "parts", "fold", "field", "boxed"]
+__all__ = ["prepare", "discard", "materialise", "scratch_path", "ship_package", "task_count", "table", "text_bytes", "parts", "fold", "field", "boxed"]
 
 
 #: Rows of a batch that a Python task gets at a time: documents are large rows.

@@ -112,3 +112,64 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heliospark.llm.order_minhash import edited_pairs
 
     return edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH RECURSIVE
+docs AS (
+    SELECT *, CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other
+    FROM (SELECT *, xor(4294967295, list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(
+              string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS UBIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+              lambda a, v: xor(xor(a, v) // 2, (xor(a, v) % 2) * 3988292384))) AS crc FROM documents)),
+shown AS (
+    SELECT doc_id, lang, text, other,
+           coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+    FROM docs),
+leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+    FROM (SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                 sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS altered FROM shown)),
+tree AS (
+    SELECT lang, 0 AS level, pos AS idx, leaf AS digest FROM leaves
+    UNION ALL
+    SELECT lang, min(level) + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx))
+    FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM tree) WHERE n > 1 GROUP BY lang, idx // 8),
+subroots AS (
+    SELECT lang, digest AS subroot, level AS depth, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place
+    FROM (SELECT *, max(level) OVER (PARTITION BY lang) AS top FROM tree) WHERE level = top),
+upper AS (
+    SELECT 0 AS level, place AS idx, subroot AS digest FROM subroots
+    UNION ALL
+    SELECT min(level) + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx))
+    FROM (SELECT *, count(*) OVER () AS n FROM upper) WHERE n > 1 GROUP BY idx // 8),
+steps AS (
+    SELECT a.lang, a.level, a.idx,
+           coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (WHERE b.idx < a.idx), '') AS before,
+           coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (WHERE b.idx > a.idx), '') AS after
+    FROM tree a JOIN tree b ON a.lang IS NOT DISTINCT FROM b.lang AND a.level = b.level AND a.idx // 8 = b.idx // 8
+    GROUP BY ALL),
+upper_steps AS (
+    SELECT a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (WHERE b.idx < a.idx), '') AS before,
+           coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (WHERE b.idx > a.idx), '') AS after
+    FROM upper a JOIN upper b ON a.level = b.level AND a.idx // 8 = b.idx // 8 GROUP BY ALL),
+climb AS (
+    SELECT lang, pos, 0 AS level, pos AS idx, altered AS now, '' AS proof FROM leaves
+    UNION ALL
+    SELECT c.lang, c.pos, c.level + 1, c.idx // 8, sha256(s.before || c.now || s.after), c.proof || s.before || s.after
+    FROM climb c JOIN steps s ON c.lang IS NOT DISTINCT FROM s.lang AND c.level = s.level AND c.idx = s.idx
+    JOIN subroots t ON c.lang IS NOT DISTINCT FROM t.lang WHERE c.level < t.depth),
+climb_on AS (
+    SELECT c.lang, pos, 0 AS level, place AS idx, now, proof
+    FROM climb c JOIN subroots t ON c.lang IS NOT DISTINCT FROM t.lang AND c.level = t.depth
+    UNION ALL
+    SELECT c.lang, c.pos, c.level + 1, c.idx // 8, sha256(s.before || c.now || s.after), c.proof || s.before || s.after
+    FROM climb_on c JOIN upper_steps s ON c.level = s.level AND c.idx = s.idx WHERE c.level < (SELECT max(level) FROM upper))
+SELECT l.doc_id, l.leaf, t.subroot, u.digest AS root, sha256(c.proof) AS proof_sha256, c.now AS folded_root, c.now = u.digest AS verified
+FROM leaves l JOIN subroots t ON l.lang IS NOT DISTINCT FROM t.lang
+JOIN climb_on c ON l.lang IS NOT DISTINCT FROM c.lang AND l.pos = c.pos
+JOIN (SELECT * FROM upper WHERE level = (SELECT max(level) FROM upper)) u ON c.level = u.level""")
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heliospark.llm.merkle import audit
+
+    return audit(table(spark, sf_dir, "documents"))
