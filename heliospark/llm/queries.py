@@ -173,3 +173,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heliospark.llm.merkle import audit
 
     return audit(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heliospark.llm.template import extract
+
+    return extract(table(spark, sf_dir, "pages"))
