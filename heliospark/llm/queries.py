@@ -180,3 +180,11 @@ def op13_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heliospark.llm.template import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heliospark.llm.align import AlignOptions, align
+
+    names = ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")
+    return align(table(spark, sf_dir, "documents"), AlignOptions(*map(public_tokenizer, names)))
