@@ -14,9 +14,9 @@ links throughout go too.
 Blocks are joined by one space, white space (Unicode's, so that a no-break space is one) becomes one space. Broken markup
 is read as far as it goes: open elements end with their parent, an open comment or script with the page.
 
-The number of a host's templates is bounded by elements of a page / ``share``; hosts and their templates are joined to the
-pages by host, where Spark splits a host that holds many pages. A task counts its pages' subtrees before they are
-shuffled. Null html is the empty page, a null url has the empty host, repeated rows give repeated results, extra columns
+The number of a host's templates is bounded by elements of a page / ``share``. All hosts' templates are counted first and
+broadcast up to BROADCAST of them; more are joined by host, where Spark splits a host that holds many pages. A task counts
+its pages' subtrees before they are shuffled. Null html is the empty page, a null url has the empty host, repeated rows give repeated results, extra columns
 are ignored.
 """
 
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heliospark.llm.frames import field
+from heliospark.llm.frames import discard, field, materialise
 from heliospark.llm.urls import split_url
 
 #: Element names by what they mean here.
@@ -78,6 +78,8 @@ TAG = re.compile(
 )
 CLOSING = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Templates of all hosts that are broadcast (8 bytes each).
+BROADCAST = 1 << 20
 #: Hosts whose templates a task remembers; results do not depend on it.
 REMEMBERED = 1000
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -283,9 +285,12 @@ def host_templates(rows: DataFrame, options: TemplateOptions) -> DataFrame:
 
     found = rows.mapInArrow(scan, "host string, node long, ups array<long>").select("host", "node", F.explode("ups").alias("up"))
     counts = found.distinct().groupBy("host", "node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= options.pages)
+    counts = materialise(counts, "subtrees")
     sizes = counts.where("node = 0").select("host", F.col("n").alias("pages"))
     often = counts.where("node <> 0").join(sizes, "host").where(F.col("n") >= options.share * F.col("pages"))
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("templates"))
+    out = materialise(often.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("templates")), "templates")
+    discard(counts)
+    return out
 
 
 def extract(pages: DataFrame, options: TemplateOptions = TemplateOptions()) -> DataFrame:
@@ -308,5 +313,6 @@ def extract(pages: DataFrame, options: TemplateOptions = TemplateOptions()) -> D
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "templates")
+    small = (found.agg(F.sum(F.size("templates"))).first()[0] or 0) <= BROADCAST
+    joined = rows.join(F.broadcast(found) if small else found, "host", "left").select("page_id", "url", "html", "templates")
     return joined.mapInArrow(scan, schema)
