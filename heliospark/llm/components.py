@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliospark.llm.frames import materialise
+from heliospark.llm.frames import discard, materialise
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -35,4 +35,5 @@ def components(links: DataFrame) -> DataFrame:
         if now == state:
             return links
         state = now
-        links = materialise(_stars(_stars(links, True), False), "links")
+        before, links = links, materialise(_stars(_stars(links, True), False), "links")
+        discard(before)

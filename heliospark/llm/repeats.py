@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliospark.llm.flat import mix, planes, prefix_hashes, runs, span_hashes, unplanes
-from heliospark.llm.frames import boxed, materialise, parts, text_bytes
+from heliospark.llm.frames import boxed, discard, materialise, parts, text_bytes
 
 #: Bytes of text of a slice, and bytes of names of a range, on average.
 SLICE = 4 << 20
@@ -153,8 +153,11 @@ def _within(spans: np.ndarray) -> np.ndarray:
     return np.concatenate([np.arange(a, b) for a, b in spans]) if len(spans) else np.zeros(0, np.int64)
 
 
-def class_results(docs: DataFrame, length: int = 400, keep_text: bool = False) -> DataFrame:
-    """One row per different text: digest, n_bytes, n_removed, n_spans, kept_sha256[, kept: null where unchanged]."""
+def class_results(docs: DataFrame, length: int = 400, keep_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One row per different text: digest, n_bytes, n_removed, n_spans, kept_sha256[, kept: null where unchanged].
+
+    The second table is a written one that the first reads.
+    """
     size = text_bytes(docs)
     modulus, cover = difference_cover()
     sample = length - modulus + 1
@@ -265,7 +268,7 @@ def class_results(docs: DataFrame, length: int = 400, keep_text: bool = False) -
         F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"),
         (F.lit(b"") if keep_text else none).alias("kept"),
     )
-    return settled.unionAll(copied).unionAll(finished)
+    return settled.unionAll(copied).unionAll(finished), merged
 
 
 def _digest(text: str):
@@ -275,7 +278,7 @@ def _digest(text: str):
 def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
     rows = docs.select("doc_id", _digest("text").alias("digest"))
-    return rows.join(class_results(docs, length), "digest").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return rows.join(class_results(docs, length)[0], "digest").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -286,8 +289,10 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
             kept = pa.array([x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), kept], ["digest", "kept"])
 
-    changed = class_results(docs, length, keep_text=True).where("n_removed > 0").select("digest", "kept")
-    changed = changed.mapInArrow(valid, "digest binary, kept string")
+    results, scratch = class_results(docs, length, keep_text=True)
+    changed = results.where("n_removed > 0").select("digest", "kept")
+    changed = materialise(changed.mapInArrow(valid, "digest binary, kept string"), "changed")
+    discard(scratch)
     joined = boxed(docs).withColumn("digest", _digest("doc.text")).join(changed, "digest", "left").where("kept is null or kept <> ''")
     columns = {"text": F.coalesce("kept", "doc.text")}
     if "n_chars" in docs.columns:
