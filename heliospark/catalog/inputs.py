@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliospark.functions.camera import Camera
@@ -100,6 +100,10 @@ VIEWS: dict[str, str] = {
         FROM (SELECT CAST(floor(o_orderkey/1500e0) AS BIGINT) AS snapshot_id, o_orderkey AS line_id,
                      pi()*(5e-2 + 9e-1*((o_orderkey*89 % 9973) + 5e-1)/9973e0) AS theta FROM {orders}) a""",
     "snapshots": "SELECT DISTINCT CAST(floor(o_orderkey/1500e0) AS BIGINT) AS snapshot_id FROM {orders}",
+    "prisms": """
+        SELECT snapshot_id, snapshot_id*1500 + (k - slot + 1500) % 1500 AS cell_id, slot, node_id
+        FROM (SELECT CAST(floor(o_orderkey/1500e0) AS BIGINT) AS snapshot_id, o_orderkey AS node_id, o_orderkey % 1500 AS k FROM {orders}) a
+        CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) v(slot)""",
     "corners": """
         SELECT CAST(floor(o_orderkey/1500e0) AS BIGINT) AS snapshot_id, CAST(floor(o_orderkey/6e0) AS BIGINT) AS cell_id,
                o_orderkey % 6 AS slot, o_orderkey AS node_id FROM {orders}""",
@@ -189,6 +193,11 @@ def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     return df.select(*out)
 
 
+def snapped(value: Column, exact: Column, within: float) -> Column:
+    """A computed value, shown as the closed form where it is within the method's own error of it."""
+    return F.when(F.abs(value - exact) < within, exact).otherwise(value)
+
+
 def xyz() -> tuple:
     return F.col("x"), F.col("y"), F.col("z")
 

@@ -6,48 +6,39 @@ from pyspark.sql import functions as F
 
 from heliospark.catalog import sql as q
 from heliospark.catalog.inputs import GRID, Inputs, big, query, r6, with_views
+from heliospark.catalog.scalars import BASIS
 from heliospark.catalog.stencils import LOOKUP, sphere_maps
-from heliospark.functions.fields import DipoleField
 from heliospark.functions.grid import GridSpec
 from heliospark.operators import lines as ln
 from heliospark.operators import stencil as st
 from heliospark.operators import volume as vol
 from heliospark.operators.stepper import TraceOptions
 
-DIPOLE = DipoleField()
-
 
 def line_seeds(d: Inputs):
     return d.seeds.select("snapshot_id", "line_id", "x", "y", "z")
 
 
-SEPARATRIX = "asin(sqrt(1875e-2/(101e-2*101e-2 + 3125e-2/101e-2)))"
-TOPOLOGY = with_views("seeds", final=f"""SELECT snapshot_id, line_id, theta > {SEPARATRIX} AND theta < pi() - {SEPARATRIX} AS closed,
-    NOT (theta > {SEPARATRIX} AND theta < pi() - {SEPARATRIX}) AS opened, true AS on_flux FROM seeds""")
+# a uniform field on each snapshot's nodes: cubic reads are exact, lines are straight, feet are where they meet the spheres
 
 
-@query("trace_lines", TOPOLOGY)
-def trace_lines(d):
-    """Topology follows the closed-form separatrix, and both feet lie on the seed's flux surface."""
-    lines = ln.trace_lines(line_seeds(d), DIPOLE).join(line_seeds(d), ["snapshot_id", "line_id"])
-    flux = DIPOLE.flux(F.col("x"), F.col("y"), F.col("z"))
-    kept = [F.abs(DIPOLE.flux(*ln.vector(f"foot_{s}")) / flux - 1.0) < 1e-4 for s in "bf"]
-    flag = ln.classify(F.col("end_b"), F.col("end_f"))
-    return lines.select("snapshot_id", "line_id", flag["is_closed"].alias("closed"), flag["is_open"].alias("opened"), (kept[0] & kept[1]).alias("on_flux"))
-
-
-# a uniform field: cubic reads are exact, lines are straight and feet are where they meet the spheres
-UNIFORM = {
-    "ray": """SELECT snapshot_id, line_id, x, y, z, s, nx/size AS nx, ny/size AS ny, nz/size AS nz
-        FROM (SELECT *, sqrt(nx*nx + ny*ny + nz*nz) AS size FROM (SELECT snapshot_id, line_id, x, y, z, 37e-2*(1 + snapshot_id % 3) AS nx, -2e-1 AS ny, 6e-1 AS nz
-        FROM seeds) a, (VALUES (-1e0), (1e0)) side(s)) b""",
-    "hit": """SELECT *, x*x + y*y + z*z AS rr, s*(x*nx + y*ny + z*nz) AS along FROM ray""",
-    "foot": """SELECT *, CASE WHEN along < 0 AND along*along - rr + 1e0 > 0 THEN 0 ELSE 1 END AS code,
-        CASE WHEN along < 0 AND along*along - rr + 1e0 > 0 THEN -along - sqrt(along*along - rr + 1e0) ELSE -along + sqrt(along*along - rr + 625e-2) END AS t FROM hit""",
-    "two": """SELECT b.snapshot_id, b.line_id, b.code AS end_b, f.code AS end_f, b.t AS len_b, f.t AS len_f,
-        b.x - b.t*b.nx AS bx, b.y - b.t*b.ny AS b_y, b.z - b.t*b.nz AS bz, f.x + f.t*f.nx AS fx, f.y + f.t*f.ny AS fy, f.z + f.t*f.nz AS fz
-        FROM foot b JOIN foot f ON b.line_id = f.line_id AND b.snapshot_id = f.snapshot_id WHERE b.s < 0 AND f.s > 0""",
-}
+def rays(source: str) -> dict[str, str]:
+    """Steps from seeds (snapshot_id, line_id, x, y, z) to both feet, end codes and lengths."""
+    return {
+        "ray": f"""SELECT snapshot_id, line_id, x, y, z, s, nx/size AS nx, ny/size AS ny, nz/size AS nz
+            FROM (SELECT *, sqrt(nx*nx + ny*ny + nz*nz) AS size FROM (SELECT snapshot_id, line_id, x, y, z, 37e-2*(1 + snapshot_id % 3) AS nx, -2e-1 AS ny, 6e-1 AS nz
+            FROM {source}) a, (VALUES (-1e0), (1e0)) side(s)) b""",
+        "hit": """SELECT *, x*x + y*y + z*z AS rr, s*(x*nx + y*ny + z*nz) AS along FROM ray""",
+        "foot": """SELECT *, CASE WHEN along < 0 AND along*along - rr + 1e0 > 0 THEN 0 ELSE 1 END AS code,
+            CASE WHEN along < 0 AND along*along - rr + 1e0 > 0 THEN -along - sqrt(along*along - rr + 1e0) ELSE -along + sqrt(along*along - rr + 625e-2) END AS t FROM hit""",
+        "two": """SELECT b.snapshot_id, b.line_id, b.nx, b.ny, b.nz, b.code AS end_b, f.code AS end_f, b.t AS len_b, f.t AS len_f,
+            b.x - b.t*b.nx AS bx, b.y - b.t*b.ny AS b_y, b.z - b.t*b.nz AS bz, f.x + f.t*f.nx AS fx, f.y + f.t*f.ny AS fy, f.z + f.t*f.nz AS fz
+            FROM foot b JOIN foot f ON b.line_id = f.line_id AND b.snapshot_id = f.snapshot_id WHERE b.s < 0 AND f.s > 0""",
+    }
+
+
+FEET = dict(len_b="len_b", len_f="len_f", foot_b_x="bx", foot_b_y="b_y", foot_b_z="bz", foot_f_x="fx", foot_f_y="fy", foot_f_z="fz")
+TRACED = with_views("seeds", more=rays("seeds"), final=f"SELECT snapshot_id, line_id, {big(end_b='end_b', end_f='end_f')}, {r6(**FEET)} FROM two")
 
 
 def uniform_field(d: Inputs) -> ln.GridField:
@@ -58,12 +49,18 @@ def uniform_field(d: Inputs) -> ln.GridField:
     return ln.GridField(d.nodes.join(strength, "snapshot_id").select("snapshot_id", "i_r", "i_t", "i_p", *b), GRID)
 
 
-@query("trace_lines_grid", with_views("seeds", more=UNIFORM, final=f"""SELECT snapshot_id, line_id, {big(end_b='end_b', end_f='end_f')}, {r6(len_b='len_b', len_f='len_f',
-    foot_b_x='bx', foot_b_y='b_y', foot_b_z='bz', foot_f_x='fx', foot_f_y='fy', foot_f_z='fz')} FROM two"""))
+@query("trace_lines", TRACED)
+def trace_lines(d):
+    """Feet, end codes and lengths of every line of a field on grid nodes."""
+    lines = ln.trace_lines(line_seeds(d), uniform_field(d))
+    return lines.select("snapshot_id", "line_id", "end_b", "end_f", *FEET)
+
+
+@query("trace_lines_grid", TRACED)
 def trace_lines_grid(d):
-    """A field given on grid nodes, one per snapshot."""
+    """The same with short steps: narrower halos, more supersteps."""
     lines = ln.trace_lines(line_seeds(d), uniform_field(d), TraceOptions(cfl=0.1))
-    return lines.select("snapshot_id", "line_id", "end_b", "end_f", "len_b", "len_f", *[f"foot_{s}_{c}" for s in "bf" for c in "xyz"])
+    return lines.select("snapshot_id", "line_id", "end_b", "end_f", *FEET)
 
 
 @query("fold_halves", with_views("lines", final=f"""SELECT snapshot_id, line_id, {big(end_b='end_b', end_f='end_f')}, {r6(len_b='len_b', len_f='len_f',
@@ -110,30 +107,30 @@ def line_summary(d):
     return ln.line_summary(d.lines)
 
 
-@query("transport_lines", with_views("seeds", final="SELECT snapshot_id, line_id, true AS conserved FROM seeds"))
+# the basis of a straight line is carried unchanged
+CARRIED = {"dir": "SELECT DISTINCT snapshot_id, nx AS b_x, ny AS b_y, nz AS b_z FROM ray"} | {k: v.replace("pid", "snapshot_id").replace("FROM dip", "FROM dir") for k, v in BASIS.items()}
+U, W = ("u_0", "u_1", "u_2"), ("h_1*u_2 - h_2*u_1", "h_2*u_0 - h_0*u_2", "h_0*u_1 - h_1*u_0")
+DEVIATIONS = {f"{n}_{side}_{c}": e for side in "bf" for n, parts in (("u", U), ("w", W)) for c, e in zip("xyz", parts)}
+
+
+@query("transport_lines", with_views("seeds", more=rays("seeds") | CARRIED, final=f"""SELECT snapshot_id, line_id, {big(end_b='end_b', end_f='end_f')}, {r6(**FEET, **DEVIATIONS)}
+    FROM two JOIN un USING (snapshot_id)"""))
 def transport_lines(d):
-    """The product of |B| and the area spanned by the carried deviations normal to B is constant along a line."""
-    seeds = ln.with_seed_basis(ln.attach_b(line_seeds(d), DIPOLE, ["line_id"]))
-    b0 = F.sqrt(F.col("b_x") ** 2 + F.col("b_y") ** 2 + F.col("b_z") ** 2)
-    lines = ln.transport_lines(seeds, DIPOLE).join(seeds.select("snapshot_id", "line_id", b0.alias("b0")), ["snapshot_id", "line_id"])
-    lines = ln.attach_foot_b(lines, DIPOLE)
-    from heliospark.functions.geometry import cross, dot
+    """Feet and the two deviations carried to each of them."""
+    fld = uniform_field(d)
+    seeds = ln.with_seed_basis(ln.attach_b(line_seeds(d), fld, ["line_id"]))
+    return ln.transport_lines(seeds, fld).select("snapshot_id", "line_id", "end_b", "end_f", *FEET, *DEVIATIONS)
+
 
-    # u x w . B is the flux through the spanned area
-    held = [F.abs(dot(cross(ln.vector(f"u_{s}"), ln.vector(f"w_{s}")), ln.vector(f"b_{s}")) / F.col("b0") - 1.0) < 2e-2 for s in "bf"]
-    return lines.select("snapshot_id", "line_id", (held[0] & held[1]).alias("conserved"))
+# Q of a straight tube: 2 between planes normal to it, and from the slants of both spheres between spheres
+SLANT = {"b": "abs(nx*bx + ny*b_y + nz*bz)/sqrt(bx*bx + b_y*b_y + bz*bz)", "f": "abs(nx*fx + ny*fy + nz*fz)/sqrt(fx*fx + fy*fy + fz*fz)"}
 
 
-@query("squash", with_views("seeds", final="SELECT snapshot_id, line_id, true AS as_exact FROM seeds"))
+@query("squash", with_views("seeds", more=rays("seeds") | {"sl": f"SELECT *, {SLANT['b']} AS cb, {SLANT['f']} AS cf FROM two"},
+    final=f"SELECT snapshot_id, line_id, {r6(log_q_perp='log10(2e0)', log_q='log10(cb/cf + cf/cb)', len_b='len_b', len_f='len_f')} FROM sl"))
 def squash(d):
-    """Q agrees with the closed form away from the separatrix, where it diverges."""
-    seeds = d.seeds
-    result = ln.squash(line_seeds(d), DIPOLE).join(seeds.select("line_id", "theta"), "line_id")
-    exact = DIPOLE.q_exact(F.col("theta"), F.lit(1.01))
-    edge = DIPOLE.separatrix(F.lit(1.01))
-    near = F.least(F.abs(F.col("theta") - edge), F.abs(F.col("theta") - (3.141592653589793 - edge))) < 0.02
-    close = F.abs(F.col("q_perp") / exact - 1.0) < 5e-3
-    return result.select("snapshot_id", "line_id", (near | close).alias("as_exact"))
+    result = ln.squash(line_seeds(d), uniform_field(d))
+    return result.select("snapshot_id", "line_id", F.log10("q_perp").alias("log_q_perp"), F.log10("q").alias("log_q"), "len_b", "len_f")
 
 
 @query("squash_summary", with_views("lines", final=f"""SELECT snapshot_id, count(*) FILTER (WHERE {LANDS}) AS n_valid, count(*) AS n_total,
@@ -255,41 +252,34 @@ def sub_floor_count(d):
     return vol.coverage(d.volume).drop("covered_fraction")
 
 
-# builders on the closed-form field, on a grid of each snapshot: checked by analytic gates in the tests
+# builders on a field on nodes, on a grid of each snapshot
 
 COARSE = GridSpec(6, 8, 12, inner=1.0, outer=2.5)
+RAYS_IN = {"node": """SELECT snapshot_id, id AS line_id, r*sin(theta)*cos(phi) AS x, r*sin(theta)*sin(phi) AS y, r*cos(theta) AS z
+    FROM (SELECT snapshot_id, id, greatest(least(power(25e-1, floor(id/96e0)/5e0), 25e-1*(1e0 - 1e-9)), 1e0 + 1e-9) AS r,
+          (floor((id % 96)/12e0) + 5e-1)*pi()/8e0 AS theta, (id % 12)*pi()/6e0 AS phi
+          FROM snapshots, (SELECT CAST(range AS BIGINT) AS id FROM range(576)) t) a"""}
+NODE = "snapshot_id, line_id AS node_id, CAST(floor(line_id/96e0) AS BIGINT) AS i_r, CAST(floor((line_id % 96)/12e0) AS BIGINT) AS i_t, line_id % 12 AS i_p"
 
 
-@query("boundary_map", with_views("snapshots", final="""SELECT snapshot_id, CAST(0 AS BIGINT) AS sphere, CAST(floor(id/12e0) AS BIGINT) AS i_t, id % 12 AS i_p, true AS as_exact
+@query("boundary_map", with_views("snapshots", final=f"""SELECT snapshot_id, CAST(0 AS BIGINT) AS sphere, CAST(floor(id/12e0) AS BIGINT) AS i_t, id % 12 AS i_p, {r6(log_q='log10(2e0)')}
     FROM snapshots, (SELECT CAST(range AS BIGINT) AS id FROM range(96)) t"""))
 def boundary_map(d):
-    """On the inner sphere the map agrees with the closed form."""
-    made = vol.boundary_map(d.snapshots, DIPOLE, 0, COARSE.n_theta, COARSE.n_phi)
-    exact = F.log10(DIPOLE.q_exact((F.col("i_t") + 0.5) * COARSE.theta_step, F.lit(1.0)))
-    return made.select("snapshot_id", "sphere", "i_t", "i_p", (F.abs(F.col("log_q") - exact) < 5e-3).alias("as_exact"))
+    return vol.boundary_map(d.snapshots, uniform_field(d), 0, COARSE.n_theta, COARSE.n_phi)
 
 
-NODE_ROWS = """SELECT snapshot_id, id AS node_id, CAST(floor(id/96e0) AS BIGINT) AS i_r, CAST(floor((id % 96)/12e0) AS BIGINT) AS i_t, id % 12 AS i_p, {}
-    FROM snapshots, (SELECT CAST(range AS BIGINT) AS id FROM range(576)) t"""
-
-
-@query("volume_reference", with_views("snapshots", final=NODE_ROWS.format("true AS as_exact")))
+@query("volume_reference", with_views("snapshots", more=RAYS_IN, final=f"SELECT {NODE}, {r6(log_q='log10(2e0)')} FROM node"))
 def volume_reference(d):
-    """Every node's Q agrees with the closed form of its line, away from the separatrix."""
-    made = vol.volume_reference(d.snapshots, DIPOLE, COARSE)
-    r, theta, _ = COARSE.node_position(F.col("i_r"), F.col("i_t"), F.col("i_p"))
-    exact = F.log10(DIPOLE.q_exact(theta, r))
-    edge = DIPOLE.separatrix(r)
-    near = F.least(F.abs(theta - edge), F.abs(theta - (3.141592653589793 - edge))) < 0.05
-    return made.select("snapshot_id", "node_id", "i_r", "i_t", "i_p", (near | (F.abs(F.col("log_q") - exact) < 2e-2)).alias("as_exact"))
+    return vol.volume_reference(d.snapshots, uniform_field(d), COARSE)
 
 
-@query("volume_per_voxel")
+# a line that comes from the inner sphere is positive, one that ends there negative
+@query("volume_per_voxel", with_views("snapshots", more=RAYS_IN | rays("node"), final=f"""SELECT {NODE}, {r6(log_q='log10(2e0)')},
+    {big(polarity='CASE WHEN end_b = 0 THEN 1 WHEN end_f = 0 THEN -1 ELSE 0 END')} FROM two"""))
 def volume_per_voxel(d):
-    return vol.volume_per_voxel(d.snapshots, DIPOLE, COARSE, supersample=2)
+    return vol.volume_per_voxel(d.snapshots, uniform_field(d), COARSE)
 
 
 @query("volume_paint")
 def volume_paint(d):
-    return vol.volume_paint(d.snapshots, DIPOLE, COARSE, supersample=2)
-
+    return vol.volume_paint(d.snapshots, uniform_field(d), COARSE)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from heliospark.catalog import sql as q
 from heliospark.catalog.inputs import CAMERA, GRID, Inputs, big, query, r6, with_views
+from heliospark.catalog.lines import rays, uniform_field
 from heliospark.catalog.scalars import DIP, DIPOLE
 from heliospark.functions import imaging as im
 from heliospark.functions.camera import Camera
@@ -121,18 +122,26 @@ def layer_over(d):
 
 @query("view_fieldlines")
 def view_fieldlines(d):
-    image, _ = pic.view_fieldlines(d.snapshots, DIPOLE, Camera(fov=6.0, height=32, width=32), n_seeds=60, n_limb=24)
+    image, _ = pic.view_fieldlines(d.snapshots, uniform_field(d), Camera(fov=6.0, height=32, width=32))
     return image
 
 
-@query("export_lines", with_views("snapshots", final="SELECT snapshot_id, id AS line_id, true AS complete, true AS long_enough FROM snapshots, (SELECT CAST(range AS BIGINT) AS id FROM range(72)) t"))
+LATTICE = {"lat": """SELECT snapshot_id, id AS line_id, (1e0 + 1e-9)*sin(theta)*cos(phi) AS x, (1e0 + 1e-9)*sin(theta)*sin(phi) AS y, (1e0 + 1e-9)*cos(theta) AS z
+    FROM (SELECT snapshot_id, id, (floor(id/100e0) + 5e-1)*pi()/100e0 AS theta, (id % 100 + 5e-1)*pi()/50e0 AS phi
+          FROM snapshots, (SELECT CAST(range AS BIGINT) AS id FROM range(10000)) t) a"""}
+LAT = "degrees(asin(greatest(least({z}/sqrt({x}*{x} + {y}*{y} + {z}*{z}), 1e0), -1e0)))"
+ENDS = dict(r_b="sqrt(bx*bx + b_y*b_y + bz*bz)", lat_b=LAT.format(x="bx", y="b_y", z="bz"), r_f="sqrt(fx*fx + fy*fy + fz*fz)", lat_f=LAT.format(x="fx", y="fy", z="fz"))
+
+
+@query("export_lines", with_views("snapshots", more=LATTICE | rays("lat"), final=f"SELECT snapshot_id, line_id, 'open' AS topology, {r6(**ENDS)} FROM two"))
 def export_lines(d):
-    """Every seed of the lattice gives a complete line whose polyline starts and ends at its feet."""
-    lines, paths = pic.export_lines(d.snapshots, DIPOLE, n_theta=6, n_phi=12)
-    ends = paths.groupBy("snapshot_id", "line_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("z", "seq").alias("z0"), F.max_by("z", "seq").alias("z1"))
-    joined = lines.join(ends, ["snapshot_id", "line_id"])
-    meets = (F.abs(F.col("z0") - F.col("foot_b_z")) < 1e-12) & (F.abs(F.col("z1") - F.col("foot_f_z")) < 1e-12)
-    return joined.select("snapshot_id", "line_id", ln.classify(F.col("end_b"), F.col("end_f"))["is_complete"].alias("complete"), (meets & (F.col("n") > 1)).alias("long_enough"))
+    """Every seed of the default lattice as a JSON document, parsed back: both ends of its line and its kind."""
+    lines, paths = pic.export_lines(d.snapshots, uniform_field(d))
+    docs = sunjson.line_documents(lines, paths)
+    geometry = F.from_json("geometry", "type string, coordinates array<array<double>>, colors array<array<int>>, thickness double, topology string")
+    g = docs.select("snapshot_id", "line_id", geometry.alias("g")).select("snapshot_id", "line_id", "g.topology", "g.coordinates")
+    end = lambda k, c: F.get(F.element_at("coordinates", k), F.lit(c))
+    return g.select("snapshot_id", "line_id", "topology", end(1, 0).alias("r_b"), end(1, 2).alias("lat_b"), end(-1, 0).alias("r_f"), end(-1, 2).alias("lat_f"))
 
 
 # mesh tables: points serve as nodes, six to a cell; cells' field from the same rows
@@ -181,15 +190,15 @@ def _lines(df, snapshot, section: int, order, text):
 
 
 def write_cfmesh(d: Inputs) -> str:
-    """One sectioned mesh file per snapshot: 1500 nodes, 250 cells, two tagged surfaces."""
+    """One sectioned mesh file per snapshot: 1500 nodes, 1500 cells, two tagged surfaces."""
     path = scratch_path(d.spark, "cfmesh")
     snap = F.col("snapshot_id")
     local = lambda c: (F.col(c) - snap * 1500).cast("string")
     words = lambda *c: F.concat_ws(" ", *c)
     nodes, faces = mesh_nodes(d), d.faces
-    corners = d.corners.withColumn("cell", F.col("cell_id") - snap * 250)
+    corners = d.prisms.withColumn("cell", F.col("cell_id") - snap * 1500)
     cells = corners.groupBy("snapshot_id", "cell").agg(F.sort_array(F.collect_list(F.struct("slot", local("node_id").alias("n")))).alias("c"))
-    states = d.points.where(F.col("pid") - snap * 1500 < 250).select("snapshot_id", (F.col("pid") - snap * 1500).alias("cell"), "v", "x", "y", "z")
+    states = d.points.select("snapshot_id", (F.col("pid") - snap * 1500).alias("cell"), "v", "x", "y", "z")
     value = [F.log("v"), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("x"), F.col("y"), F.col("z"), F.lit(0.1), F.lit(0.0)]
 
     def heads(part, *lines):
@@ -200,7 +209,7 @@ def write_cfmesh(d: Inputs) -> str:
     counts = faces.groupBy("snapshot_id", "source_name").count()
     number = lambda part, name: _lines(counts.where(F.col("source_name") == name), snap, part, F.lit(0), F.concat(F.lit("!NB_GEOM_ENTS "), F.col("count").cast("string")))
     parts = [
-        heads(0, "!COOLFLUID_VERSION 1.0", "!NB_DIM 3", "!NB_EQ 9", "!NB_NODES 1500 0", "!NB_STATES 250 0", "!NB_ELEM 250", "!ELEM_TYPES Prism", "!NB_NODES_PER_TYPE 6", "!LIST_ELEM"),
+        heads(0, "!COOLFLUID_VERSION 1.0", "!NB_DIM 3", "!NB_EQ 9", "!NB_NODES 1500 0", "!NB_STATES 1500 0", "!NB_ELEM 1500", "!ELEM_TYPES Prism", "!NB_NODES_PER_TYPE 6", "!LIST_ELEM"),
         _lines(cells, snap, 1, F.col("cell"), words(F.array_join(F.transform("c", lambda e: e["n"]), " "), F.col("cell").cast("string"))),
         heads(2, "!NB_TRSs 2", "!TRS_NAME Inlet"), number(3, "Inlet"), heads(4, "!LIST_GEOM_ENT"), surface(5, "Inlet"),
         heads(6, "!TRS_NAME Outlet"), number(7, "Outlet"), heads(8, "!LIST_GEOM_ENT"), surface(9, "Outlet"),
@@ -223,19 +232,19 @@ def snapshot_of_file():
     return F.regexp_extract("file", r"snapshot_id=(\d+)", 1).cast("long").alias("snapshot_id")
 
 
-MESH_SQL = {"st": "SELECT snapshot_id, pid - snapshot_id*1500 AS cell_id, ln(v) AS rho, x AS b_x, y AS b_y, z AS b_z FROM points WHERE pid - snapshot_id*1500 < 250",
-            "ct": "SELECT c.snapshot_id, c.cell_id - c.snapshot_id*250 AS cell_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM corners c JOIN points p ON p.pid = c.node_id GROUP BY c.snapshot_id, c.cell_id"}
+MESH_SQL = {"st": "SELECT snapshot_id, pid - snapshot_id*1500 AS cell_id, ln(v) AS rho, x AS b_x, y AS b_y, z AS b_z FROM points",
+            "ct": "SELECT c.snapshot_id, c.cell_id - c.snapshot_id*1500 AS cell_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM prisms c JOIN points p ON p.pid = c.node_id GROUP BY c.snapshot_id, c.cell_id"}
 MESH_CELLS = f"SELECT t.snapshot_id, t.cell_id, {r6(x='t.x', y='t.y', z='t.z', rho='s.rho', b_x='s.b_x', b_y='s.b_y', b_z='s.b_z')} FROM ct t JOIN st s ON s.snapshot_id = t.snapshot_id AND s.cell_id = t.cell_id"
 
 
-@query("src_cfmesh", with_views("points", "corners", more=MESH_SQL, final=MESH_CELLS))
+@query("src_cfmesh", with_views("points", "prisms", more=MESH_SQL, final=MESH_CELLS))
 def src_cfmesh(d):
     mesh = cfmesh.read_cfmesh(d.spark, write_cfmesh(d))
     named = {"Bx": "b_x", "By": "b_y", "Bz": "b_z"}
     return cfmesh.cells_of(mesh).select(snapshot_of_file(), "cell_id", "x", "y", "z", "rho", *[F.col(a).alias(b) for a, b in named.items()])
 
 
-INFO = f"""SELECT snapshot_id, CAST(1500 AS BIGINT) AS n_nodes, CAST(250 AS BIGINT) AS n_cells, {r6(inner_radius='a', outer_radius='b')}, n AS n_faces, m.model,
+INFO = f"""SELECT snapshot_id, CAST(1500 AS BIGINT) AS n_nodes, CAST(1500 AS BIGINT) AS n_cells, {r6(inner_radius='a', outer_radius='b')}, n AS n_faces, m.model,
     'rho,vx,vy,vz,Bx,By,Bz,p,psi' AS variables, m.normalization FROM t CROSS JOIN (VALUES ('mhd', 'corona'), ('polytropic', 'unit')) m(model, normalization)"""
 
 
@@ -251,7 +260,7 @@ def write_tecplot(d: Inputs) -> str:
     path = scratch_path(d.spark, "tecplot")
     snap = F.col("snapshot_id")
     names = ("x0", "x1", "x2", "rho", "u", "v", "w", "Bx", "By", "Bz", "p", "phi")
-    zone = "ZONE N=1500, E=250, ZONETYPE=FEBRICK, DATAPACKING=BLOCK, VARLOCATION=([1-3]=NODAL,[4-12]=CELLCENTERED)"
+    zone = "ZONE N=1500, E=1500, ZONETYPE=FEBRICK, DATAPACKING=BLOCK, VARLOCATION=([1-3]=NODAL,[4-12]=CELLCENTERED)"
     head = d.snapshots.select("snapshot_id", F.posexplode(F.array(F.lit('TITLE = "made"'), F.lit("VARIABLES = " + " ".join(f'"{n}"' for n in names)), F.lit(zone))).alias("k", "t"))
     parts = [_lines(head, snap, 0, F.col("k"), F.col("t"))]
     place = F.col("pid") - snap * 1500
@@ -262,17 +271,16 @@ def write_tecplot(d: Inputs) -> str:
 
     for k, c in enumerate("xyz"):
         parts.append(block(d.points, place, 1 + k, F.col(c)))
-    states = d.points.where(place < 250)
     for k, v in enumerate([F.log("v"), *[F.lit(0.0)] * 3, F.col("x"), F.col("y"), F.col("z"), F.lit(0.1), F.lit(0.0)]):
-        parts.append(block(states, place, 4 + k, v))
-    corners = d.corners.withColumn("n", F.col("node_id") - snap * 1500 + 1).groupBy("snapshot_id", (F.col("cell_id") - snap * 250).alias("cell"))
+        parts.append(block(d.points, place, 4 + k, v))
+    corners = d.prisms.withColumn("n", F.col("node_id") - snap * 1500 + 1).groupBy("snapshot_id", (F.col("cell_id") - snap * 1500).alias("cell"))
     bricks = corners.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "n"))), lambda e: e["n"].cast("string")).alias("c"))
     text = F.concat_ws(" ", *[F.get("c", F.lit(k)) for k in (0, 1, 2, 2, 3, 4, 5, 5)])
     parts.append(_lines(bricks, snap, 20, F.col("cell"), text))
     return _write_text(parts, path)
 
 
-@query("src_tecplot", with_views("points", "corners", more=MESH_SQL, final=MESH_CELLS))
+@query("src_tecplot", with_views("points", "prisms", more=MESH_SQL, final=MESH_CELLS))
 def src_tecplot(d):
     zone = tecplot.read_tecplot(d.spark, write_tecplot(d))
     cells = cfmesh.mesh_prism_center(zone.corners, zone.nodes).join(zone.cells, ["file", "cell_id"])
@@ -384,8 +392,5 @@ def julian_date(d):
 
 @query("run_pipeline")
 def run_pipeline(d):
-    cfg = pipeline.RunConfig(
-        grid=GridSpec(6, 6, 12, inner=1.0, outer=2.5), camera=Camera(fov=6.0, height=16, width=16), neighbours=12, resolution_factor=1, supersample=1, step=0.1,
-    )
+    cfg = pipeline.RunConfig(grid=GridSpec(6, 6, 12, inner=1.0, outer=2.5), camera=Camera(fov=6.0, height=16, width=16))
     return pipeline.run_pipeline(d.cells, cfg).drop("prow", "pcol")
-

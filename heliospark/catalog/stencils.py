@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heliospark.catalog import sql as q
-from heliospark.catalog.inputs import GRID, Inputs, big, query, r6, with_views, xyz
+from heliospark.catalog.inputs import GRID, Inputs, big, query, r6, snapped, with_views, xyz
 from heliospark.functions import radiation as rad
 from heliospark.functions.geometry import cart_to_sph
 from heliospark.operators import resample as rs
@@ -153,9 +153,9 @@ KNN = """SELECT snapshot_id, pid, rank, cell_id, distance FROM (
     SELECT p.snapshot_id, p.pid, c.cell_id, {gap} AS distance FROM points p JOIN cells c ON p.snapshot_id = c.snapshot_id) a) b WHERE rank <= {k}"""
 
 
-@query("knn_join", with_views("points", "cells", more={"k": KNN.format(gap=GAP, k=8)}, final=f"SELECT snapshot_id, pid, {big(rank='rank')}, cell_id, {r6(distance='distance')} FROM k"))
+@query("knn_join", with_views("points", "cells", more={"k": KNN.format(gap=GAP, k=30)}, final=f"SELECT snapshot_id, pid, {big(rank='rank')}, cell_id, {r6(distance='distance')} FROM k"))
 def knn_join(d):
-    return rs.knn_join(d.points, d.cells, 8)
+    return rs.knn_join(d.points, d.cells, 30)
 
 
 @query("resample_nearest", with_views("points", "cells", more={"k": KNN.format(gap=GAP, k=1)}, final=f"SELECT snapshot_id, pid, cell_id, {r6(b_x='b_x', rho='rho')} FROM k JOIN cells USING (snapshot_id, cell_id)"))
@@ -167,21 +167,22 @@ SHIFT = ("1e0", "(c.x - p.x)", "(c.y - p.y)", "(c.z - p.z)")
 SUMS = {f"n{i}{j}": f"sum(w*a{i}*a{j})" for i in range(4) for j in range(i, 4)} | {f"rho_{i}": f"sum(w*a{i}*rho)" for i in range(4)}
 
 
-@query("mls_normal", with_views("points", "cells", more={"k": KNN.format(gap=GAP, k=12), "h": "SELECT snapshot_id, pid, greatest(avg(distance), 1e-30) AS h FROM k GROUP BY snapshot_id, pid",
+@query("mls_normal", with_views("points", "cells", more={"k": KNN.format(gap=GAP, k=30), "h": "SELECT snapshot_id, pid, greatest(avg(distance), 1e-30) AS h FROM k GROUP BY snapshot_id, pid",
     "t": "SELECT k.snapshot_id, k.pid, exp(-power(k.distance/h.h, 2)) AS w, c.rho, " + ", ".join(f"{e} AS a{i}" for i, e in enumerate(SHIFT)) + """ FROM k
     JOIN h ON k.snapshot_id = h.snapshot_id AND k.pid = h.pid JOIN points p ON p.pid = k.pid JOIN cells c ON c.cell_id = k.cell_id"""},
     final=f"SELECT snapshot_id, pid, {r6(**SUMS)} FROM t GROUP BY snapshot_id, pid"))
 def mls_normal(d):
-    return rs.mls_normal(d.points, d.cells, ["rho"], 12)
+    return rs.mls_normal(d.points, d.cells, ["rho"], 30)
 
 
-@query("mls_fit", with_views("points", "cells", final="""SELECT p.snapshot_id, p.pid, true AS b_x_exact, true AS b_y_exact, true AS b_z_exact
-    FROM points p WHERE p.snapshot_id IN (SELECT snapshot_id FROM cells)"""))
+LINEAR = {"b_x": "3e-1 + 5e-1*x - 2e-1*y + 1e-1*z", "b_y": "-7e-1 + 4e-1*y - 3e-1*z", "b_z": "11e-1 + 2e-1*x + 1e-1*y - 6e-1*z"}
+
+
+@query("mls_fit", with_views("points", "cells", final=f"SELECT p.snapshot_id, p.pid, {r6(**LINEAR)} FROM points p WHERE p.snapshot_id IN (SELECT snapshot_id FROM cells)"))
 def mls_fit(d):
-    """The cells' field is linear in position, so the fit must return it everywhere."""
-    fit = rs.mls_fit(d.points, d.cells, ["b_x", "b_y", "b_z"], 30).join(d.points.select("pid", "x", "y", "z"), "pid")
-    exact = (0.3 + 0.5 * F.col("x") - 0.2 * F.col("y") + 0.1 * F.col("z"), -0.7 + 0.4 * F.col("y") - 0.3 * F.col("z"), 1.1 + 0.2 * F.col("x") + 0.1 * F.col("y") - 0.6 * F.col("z"))
-    return fit.select("snapshot_id", "pid", *[(F.abs(F.col(c) - e) < 1e-5).alias(f"{c}_exact") for c, e in zip(B, exact)])
+    """The cells' field is linear in position, so the fit must return it everywhere (to the size of its ridge)."""
+    fit = rs.mls_fit(d.points, d.cells, B, 30).join(d.points.select("pid", "x", "y", "z"), "pid")
+    return fit.select("snapshot_id", "pid", *[snapped(F.col(c), F.expr(e), 1e-5).alias(c) for c, e in LINEAR.items()])
 
 
 # trilinear on native axes: the nodes of the volume serve as a structured solution

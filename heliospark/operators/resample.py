@@ -57,7 +57,7 @@ def _shrink_crowded(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """
     for level in count():
         crowd = (
-            cells.join(edges, "snapshot_id")
+            join_few(cells, edges)
             .groupBy("snapshot_id", *_bucket(F.col("_edge"), 1.0))
             .count()
             .groupBy("snapshot_id")
@@ -71,27 +71,42 @@ def _shrink_crowded(cells: DataFrame, edges: DataFrame) -> DataFrame:
             return edges
 
 
+_PAIR = T.StructType([T.StructField("cell_id", T.LongType()), T.StructField("distance", T.DoubleType())])
+
+
 def knn_join(points: DataFrame, cells: DataFrame, k: int, id_col: str = "pid") -> DataFrame:
-    """The k nearest cells of every point of the same snapshot, exactly; ties go to the smaller cell_id.
+    """The k nearest cells of every point of the same snapshot, exactly; ties go to the smaller cell_id."""
+    wanted = cells.groupBy("snapshot_id").agg(F.lit(k).cast("long").alias("_wanted"))
+    found = _around(points, cells, wanted, k, id_col, [], T.ArrayType(_PAIR), _pairs)
+    rows = found.select("snapshot_id", id_col, F.posexplode("_near").alias("_rank", "_n"))
+    return rows.select(
+        "snapshot_id", id_col, (F.col("_rank") + 1).cast("long").alias("rank"), F.col("_n.cell_id").alias("cell_id"),
+        F.col("_n.distance").alias("distance"),
+    )
+
+
+def _around(points: DataFrame, cells: DataFrame, wanted: DataFrame, widest: int, id_col: str, values: list[str], kind, made) -> DataFrame:
+    """What ``made`` makes of each point's nearest cells, as many as its snapshot's ``_wanted`` (at most ``widest``).
 
     Space is cut into blocks two edges wide; a block's points meet the cells of the block and of a rim one
-    edge wide, in one task per block (several where many points share it). A point is settled once its k-th
-    cell lies within what the rim covers for sure; the rest goes on with blocks twice as wide. Cells at one
-    position beyond the k smallest ids can never be chosen and are dropped first.
+    edge wide, in one task per block (several where many points share it). A point is settled once its last
+    wanted cell lies within what the rim covers for sure; the rest goes on with blocks twice as wide. The result is
+    made where the cells are, so no row per neighbour is ever shuffled. Cells at one position beyond the smallest ids
+    that could be chosen are dropped first.
     """
     copies = Window.partitionBy("snapshot_id", "x", "y", "z").orderBy("cell_id")
     sites = (
-        cells.select("snapshot_id", F.col("cell_id").cast("long").alias("cell_id"), "x", "y", "z")
+        cells.select("snapshot_id", F.col("cell_id").cast("long").alias("cell_id"), "x", "y", "z", *values)
         .withColumn("_copy", F.row_number().over(copies))
-        .where(F.col("_copy") <= k)
+        .where(F.col("_copy") <= widest)
         .drop("_copy")
     )
-    edges = _shrink_crowded(sites, _bucket_edges(sites, k))
-    sites = sites.join(edges.select("snapshot_id", "_edge"), "snapshot_id")
-    waiting = points.select("snapshot_id", id_col, "x", "y", "z").join(edges, "snapshot_id")
+    edges = materialise(_shrink_crowded(sites, _bucket_edges(sites, widest)).join(wanted, "snapshot_id"), "edges")
+    sites = join_few(sites, edges.select("snapshot_id", "_edge"))
+    waiting = join_few(points.select("snapshot_id", id_col, "x", "y", "z"), edges)
     settled, scale = [], 1.0
     while True:
-        step = materialise(_knn_round(waiting, sites, k, id_col, scale), "knn-round")
+        step = materialise(_knn_round(waiting, sites, id_col, scale, values, kind, made), "knn-round")
         settled.append(step.where("_done").select("snapshot_id", id_col, "_near"))
         waiting = step.where(~F.col("_done")).drop("_done", "_near")
         if waiting.isEmpty():
@@ -100,11 +115,7 @@ def knn_join(points: DataFrame, cells: DataFrame, k: int, id_col: str = "pid") -
     found = settled[0]
     for part in settled[1:]:
         found = found.unionByName(part)
-    rows = found.select("snapshot_id", id_col, F.posexplode("_near").alias("_rank", "_n"))
-    return rows.select(
-        "snapshot_id", id_col, (F.col("_rank") + 1).cast("long").alias("rank"), F.col("_n.cell_id").alias("cell_id"),
-        F.col("_n.distance").alias("distance"),
-    )
+    return found
 
 
 #: Block numbers of one axis lie within this of zero, so three of them pack into one key.
@@ -112,13 +123,15 @@ _SPAN = 1 << 20
 
 
 def _block_key(numbers) -> Column:
-    key = F.lit(0).cast("long")
+    key, fits = F.lit(0).cast("long"), F.lit(True)
     for n in numbers:
         key = key * (2 * _SPAN) + (n + _SPAN)
-    return key.cast("long")
+        fits &= (n >= -_SPAN) & (n < _SPAN)
+    far = F.raise_error(F.lit("positions lie too far from the origin for the distance of their neighbours: shift them"))
+    return F.when(fits, key).otherwise(far).cast("long")
 
 
-def _knn_round(waiting: DataFrame, sites: DataFrame, k: int, id_col: str, scale: float) -> DataFrame:
+def _knn_round(waiting: DataFrame, sites: DataFrame, id_col: str, scale: float, values: list[str], kind, made) -> DataFrame:
     rim = F.col("_edge") * scale
     kept = waiting.columns
     asked = waiting.withColumn("tile", _block_key([F.floor(F.col(c) / (2.0 * rim)) for c in "xyz"]))
@@ -126,34 +139,62 @@ def _knn_round(waiting: DataFrame, sites: DataFrame, k: int, id_col: str, scale:
     for c in "xyz":
         reach = F.sequence(F.floor((F.col(c) - rim) / (2.0 * rim)), F.floor((F.col(c) + rim) / (2.0 * rim)))
         held = held.withColumn(f"_{c}", F.explode(reach))
-    held = held.select("snapshot_id", _block_key([F.col(f"_{c}") for c in "xyz"]).alias("tile"), "cell_id", "x", "y", "z")
-    pair = T.StructType([T.StructField("cell_id", T.LongType()), T.StructField("distance", T.DoubleType())])
-    schema = T.StructType(waiting.schema.fields + [T.StructField("_near", T.ArrayType(pair)), T.StructField("_done", T.BooleanType())])
+    held = held.select("snapshot_id", _block_key([F.col(f"_{c}") for c in "xyz"]).alias("tile"), "cell_id", "x", "y", "z", *values)
+    schema = T.StructType(waiting.schema.fields + [T.StructField("_near", kind), T.StructField("_done", T.BooleanType())])
 
     def evaluate(rows: pa.Table, block: pa.Table) -> pa.Table:
         block = block.sort_by("cell_id")
-        ids = block.column("cell_id").to_numpy(zero_copy_only=False)
         xyz = np.stack([as_numpy(block, c) for c in "xyz"], axis=1)
         at = np.stack([as_numpy(rows, c) for c in "xyz"], axis=1)
         edge = as_numpy(rows, "_edge") * scale
         offset = at - np.floor(at / (2.0 * edge[:, None])) * (2.0 * edge[:, None])
         sure = edge + np.minimum(offset, 2.0 * edge[:, None] - offset).min(axis=1, initial=np.inf)
         everything = edge >= as_numpy(rows, "_reach") + np.linalg.norm(at, axis=1)
-        sizes, near_ids, near_gaps = _nearest(at, xyz, ids, k)
-        wanted = np.minimum(k, as_numpy(rows, "_count"))
-        ends = np.cumsum(sizes)
+        wanted = np.minimum(as_numpy(rows, "_wanted"), as_numpy(rows, "_count")).astype(np.int64)
+        picks, gaps = _nearest(at, xyz, int(wanted.max(initial=1)))
+        size = np.minimum(wanted, picks.shape[1])
         far = np.full(len(at), np.inf)
-        far[sizes > 0] = near_gaps[ends[sizes > 0] - 1]
-        done = ((sizes >= wanted) & (far <= sure)) | everything
-        structs = pa.StructArray.from_arrays([pa.array(near_ids, pa.int64()), pa.array(near_gaps, pa.float64())], names=pair.names)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), structs)
-        return pa.Table.from_arrays([rows.column(c) for c in kept] + [lists, pa.array(done)], names=schema.names)
+        some = size > 0
+        far[some] = gaps[some, size[some] - 1]
+        done = ((size >= wanted) & (far <= sure)) | everything
+        size = np.where(done, size, 0)
+        near = made(block, at, xyz, picks, gaps, size, values)
+        return pa.Table.from_arrays([rows.column(c) for c in kept] + [near, pa.array(done)], names=schema.names)
 
     return tile_join(asked, held, [id_col], evaluate, schema)
 
 
-def _nearest(at: np.ndarray, xyz: np.ndarray, ids: np.ndarray, k: int):
-    """The k nearest of the given cells (sorted by id) per point: counts, then ids and distances end to end."""
+def _pairs(block: pa.Table, at, xyz, picks, gaps, size, values) -> pa.Array:
+    """Ids and distances, nearest first."""
+    chosen = np.arange(picks.shape[1]) < size[:, None]
+    ids = block.column("cell_id").to_numpy(zero_copy_only=False)[picks[chosen]]
+    structs = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(gaps[chosen], pa.float64())], names=_PAIR.names)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), structs)
+
+
+def _moments(block: pa.Table, at, xyz, picks, gaps, size, values) -> pa.Array:
+    """The weighted normal-equation sums of a linear fit around each point: 10 shared, 4 per variable."""
+    n, width = len(at), len(_MOMENTS) + 4 * len(values)
+    out = np.zeros((n, width))
+    each = [as_numpy(block, v) for v in values]
+    for lo in range(0, n if picks.shape[1] else 0, rows_at_once(16 * picks.shape[1])):
+        part = slice(lo, lo + rows_at_once(16 * picks.shape[1]))
+        pick, gap = picks[part], gaps[part]
+        chosen = np.arange(pick.shape[1]) < size[part][:, None]
+        mean = np.where(chosen, gap, 0.0).sum(axis=1) / np.maximum(size[part], 1)
+        w = np.where(chosen, np.exp(-((gap / np.maximum(mean, 1e-30)[:, None]) ** 2)), 0.0)
+        basis = np.concatenate([np.ones((*pick.shape, 1)), xyz[pick] - at[part][:, None, :]], axis=2)
+        weighted = basis * w[:, :, None]
+        square = np.einsum("nki,nkj->nij", weighted, basis)
+        out[part, : len(_MOMENTS)] = np.stack([square[:, int(m[1]), int(m[2])] for m in _MOMENTS], axis=1)
+        for k, v in enumerate(each):
+            first = len(_MOMENTS) + 4 * k
+            out[part, first : first + 4] = np.einsum("nki,nk->ni", weighted, v[pick])
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(out.ravel()))
+
+
+def _nearest(at: np.ndarray, xyz: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of the given cells (sorted by id) per point: their places and distances, nearest first."""
     n, m = len(at), len(xyz)
     take = min(k, m)
     gaps, picks = np.empty((n, take)), np.empty((n, take), dtype=np.int64)
@@ -175,7 +216,7 @@ def _nearest(at: np.ndarray, xyz: np.ndarray, ids: np.ndarray, k: int):
         else:
             best = np.argsort(d, axis=1, kind="stable")[:, :take]
         picks[part], gaps[part] = best, np.take_along_axis(d, best, axis=1)
-    return np.full(n, take), ids[picks].ravel(), gaps.ravel()
+    return picks, gaps
 
 
 def rows_at_once(m: int) -> int:
@@ -192,36 +233,20 @@ def resample_nearest(points: DataFrame, cells: DataFrame, values: list[str], id_
 _MOMENTS = ["n00", "n01", "n02", "n03", "n11", "n12", "n13", "n22", "n23", "n33"]
 
 
-def _effective_pairs(points: DataFrame, cells: DataFrame, k: int, id_col: str, reference: int = REFERENCE_CELLS) -> DataFrame:
-    """Each point's neighbours, as many as its snapshot's number of cells calls for (see effective_neighbours)."""
+def _effective(cells: DataFrame, k: int, reference: int = REFERENCE_CELLS) -> DataFrame:
+    """How many neighbours each snapshot's number of cells calls for (see effective_neighbours)."""
     n = F.count(F.lit(1))
-    wanted = cells.groupBy("snapshot_id").agg(
-        F.greatest(F.lit(k), F.least(F.bround(n * (k / reference)).cast("long"), n)).alias("_wanted")
-    )
-    wanted = materialise(wanted, "neighbours")
-    widest = wanted.agg(F.max("_wanted")).first()[0] or k
-    pairs = knn_join(points, cells, int(widest), id_col)
-    return join_few(pairs, wanted).where(F.col("rank") <= F.col("_wanted")).drop("_wanted")
+    wanted = F.greatest(F.lit(k), F.least(F.bround(n * (k / reference)).cast("long"), n))
+    return materialise(cells.groupBy("snapshot_id").agg(wanted.cast("long").alias("_wanted")), "neighbours")
 
 
-def mls_normal(points: DataFrame, cells: DataFrame, values: list[str], k: int, id_col: str = "pid") -> DataFrame:
+def mls_normal(points: DataFrame, cells: DataFrame, values: list[str], k: int, id_col: str = "pid", reference: int = REFERENCE_CELLS) -> DataFrame:
     """Weighted normal-equation sums of a linear fit around each point (10 shared, 4 per variable)."""
-    pairs = _effective_pairs(points, cells, k, id_col)
-    width = pairs.groupBy("snapshot_id", id_col).agg(F.greatest(F.avg("distance"), F.lit(1e-30)).alias("_h"))
-    at = points.select("snapshot_id", id_col, *[F.col(c).alias(f"_p{c}") for c in "xyz"])
-    df = (
-        pairs.join(width, ["snapshot_id", id_col])
-        .join(at, ["snapshot_id", id_col])
-        .join(cells.select("snapshot_id", "cell_id", "x", "y", "z", *values), ["snapshot_id", "cell_id"])
-    )
-    basis = [F.lit(1.0)] + [F.col(c) - F.col(f"_p{c}") for c in "xyz"]
-    ratio = F.col("distance") / F.col("_h")
-    df = df.withColumn("_w", F.exp(-ratio * ratio))
-    out = [
-        F.sum(F.col("_w") * basis[i] * basis[j]).alias(f"n{i}{j}") for i in range(4) for j in range(i, 4)
-    ]
-    out += [F.sum(F.col("_w") * basis[i] * F.col(v)).alias(f"{v}_{i}") for v in values for i in range(4)]
-    return df.groupBy("snapshot_id", id_col).agg(*out)
+    wanted = _effective(cells, k, reference)
+    widest = int(wanted.agg(F.max("_wanted")).first()[0] or k)
+    sums = _around(points, cells, wanted, widest, id_col, values, T.ArrayType(T.DoubleType()), _moments)
+    names = [*_MOMENTS, *(f"{v}_{i}" for v in values for i in range(4))]
+    return sums.select("snapshot_id", id_col, *[F.element_at("_near", i + 1).alias(c) for i, c in enumerate(names)])
 
 
 def mls_solve(sums: DataFrame, values: list[str], id_col: str = "pid", ridge: float = RIDGE) -> DataFrame:
