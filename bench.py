@@ -22,8 +22,7 @@ HEADLINE = (
     "boundary_lookup",
     "knn_join",
     "mls_fit",
-    "trace_lines",
-    "squash",
+    "boundary_map",
     "paint_accumulate",
     "render_los",
     "render_finish",

@@ -13,6 +13,7 @@ from heliospark.operators import lines as ln
 from heliospark.operators import stencil as st
 from heliospark.operators import volume as vol
 from heliospark.operators.stepper import TraceOptions
+from heliospark.operators.tiles import Tiling
 
 
 def line_seeds(d: Inputs):
@@ -38,6 +39,8 @@ def rays(source: str) -> dict[str, str]:
 
 
 FEET = dict(len_b="len_b", len_f="len_f", foot_b_x="bx", foot_b_y="b_y", foot_b_z="bz", foot_f_x="fx", foot_f_y="fy", foot_f_z="fz")
+#: Steps short enough that none passes over a chord of the inner sphere.
+SHORT = TraceOptions(cfl=0.1)
 TRACED = with_views("seeds", more=rays("seeds"), final=f"SELECT snapshot_id, line_id, {big(end_b='end_b', end_f='end_f')}, {r6(**FEET)} FROM two")
 
 
@@ -52,15 +55,16 @@ def uniform_field(d: Inputs) -> ln.GridField:
 @query("trace_lines", TRACED)
 def trace_lines(d):
     """Feet, end codes and lengths of every line of a field on grid nodes."""
-    lines = ln.trace_lines(line_seeds(d), uniform_field(d))
+    lines = ln.trace_lines(line_seeds(d), uniform_field(d), SHORT)
     return lines.select("snapshot_id", "line_id", "end_b", "end_f", *FEET)
 
 
 @query("trace_lines_grid", TRACED)
 def trace_lines_grid(d):
-    """The same with short steps: narrower halos, more supersteps."""
-    lines = ln.trace_lines(line_seeds(d), uniform_field(d), TraceOptions(cfl=0.1))
-    return lines.select("snapshot_id", "line_id", "end_b", "end_f", *FEET)
+    """The same over tiles of a few nodes: lines pass from tile to tile."""
+    field = uniform_field(d)
+    tiled = ln.GridField(field.nodes, field.spec, Tiling(field.spec, block_r=2, block_t=4, halo=field.frontier_tiling(SHORT.cfl).halo))
+    return ln.trace_lines(line_seeds(d), tiled, SHORT).select("snapshot_id", "line_id", "end_b", "end_f", *FEET)
 
 
 @query("fold_halves", with_views("lines", final=f"""SELECT snapshot_id, line_id, {big(end_b='end_b', end_f='end_f')}, {r6(len_b='len_b', len_f='len_f',
@@ -119,7 +123,7 @@ def transport_lines(d):
     """Feet and the two deviations carried to each of them."""
     fld = uniform_field(d)
     seeds = ln.with_seed_basis(ln.attach_b(line_seeds(d), fld, ["line_id"]))
-    return ln.transport_lines(seeds, fld).select("snapshot_id", "line_id", "end_b", "end_f", *FEET, *DEVIATIONS)
+    return ln.transport_lines(seeds, fld, SHORT).select("snapshot_id", "line_id", "end_b", "end_f", *FEET, *DEVIATIONS)
 
 
 # Q of a straight tube: 2 between planes normal to it, and from the slants of both spheres between spheres
@@ -129,7 +133,7 @@ SLANT = {"b": "abs(nx*bx + ny*b_y + nz*bz)/sqrt(bx*bx + b_y*b_y + bz*bz)", "f":
 @query("squash", with_views("seeds", more=rays("seeds") | {"sl": f"SELECT *, {SLANT['b']} AS cb, {SLANT['f']} AS cf FROM two"},
     final=f"SELECT snapshot_id, line_id, {r6(log_q_perp='log10(2e0)', log_q='log10(cb/cf + cf/cb)', len_b='len_b', len_f='len_f')} FROM sl"))
 def squash(d):
-    result = ln.squash(line_seeds(d), uniform_field(d))
+    result = ln.squash(line_seeds(d), uniform_field(d), SHORT)
     return result.select("snapshot_id", "line_id", F.log10("q_perp").alias("log_q_perp"), F.log10("q").alias("log_q"), "len_b", "len_f")
 
 
@@ -277,9 +281,9 @@ def volume_reference(d):
 @query("volume_per_voxel", with_views("snapshots", more=RAYS_IN | rays("node"), final=f"""SELECT {NODE}, {r6(log_q='log10(2e0)')},
     {big(polarity='CASE WHEN end_b = 0 THEN 1 WHEN end_f = 0 THEN -1 ELSE 0 END')} FROM two"""))
 def volume_per_voxel(d):
-    return vol.volume_per_voxel(d.snapshots, uniform_field(d), COARSE)
+    return vol.volume_per_voxel(d.snapshots, uniform_field(d), COARSE, supersample=2, opt=SHORT)
 
 
 @query("volume_paint")
 def volume_paint(d):
-    return vol.volume_paint(d.snapshots, uniform_field(d), COARSE)
+    return vol.volume_paint(d.snapshots, uniform_field(d), COARSE, supersample=2)

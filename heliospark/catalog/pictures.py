@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from heliospark.catalog import sql as q
 from heliospark.catalog.inputs import CAMERA, GRID, Inputs, big, query, r6, with_views
-from heliospark.catalog.lines import rays, uniform_field
+from heliospark.catalog.lines import SHORT, rays, uniform_field
 from heliospark.catalog.scalars import DIP, DIPOLE
 from heliospark.functions import imaging as im
 from heliospark.functions.camera import Camera
@@ -127,21 +127,20 @@ def view_fieldlines(d):
 
 
 LATTICE = {"lat": """SELECT snapshot_id, id AS line_id, (1e0 + 1e-9)*sin(theta)*cos(phi) AS x, (1e0 + 1e-9)*sin(theta)*sin(phi) AS y, (1e0 + 1e-9)*cos(theta) AS z
-    FROM (SELECT snapshot_id, id, (floor(id/100e0) + 5e-1)*pi()/100e0 AS theta, (id % 100 + 5e-1)*pi()/50e0 AS phi
-          FROM snapshots, (SELECT CAST(range AS BIGINT) AS id FROM range(10000)) t) a"""}
-LAT = "degrees(asin(greatest(least({z}/sqrt({x}*{x} + {y}*{y} + {z}*{z}), 1e0), -1e0)))"
-ENDS = dict(r_b="sqrt(bx*bx + b_y*b_y + bz*bz)", lat_b=LAT.format(x="bx", y="b_y", z="bz"), r_f="sqrt(fx*fx + fy*fy + fz*fz)", lat_f=LAT.format(x="fx", y="fy", z="fz"))
+    FROM (SELECT snapshot_id, id, (floor(id/20e0) + 5e-1)*pi()/20e0 AS theta, (id % 20 + 5e-1)*pi()/10e0 AS phi
+          FROM snapshots, (SELECT CAST(range AS BIGINT) AS id FROM range(400)) t) a"""}
+ENDS = dict(r_b="sqrt(bx*bx + b_y*b_y + bz*bz)", r_f="sqrt(fx*fx + fy*fy + fz*fz)")
 
 
 @query("export_lines", with_views("snapshots", more=LATTICE | rays("lat"), final=f"SELECT snapshot_id, line_id, 'open' AS topology, {r6(**ENDS)} FROM two"))
 def export_lines(d):
-    """Every seed of the default lattice as a JSON document, parsed back: both ends of its line and its kind."""
-    lines, paths = pic.export_lines(d.snapshots, uniform_field(d))
+    """Every seed of a lattice as a JSON document, parsed back: the radii of both ends of its line and its kind."""
+    lines, paths = pic.export_lines(d.snapshots, uniform_field(d), n_theta=20, n_phi=20, opt=SHORT)
     docs = sunjson.line_documents(lines, paths)
     geometry = F.from_json("geometry", "type string, coordinates array<array<double>>, colors array<array<int>>, thickness double, topology string")
     g = docs.select("snapshot_id", "line_id", geometry.alias("g")).select("snapshot_id", "line_id", "g.topology", "g.coordinates")
-    end = lambda k, c: F.get(F.element_at("coordinates", k), F.lit(c))
-    return g.select("snapshot_id", "line_id", "topology", end(1, 0).alias("r_b"), end(1, 2).alias("lat_b"), end(-1, 0).alias("r_f"), end(-1, 2).alias("lat_f"))
+    radius = lambda k: F.get(F.element_at("coordinates", k), F.lit(0))
+    return g.select("snapshot_id", "line_id", "topology", radius(1).alias("r_b"), radius(-1).alias("r_f"))
 
 
 # mesh tables: points serve as nodes, six to a cell; cells' field from the same rows

@@ -225,8 +225,10 @@ def test_neighbours_follow_the_number_of_cells(spark):
     sizes = {0: 300, 1: 1000}
     cells = pd.DataFrame([(k, i, *rng.normal(size=3)) for k, n in sizes.items() for i in range(n)], columns=["snapshot_id", "cell_id", "x", "y", "z"])
     points = spark.createDataFrame([(k, p, 0.1 * p, 0.0, 0.0) for k in sizes for p in range(5)], "snapshot_id long, pid long, x double, y double, z double")
-    pairs = resample._effective_pairs(points, spark.createDataFrame(cells), 12, "pid", reference=400).groupBy("snapshot_id", "pid").count().collect()
-    assert {(r["snapshot_id"], r["count"]) for r in pairs} == {(k, resample.effective_neighbours(n, 12, 400)) for k, n in sizes.items()}
+    wanted = resample._effective(spark.createDataFrame(cells), 12, reference=400).collect()
+    assert {(r["snapshot_id"], r["_wanted"]) for r in wanted} == {(k, resample.effective_neighbours(n, 12, 400)) for k, n in sizes.items()}
+    near = resample._around(points, spark.createDataFrame(cells), resample._effective(spark.createDataFrame(cells), 12, 400), max(r["_wanted"] for r in wanted), "pid", [], resample.T.ArrayType(resample._PAIR), resample._pairs)
+    assert {(r["snapshot_id"], len(r["_near"])) for r in near.collect()} == {(k, resample.effective_neighbours(n, 12, 400)) for k, n in sizes.items()}
 
 
 # tracing tile by tile
