@@ -126,7 +126,7 @@ def view_fieldlines(d):
     return image
 
 
-LATTICE = {"lat": """SELECT snapshot_id, id AS line_id, (1e0 + 1e-9)*sin(theta)*cos(phi) AS x, (1e0 + 1e-9)*sin(theta)*sin(phi) AS y, (1e0 + 1e-9)*cos(theta) AS z
+LATTICE = {"lat": """SELECT snapshot_id, id AS line_id, 13e-1*(1e0 + 1e-9)*sin(theta)*cos(phi) AS x, 13e-1*(1e0 + 1e-9)*sin(theta)*sin(phi) AS y, 13e-1*(1e0 + 1e-9)*cos(theta) AS z
     FROM (SELECT snapshot_id, id, (floor(id/20e0) + 5e-1)*pi()/20e0 AS theta, (id % 20 + 5e-1)*pi()/10e0 AS phi
           FROM snapshots, (SELECT CAST(range AS BIGINT) AS id FROM range(400)) t) a"""}
 ENDS = dict(r_b="sqrt(bx*bx + b_y*b_y + bz*bz)", r_f="sqrt(fx*fx + fy*fy + fz*fz)")
@@ -135,7 +135,7 @@ ENDS = dict(r_b="sqrt(bx*bx + b_y*b_y + bz*bz)", r_f="sqrt(fx*fx + fy*fy + fz*fz
 @query("export_lines", with_views("snapshots", more=LATTICE | rays("lat"), final=f"SELECT snapshot_id, line_id, 'open' AS topology, {r6(**ENDS)} FROM two"))
 def export_lines(d):
     """Every seed of a lattice as a JSON document, parsed back: the radii of both ends of its line and its kind."""
-    lines, paths = pic.export_lines(d.snapshots, uniform_field(d), n_theta=20, n_phi=20, opt=SHORT)
+    lines, paths = pic.export_lines(d.snapshots, uniform_field(d), 1.3, n_theta=20, n_phi=20, opt=SHORT)
     docs = sunjson.line_documents(lines, paths)
     geometry = F.from_json("geometry", "type string, coordinates array<array<double>>, colors array<array<int>>, thickness double, topology string")
     g = docs.select("snapshot_id", "line_id", geometry.alias("g")).select("snapshot_id", "line_id", "g.topology", "g.coordinates")
