@@ -391,5 +391,5 @@ def julian_date(d):
 
 @query("run_pipeline")
 def run_pipeline(d):
-    cfg = pipeline.RunConfig(grid=GridSpec(6, 6, 12, inner=1.0, outer=2.5), camera=Camera(fov=6.0, height=16, width=16))
+    cfg = pipeline.RunConfig(grid=GridSpec(6, 6, 12, inner=1.0, outer=2.5), camera=Camera(fov=6.0, height=16, width=16), resolution_factor=1, supersample=1)
     return pipeline.run_pipeline(d.cells, cfg).drop("prow", "pcol")
