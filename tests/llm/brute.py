@@ -169,11 +169,13 @@ def order_minhash(text: str, k: int = 3) -> dict[int, int]:
         ranked.append((_xxh([struct.pack("<q", x >> 28), struct.pack("<i", number[x >> 28])]) << 28) & wrap | x & low)
         number[x >> 28] += 1
     bins: dict[int, list] = {}
-    for x in sorted(ranked):
+    for x in sorted(ranked, key=lambda x: x ^ (1 << 63)):
         bins.setdefault(x >> 58, []).append(x)
     out = {}
-    for b, inside in bins.items():
-        h = _xxh([struct.pack("<q", x >> 28) for x in sorted(inside[:2], key=lambda x: x & low)])
+    order = list(bins)
+    for j, b in enumerate(order):
+        two = (bins[b] + bins[order[(j + 1) % len(order)]])[: min(2, len(ranked))]
+        h = _xxh([struct.pack("<q", x >> 28) for x in sorted(two, key=lambda x: x & low)])
         out[b] = (h - (1 << 64) if h >> 63 else h) % 65536
     return out
 
