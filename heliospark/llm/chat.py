@@ -1,9 +1,10 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn is an example of its own: all turns before it are its context and only the reply is under the loss.
-All examples of a conversation are prefixes of one text, so that text is kept once, in pieces: one row per turn with its
-piece, the piece's offset, and for assistant turns the span under the loss. A row with a span is an example; its text is
-the pieces up to its own. ``example_texts`` writes them out.
+``expanded`` explodes the turns: each gives its piece of the conversation's text, an assistant turn also an example, with the
+length of its context (all text before the reply), the reply itself, and the span under the loss. All contexts of a
+conversation are prefixes of one text, so that they are told by length and kept once, as pieces. ``example_texts`` writes
+examples out with their contexts, which is quadratic in the turns.
 
 Template: ``<s>`` opens the conversation; a user turn is ``[INST] text [/INST]``, an assistant turn `` text</s>``, any other
 ``[ROLE]role[/ROLE]text</s>``. A mark inside a text gets one more backslash after its first character and loses it on
@@ -63,6 +64,38 @@ def formatted(turns: DataFrame) -> DataFrame:
     )
 
 
+def expanded(pieces: DataFrame) -> DataFrame:
+    """Each turn's piece and each assistant turn's example: conv_id, place, context_chars, target, loss_start, loss_end, text.
+
+    ``text`` is the piece; it is null in an example, whose ``target`` is null in a piece. The loss span counts from the
+    context's first character. Explodes row by row, so nothing is shuffled.
+    """
+    nothing, place = F.lit(None), F.col("place")
+    piece = F.struct(
+        place.alias("place"),
+        F.col("start").alias("context_chars"),
+        nothing.cast("string").alias("target"),
+        nothing.cast("long").alias("loss_start"),
+        nothing.cast("long").alias("loss_end"),
+        F.col("piece").alias("text"),
+    )
+    example = F.struct(
+        place.alias("place"),
+        F.col("loss_start").alias("context_chars"),
+        F.substring("piece", (F.col("loss_start") - F.col("start") + 1).cast("int"), F.char_length("piece")).alias("target"),
+        F.col("loss_start").alias("loss_start"),
+        F.col("loss_end").alias("loss_end"),
+        nothing.cast("string").alias("text"),
+    )
+    both = F.when(F.col("loss_start").isNull(), F.array(piece)).otherwise(F.array(piece, example))
+    return pieces.select("conv_id", F.explode(both).alias("row")).select("conv_id", "row.*")
+
+
+def examples(pieces: DataFrame) -> DataFrame:
+    """One row per assistant turn: conv_id, place, context_chars, target, loss_start, loss_end."""
+    return expanded(pieces).where("target is not null").drop("text")
+
+
 def example_texts(pieces: DataFrame) -> DataFrame:
     """Each example written out: conv_id, place, text, loss_start, loss_end. Its size is quadratic in the turns."""
     before = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -75,18 +108,19 @@ def unescaped(text: str) -> str:
 
 
 class Reader:
-    """Reads one conversation back from its text, given piece by piece."""
+    """Reads one conversation back from its pieces and its examples, each example after the piece that holds its reply."""
 
     def __init__(self):
         self.left, self.opened, self.chars = "", False, 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = 0
 
-    def feed(self, piece: str, start: int, loss: tuple[int, int] | None) -> None:
-        if loss is not None:
-            text = unescaped(piece[loss[0] - start : loss[1] - start])
-            self.loss.update(text.encode())
-            self.loss_chars += len(text)
+    def learn(self, target: str, context_chars: int, loss: tuple[int, int]) -> None:
+        text = unescaped(target[loss[0] - context_chars : loss[1] - context_chars])
+        self.loss.update(text.encode())
+        self.loss_chars += len(text)
+
+    def feed(self, piece: str) -> None:
         self.chars += len(piece)
         text = self.left + piece
         if not self.opened and text.startswith("<s>"):
@@ -108,7 +142,7 @@ class Reader:
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
-    """Per conversation what its formatted text and loss spans hold."""
+    """Per conversation what its formatted text and the trained replies of its examples hold."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [None, T.LongType(), T.StringType(), T.LongType(), T.StringType(), T.LongType()]
     schema = T.StructType([field(pieces, "conv_id")] + [T.StructField(n, k) for n, k in zip(names[1:], kinds[1:])])
@@ -121,13 +155,16 @@ def read_back(pieces: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            columns = (batch.column(c).to_pylist() for c in ("conv_id", "place", "piece", "start", "loss_start", "loss_end"))
-            for conv_id, place, piece, start, first, last in zip(*columns):
+            columns = (batch.column(c).to_pylist() for c in ("conv_id", "place", "text", "target", "context_chars", "loss_start", "loss_end"))
+            for conv_id, place, text, target, context_chars, first, last in zip(*columns):
+                if text is None:
+                    reader.learn(target, context_chars, (first, last))
+                    continue
                 if place == 0:
                     if reader is not None:
                         done.append(closed())
                     key, reader = conv_id, Reader()
-                reader.feed(piece, start, None if first is None else (first, last))
+                reader.feed(text)
             yield rows(done, batch.schema.field("conv_id").type)
         if reader is not None:
             yield rows([closed()], batch.schema.field("conv_id").type)
@@ -137,4 +174,5 @@ def read_back(pieces: DataFrame) -> DataFrame:
         columns = zip(*done) if done else [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return pieces.sortWithinPartitions("conv_id", "place").mapInArrow(read, schema)
+    rows_in_order = expanded(pieces).sortWithinPartitions("conv_id", "place", F.col("text").isNull())
+    return rows_in_order.mapInArrow(read, schema)

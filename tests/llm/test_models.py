@@ -11,7 +11,7 @@ import pytest
 from brute import awkward, awkward_texts, base_scores, empty, fold, likeness, order_minhash, prose, spelled
 
 from heliospark.llm import bloom_lm
-from heliospark.llm.chat import example_texts, formatted, read_back
+from heliospark.llm.chat import example_texts, examples, formatted, read_back
 from heliospark.llm.language import identify, recognised
 from heliospark.llm.order_minhash import edited_pairs
 from heliospark.llm.quality import score as quality
@@ -207,7 +207,16 @@ def test_chat_reads_back_awkward_turns(spark):
         row = got[conv]
         assert (row.n_turns, row.turns_sha256) == (len(mine), hashlib.sha256(said.encode()).hexdigest())
         assert (row.loss_chars, row.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    examples = example_texts(pieces).collect()
-    assert len(examples) == sum(r[2] == "assistant" for r in rows)
-    assert all(e.text.startswith("<s>") and e.text[e.loss_end :] == "</s>" for e in examples)
+    written = {(e.conv_id, e.place): e for e in example_texts(pieces).collect()}
+    assert len(written) == sum(r[2] == "assistant" for r in rows)
+    assert all(e.text.startswith("<s>") and e.text[e.loss_end :] == "</s>" for e in written.values())
+    spans = examples(pieces).collect()
+    assert len(spans) == len(written)
+    for e in spans:
+        whole = written[e.conv_id, e.place]
+        assert (e.loss_start, e.loss_end) == (whole.loss_start, whole.loss_end) == (e.context_chars, e.context_chars + len(e.target) - 4)
+        assert whole.text[e.context_chars :] == e.target
+    longest = max((e for e in spans if e.conv_id == 7), key=lambda e: e.place)
+    before = sorted((p for p in pieces.collect() if p.conv_id == 7 and p.place < longest.place), key=lambda p: p.place)
+    assert written[7, longest.place].text == "".join(p.piece for p in before) + " " + longest.target
     assert read_back(formatted(turns.limit(0))).count() == 0
