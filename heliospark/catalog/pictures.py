@@ -315,6 +315,14 @@ def src_structured_set(d):
     return structured.align_structured(blocks).select("snapshot_id", "i_r", "i_t", "i_p", "rho", "b_x", "b_y", "b_z")
 
 
+@query("structured_field", with_views("nodes", more=MESHED, final=f"SELECT snapshot_id, i_r, i_t, i_p, {r6(rho='rho', **SPUN)} FROM mv"))
+def structured_field(d):
+    """A set found by its names, read back and brought onto the grid of the run by its own axes."""
+    spec = GridSpec(GRID.n_r, GRID.n_theta, GRID.n_phi, inner=1.0, outer=1.0 + 0.15 * (GRID.n_r - 1), spacing="uniform")
+    field, _ = pipeline.build_field(structured.read_structured(d.spark, write_structured(d)), pipeline.RunConfig(grid=spec))
+    return field.nodes.select("snapshot_id", "i_r", "i_t", "i_p", "rho", "b_x", "b_y", "b_z")
+
+
 # sinks and facts
 
 

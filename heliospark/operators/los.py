@@ -208,11 +208,16 @@ def render_los(
     u: float = rad.LIMB_DARKENING,
     crossover: float = rad.CROSSOVER,
     tiling: Tiling | None = None,
+    limits: tuple[float, float] = (im.LOG_FLOOR, im.LOG_MAX),
 ) -> DataFrame:
     """Per-pixel signal, coverage, budgets and polarity of a volume (log_q, polarity).
 
     With ``density`` (nodes with ``ne``, their grid) the average is weighted by the scattered intensity.
+    Values are held within ``limits`` (without ``floor`` below the upper one only); breaches of both are counted.
     """
+    lowest, highest = limits
+    if not lowest < highest:
+        raise ValueError(f"limits rise, got {limits}")
     if occult not in ("eclipse", "opaque", "none"):
         raise ValueError(f"occult is 'eclipse', 'opaque' or 'none', not {occult!r}")
     tiling = tiling or Tiling(spec)
@@ -235,7 +240,7 @@ def render_los(
                 on_path &= ~im.occulted(p.rho, p.s, r_occult, np)
             valid = on_path & np.isfinite(log_q)
             raw = np.where(valid, log_q, 0.0)
-            value = np.clip(raw, im.LOG_FLOOR if floor else None, im.LOG_MAX)
+            value = np.clip(raw, lowest if floor else None, highest)
             weights = preset.weights(p.s, p.r, np)
             mean_w = sum(weights) / 3.0
             scale = 1.0
@@ -253,8 +258,8 @@ def render_los(
             yield np.where(on_path, mean_w, 0.0)
             yield np.where(valid, mean_w * sign, 0.0)
             yield valid.astype(float)
-            yield (valid & (raw < im.LOG_FLOOR)).astype(float)
-            yield (valid & (raw > im.LOG_MAX)).astype(float)
+            yield (valid & (raw < lowest)).astype(float)
+            yield (valid & (raw > highest)).astype(float)
 
         return terms
 

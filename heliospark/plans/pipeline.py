@@ -15,9 +15,11 @@ from heliospark.functions.grid import GridSpec
 from heliospark.operators import brightness, los, resample, volume
 from heliospark.operators import generators as gen
 from heliospark.operators.lines import GridField
+from heliospark.operators.resample import StructuredBlock
 from heliospark.operators.stepper import TraceOptions
 from heliospark.operators.tiles import sample_tiles
 from heliospark.session import materialise
+from heliospark.sources.structured import align_structured, cells_of
 
 #: Quality presets: resolution factor, supersample.
 QUALITY = {"fast": (1, 2), "standard": (2, 4), "high": (3, 6)}
@@ -28,7 +30,8 @@ class RunConfig:
     grid: GridSpec = field(default_factory=lambda: GridSpec(192, 180, 360))
     camera: Camera = field(default_factory=Camera)
     neighbours: int = 30
-    resampler: str = "knn-mls"
+    #: "auto" reads a structured set on its own axes and fits scattered cells
+    resampler: str = "auto"
     builder: str = "paint"
     resolution_factor: int = 2
     supersample: int = 4
@@ -41,19 +44,78 @@ class RunConfig:
     r_occult: float = 1.0
     display: str = "balanced"
     thomson: str | None = None
+    softness: float = 0.03
+    #: log Q is held within these; without the floor below the upper one only
+    limits: tuple[float, float] = (im.LOG_FLOOR, im.LOG_MAX)
+    floor: bool = True
+    percentiles: tuple[float, float] = (1.0, 99.5)
+    #: colour by polarity instead of by channel
+    hue: bool = False
+    disk_tone: float = 0.8
+    disk_desaturation: float = 0.4
+    limb_darkening: float = rad.LIMB_DARKENING
+    crossover: float = rad.CROSSOVER
+
+    def __post_init__(self) -> None:
+        low, high = self.percentiles
+        if not 0.0 <= low < high <= 100.0:
+            raise ValueError(f"percentiles rise within 0 to 100, got {self.percentiles}")
+        if not self.limits[0] < self.limits[1]:
+            raise ValueError(f"limits rise, got {self.limits}")
+        if self.softness < 0.0 or self.disk_tone <= 0.0 or not 0.0 <= self.disk_desaturation <= 1.0:
+            raise ValueError("need softness >= 0, disk_tone > 0 and disk_desaturation within 0 to 1")
 
 
-def build_field(cells: DataFrame, cfg: RunConfig) -> tuple[GridField, DataFrame | None]:
-    """Cells (snapshot_id, cell_id, x, y, z, b_*, rho) to the field and density on grid nodes, in one fit."""
-    values = ["b_x", "b_y", "b_z"] + (["rho"] if "rho" in cells.columns else [])
-    nodes = gen.grid_nodes(cells, cfg.grid)
-    points = nodes.select("snapshot_id", "node_id", "x", "y", "z")
-    if cfg.resampler == "knn-mls":
-        fitted = resample.mls_fit(points, cells, values, cfg.neighbours, "node_id")
-    elif cfg.resampler == "nearest-cell":
-        fitted = resample.resample_nearest(points, cells, values, "node_id")
+@dataclass(frozen=True)
+class BrightnessConfig:
+    """Options of a scattered-light frame and its display."""
+
+    camera: Camera = field(default_factory=Camera)
+    step: float = 0.02
+    occult: str = "eclipse"
+    r_occult: float = 1.02
+    softness: float = 0.03
+    choice: str = "polarized"
+    vignette: str = "newkirk"
+    #: by default logarithmic where nothing flattens the falloff, else linear
+    scaling: str | None = None
+    percentiles: tuple[float, float] = (1.0, 99.5)
+    limb_darkening: float = rad.LIMB_DARKENING
+    crossover: float = rad.CROSSOVER
+
+
+def _structured_values(variables: dict[str, StructuredBlock], fit, cfg: RunConfig) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Grid nodes, the set's values on them, and the values' names; ``fit`` serves the resamplers of scattered cells."""
+    axes = variables["rho" if "rho" in variables else "br"].axes
+    aligned = materialise(align_structured(variables), "aligned")
+    values = ["b_x", "b_y", "b_z"] + (["rho"] if "rho" in variables else [])
+    nodes = gen.grid_nodes(axes, cfg.grid)
+    if cfg.resampler in ("auto", "structured"):
+        block = StructuredBlock(aligned.select("snapshot_id", "i_r", "i_t", "i_p", *values), axes)
+        at = nodes.select("snapshot_id", "node_id", "r", "theta", "phi")
+        return nodes, resample.resample_structured(at, block, values, ["node_id"]), values
+    return nodes, fit(nodes, cells_of(aligned, axes), values), values
+
+
+def build_field(cells: DataFrame | dict[str, StructuredBlock], cfg: RunConfig) -> tuple[GridField, DataFrame | None]:
+    """Cells (snapshot_id, cell_id, x, y, z, b_*, rho), or a structured set, to field and density on grid nodes."""
+
+    def fit(nodes: DataFrame, cells: DataFrame, values: list[str]) -> DataFrame:
+        points = nodes.select("snapshot_id", "node_id", "x", "y", "z")
+        if cfg.resampler in ("auto", "knn-mls"):
+            return resample.mls_fit(points, cells, values, cfg.neighbours, "node_id")
+        return resample.resample_nearest(points, cells, values, "node_id")
+
+    if cfg.resampler not in ("auto", "structured", "knn-mls", "nearest-cell"):
+        raise ValueError(f"resampler is 'auto', 'structured', 'knn-mls' or 'nearest-cell', not {cfg.resampler!r}")
+    if isinstance(cells, dict):
+        nodes, fitted, values = _structured_values(cells, fit, cfg)
+    elif cfg.resampler == "structured":
+        raise ValueError("resampler 'structured' needs a structured set; cells are scattered")
     else:
-        raise ValueError(f"resampler is 'knn-mls' or 'nearest-cell', not {cfg.resampler!r}")
+        values = ["b_x", "b_y", "b_z"] + (["rho"] if "rho" in cells.columns else [])
+        nodes = gen.grid_nodes(cells, cfg.grid)
+        fitted = fit(nodes, cells, values)
     packed = fitted.join(nodes.select("snapshot_id", "node_id", "i_r", "i_t", "i_p", "x", "y", "z"), ["snapshot_id", "node_id"])
     packed = materialise(packed.select("snapshot_id", "i_r", "i_t", "i_p", "x", "y", "z", *values), "field")
     density = None
@@ -90,21 +152,34 @@ def render_volume(vol: DataFrame, spec: GridSpec, cfg: RunConfig, density: DataF
     def one_pass(preset, step, occult):
         sums = los.render_los(
             vol, spec, pixel_table, cfg.camera, preset, step, occult=occult, r_occult=cfg.r_occult, density=thick,
-            thomson=cfg.thomson or "K",
+            thomson=cfg.thomson or "K", floor=cfg.floor, u=cfg.limb_darkening, crossover=cfg.crossover, limits=cfg.limits,
         )
-        return los.render_finish(materialise(sums, "los"), preset, cfg.display, occult, cfg.r_occult)
+        return los.render_finish(sums, preset, cfg.display, occult, cfg.r_occult, cfg.softness, cfg.percentiles, cfg.hue)
 
     if cfg.occult != "composite":
         return one_pass(cfg.preset, cfg.step, cfg.occult)
     base = one_pass(cfg.preset, cfg.step, "eclipse")
     disk = one_pass(im.SMALL_FOV, min(cfg.step, los.DISK_STEP), "opaque")
-    return los.render_composite(base, disk, cfg.r_occult)
+    return los.render_composite(base, disk, cfg.r_occult, cfg.disk_tone, cfg.disk_desaturation, cfg.percentiles)
 
 
-def render_brightness(density: DataFrame, spec: GridSpec, camera: Camera, step=0.02, occult="eclipse", r_occult=1.02) -> DataFrame:
+def render_brightness(
+    density: DataFrame, spec: GridSpec, camera: Camera, step=0.02, occult="eclipse", r_occult=1.02, softness=0.03,
+    u=rad.LIMB_DARKENING, crossover=rad.CROSSOVER,
+) -> DataFrame:
     pixel_table = gen.pixels(density, camera)
-    sums = los.brightness_sums(density, spec, pixel_table, camera, step)
-    return brightness.finalize_brightness(materialise(sums, "brightness"), occult, r_occult)
+    sums = los.brightness_sums(density, spec, pixel_table, camera, step, u, crossover)
+    return brightness.finalize_brightness(materialise(sums, "brightness"), occult, r_occult, softness)
+
+
+def brightness_image(density: DataFrame, spec: GridSpec, cfg: BrightnessConfig = BrightnessConfig(), **detail) -> DataFrame:
+    """Density to frames and their display: chosen frame, detrended, stretched to 0..1 (column ``display``)."""
+    light = (cfg.limb_darkening, cfg.crossover)
+    frame = render_brightness(density, spec, cfg.camera, cfg.step, cfg.occult, cfg.r_occult, cfg.softness, *light)
+    scaling = cfg.scaling or ("log" if cfg.vignette == "none" else "linear")
+    return brightness.brightness_display(
+        frame, cfg.choice, cfg.vignette, cfg.r_occult, spec.inner, spec.outer, scaling, cfg.percentiles, *light, **detail
+    )
 
 
 def qmap_slice(
@@ -128,9 +203,10 @@ def qmap_metrics(qmap: DataFrame) -> DataFrame:
     )
 
 
-def run_pipeline(cells: DataFrame, cfg: RunConfig) -> DataFrame:
-    """Cells of one or many snapshots to finished pixels."""
-    snapshots = cells.select("snapshot_id").distinct()
+def run_pipeline(cells: DataFrame | dict[str, StructuredBlock], cfg: RunConfig) -> DataFrame:
+    """Cells, or a structured set, of one or many snapshots to finished pixels."""
+    rows = cells["br"].axes if isinstance(cells, dict) else cells
+    snapshots = rows.select("snapshot_id").distinct()
     fld, density = build_field(cells, cfg)
     vol, spec = build_volume(snapshots, fld, cfg)
     return render_volume(vol, spec, cfg, density)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliospark.functions.geometry import sph_to_cart, vec_file_angles
+from heliospark.operators.ranks import join_few
 from heliospark.operators.resample import StructuredBlock, resample_structured
 
 #: Names a file of a set may carry.
@@ -21,9 +22,17 @@ def variable_of(file_name: Column) -> Column:
     return F.when(F.size(known) == 1, F.get(known, F.lit(0))).otherwise(F.raise_error(message).cast("string"))
 
 
+def member_of(file_path: Column) -> Column:
+    """The name of a set's member: a file's own, or that of its folder where this is a Parquet table."""
+    parts = F.split(file_path, "/")
+    folder = F.element_at(parts, -2)
+    return F.when(folder.endswith(".parquet"), folder).otherwise(F.element_at(parts, -1))
+
+
 def read_structured(spark: SparkSession, path: str) -> dict[str, StructuredBlock]:
-    """A set of Parquet folders (snapshot_id, i_r, i_t, i_p, r, theta, phi, value), one variable per file name."""
-    rows = spark.read.parquet(path).withColumn("variable", variable_of(F.col("_metadata.file_name")))
+    """A folder of Parquet files or tables (snapshot_id, i_r, i_t, i_p, r, theta, phi, value), each named by its variable."""
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    rows = rows.withColumn("variable", variable_of(member_of(F.col("_metadata.file_path"))))
     present = [r[0] for r in rows.select("variable").distinct().limit(len(SET_VARIABLES)).collect()]
     missing = [v for v in NEEDED if v not in present]
     if missing:
@@ -51,6 +60,14 @@ def mesh_points(axes: DataFrame) -> DataFrame:
     return out
 
 
+def cells_of(aligned: DataFrame, axes: DataFrame) -> DataFrame:
+    """The nodes of an aligned set as cells (snapshot_id, cell_id, x, y, z, values) for the resamplers of scattered cells."""
+    sizes = axes.groupBy("snapshot_id").agg(*[F.max(F.when(F.col("axis") == a, F.col("idx") + 1)).alias(f"_n{a}") for a in "tp"])
+    cell = (F.col("i_r") * F.col("_nt") + F.col("i_t")) * F.col("_np") + F.col("i_p")
+    values = [c for c in aligned.columns if c in ("x", "y", "z", "b_x", "b_y", "b_z", "rho")]
+    return join_few(aligned, sizes).select("snapshot_id", cell.cast("long").alias("cell_id"), *values)
+
+
 def align_structured(variables: dict[str, StructuredBlock]) -> DataFrame:
     """All variables on the density mesh (the br mesh where there is no density), B in Cartesian components.
 
