@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -304,6 +305,15 @@ def display_magnitude(mode: str, signal: Column, den: Column, on: Column, covera
     raise ValueError(f"display is 'balanced', 'raw' or 'coverage', not {mode!r}")
 
 
+@dataclass(frozen=True)
+class Stretch:
+    """Columns to scale, how, and the pixels whose percentiles count (all, where these hold none)."""
+
+    columns: list[str]
+    scaling: str = "linear"
+    anchor: Column | None = None
+
+
 def percentile_stretch(
     pixel_table: DataFrame, columns: list[str], scaling="linear", percentiles=(1.0, 99.5), anchor: Column | None = None,
 ) -> DataFrame:
@@ -311,19 +321,25 @@ def percentile_stretch(
 
     Percentiles come from the anchored pixels, or from all where the anchor holds none.
     """
-    prepared = pixel_table
-    if scaling == "log":
-        logs = {c: F.log10(F.greatest(F.col(c), F.lit(1e-300))) for c in columns}
-        prepared = prepared.withColumns({c: F.when(F.col(c).isNotNull(), e) for c, e in logs.items()})
-    wanted = {f"_{c}": F.col(c) for c in columns}
-    if anchor is not None:
-        wanted |= {f"_{c}_in": F.when(anchor, F.col(c)) for c in columns}
+    return percentile_stretches(pixel_table, [Stretch(columns, scaling, anchor)], percentiles)
+
+
+def percentile_stretches(pixel_table: DataFrame, stretches: list[Stretch], percentiles=(1.0, 99.5)) -> DataFrame:
+    """Several stretches of different columns by one count of their values."""
+    prepared, wanted, limit = pixel_table, {}, {}
+    for one in stretches:
+        if one.scaling == "log":
+            logs = {c: F.log10(F.greatest(F.col(c), F.lit(1e-300))) for c in one.columns}
+            prepared = prepared.withColumns({c: F.when(F.col(c).isNotNull(), e) for c, e in logs.items()})
+        wanted |= {f"_{c}": F.col(c) for c in one.columns}
+        limit |= {c: F.col(f"_{c}") for c in one.columns}
+        if one.anchor is not None:
+            wanted |= {f"_{c}_in": F.when(one.anchor, F.col(c)) for c in one.columns}
+            limit |= {c: F.coalesce(f"_{c}_in", f"_{c}") for c in one.columns}
     limits = quantiles(prepared, wanted, [p / 100.0 for p in percentiles])
-    if anchor is not None:
-        limits = limits.select("snapshot_id", *[F.coalesce(f"_{c}_in", f"_{c}").alias(f"_{c}") for c in columns])
-    joined = join_few(prepared, limits)
+    joined = join_few(prepared, limits.select("snapshot_id", *[v.alias(f"_{c}") for c, v in limit.items()]))
     scaled = {}
-    for c in columns:
+    for c in limit:
         low, high = F.col(f"_{c}")[0], F.col(f"_{c}")[1]
         span = F.when(high > low, high - low).otherwise(F.lit(1.0))
         scaled[c] = F.coalesce(clamp((F.col(c) - low) / span, 0.0, 1.0), F.lit(0.0))
@@ -338,7 +354,7 @@ def render_finish(
 
     The eclipse core is removed before the stretch, so it does not count in the percentiles.
     """
-    # read by both stretches: the line-of-sight pass runs once
+    # read by the count of values and by the result: the line-of-sight pass runs once
     df, alpha = materialise(los, "line-of-sight"), F.lit(1.0)
     if occult == "eclipse":
         alpha = im.eclipse_alpha(F.col("rho"), r_occult, softness)
@@ -348,8 +364,8 @@ def render_finish(
             | {"coverage": F.when(core, F.lit(0.0)).otherwise(F.col("coverage"))}
         )
     df = df.withColumn("grayscale", reduce(lambda a, b: a + b, [F.col(f"signal_{c}") for c in CHANNELS]) / 3.0)
-    df = percentile_stretch(df, ["grayscale"], "linear", percentiles).withColumn("grayscale", F.col("grayscale") * alpha)
     if hue:
+        df = percentile_stretch(df, ["grayscale"], "linear", percentiles).withColumn("grayscale", F.col("grayscale") * alpha)
         colours = im.ramp(F.col("polarity"), im.POLARITY_STOPS)
         return df.withColumns({f"image_{c}": colours[c] * F.col("grayscale") for c in CHANNELS})
     df = df.withColumns(
@@ -361,8 +377,9 @@ def render_finish(
         }
     )
     anchor = None if preset.stretch_radius is None else F.col("rho") < preset.stretch_radius
-    df = percentile_stretch(df, [f"image_{c}" for c in CHANNELS], preset.scaling, percentiles, anchor)
-    return df.withColumns({f"image_{c}": F.col(f"image_{c}") * alpha for c in CHANNELS})
+    images = [f"image_{c}" for c in CHANNELS]
+    df = percentile_stretches(df, [Stretch(["grayscale"]), Stretch(images, preset.scaling, anchor)], percentiles)
+    return df.withColumns({c: F.col(c) * alpha for c in ["grayscale", *images]})
 
 
 def render_composite(
