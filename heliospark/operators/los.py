@@ -19,7 +19,7 @@ from heliospark.functions.grid import GridSpec
 from heliospark.operators import generators as gen
 from heliospark.operators.ranks import join_few, quantiles
 from heliospark.operators.tiles import Tiling, as_numpy, block_of, node_rows, nullable, tile_join
-from heliospark.session import materialise
+from heliospark.session import large, materialise
 
 PIXEL = ["snapshot_id", "pixel_id"]
 CHANNELS = (0, 1, 2)
@@ -186,7 +186,7 @@ def _tile_sums(pixel_table, nodes, tiling: Tiling, camera: Camera, step: float,
         *[F.sum(c).alias(c) for c in names]
     )
     # rays that miss the shell keep a row of zeros
-    return pixel_table.join(sums, PIXEL, "left").na.fill(0.0, names)
+    return pixel_table.join(large(sums), PIXEL, "left").na.fill(0.0, names)
 
 
 LOS_SUMS = [f"{k}_{c}" for k in ("num", "den", "on") for c in CHANNELS] + [
@@ -389,7 +389,7 @@ def render_composite(
     shared = [f"{k}_{c}" for k in ("signal", "image") for c in CHANNELS] + ["coverage", "polarity"]
     base, disk = materialise(base, "eclipse-image"), materialise(disk, "disk-image")
     other = disk.select(*PIXEL, *[F.col(c).alias(f"_{c}") for c in shared])
-    df = base.join(other, PIXEL)
+    df = base.join(large(other), PIXEL)
     grey = (F.col("_image_0") + F.col("_image_1") + F.col("_image_2")) / 3.0
     keep = 1.0 - desaturation if desaturation > 0 else 1.0
     df = df.withColumns({f"_layer_{c}": grey + keep * (F.col(f"_image_{c}") - grey) for c in CHANNELS})

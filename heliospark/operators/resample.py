@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from heliospark.functions.geometry import TWO_PI
 from heliospark.operators.tiles import as_numpy, tile_join
 from heliospark.operators.ranks import join_few
-from heliospark.session import materialise
+from heliospark.operators.stencil import on_ring, rings
+from heliospark.session import large, materialise
 
 #: Cells a bucket may hold before buckets are halved.
 BUCKET_CAP = 4096
@@ -227,7 +228,7 @@ def rows_at_once(m: int) -> int:
 def resample_nearest(points: DataFrame, cells: DataFrame, values: list[str], id_col: str = "pid") -> DataFrame:
     """Values of the nearest cell."""
     one = knn_join(points, cells, 1, id_col).select("snapshot_id", id_col, "cell_id")
-    return one.join(cells.select("snapshot_id", "cell_id", *values), ["snapshot_id", "cell_id"])
+    return one.join(large(cells.select("snapshot_id", "cell_id", *values)), ["snapshot_id", "cell_id"])
 
 
 _MOMENTS = ["n00", "n01", "n02", "n03", "n11", "n12", "n13", "n22", "n23", "n33"]
@@ -314,11 +315,18 @@ def resample_structured(
     points: DataFrame, block: StructuredBlock, values: list[str], row_id: list[str], at=("r", "theta", "phi"), clamp_ends=True
 ) -> DataFrame:
     """Trilinear values on native axes: r and theta held at the ends (or extended), azimuth periodic."""
+    axes = None
+    for axis in "rtp":
+        cells = _intervals(block.axes, axis).groupBy("snapshot_id").agg(
+            F.sort_array(F.collect_list(F.struct("_lo", "_hi", f"i_{axis}0", f"i_{axis}1"))).alias(f"_cells_{axis}")
+        )
+        axes = cells if axes is None else axes.join(large(cells), "snapshot_id")
     df = points.select("snapshot_id", *row_id, *[F.col(c).alias(f"_v{a}") for a, c in zip("rtp", at)])
+    df = df.join(large(axes), "snapshot_id")
     for axis in "rtp":
-        df = _bracket(df, block.axes, axis, clamp_ends)
+        df = _bracket(df, axis, clamp_ends)
     corners = df
-    for axis in "rtp":
+    for axis in "rt":
         share = F.col(f"_f{axis}")
         pick = F.array(
             F.struct(F.col(f"i_{axis}0").alias("i"), (1.0 - share).alias("w")),
@@ -326,33 +334,38 @@ def resample_structured(
         )
         corners = corners.withColumn(f"_c{axis}", F.explode(pick))
     corners = corners.select(
-        "snapshot_id", *row_id, *[F.col(f"_c{a}.i").alias(f"i_{a}") for a in "rtp"],
-        (F.col("_cr.w") * F.col("_ct.w") * F.col("_cp.w")).alias("_w"),
+        "snapshot_id", *row_id, *[F.col(f"_c{a}.i").alias(f"i_{a}") for a in "rt"],
+        (F.col("_cr.w") * F.col("_ct.w")).alias("_w"), "i_p0", "i_p1", "_fp",
     )
-    joined = corners.join(block.nodes, ["snapshot_id", "i_r", "i_t", "i_p"])
-    return joined.groupBy("snapshot_id", *row_id).agg(*[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values])
-
-
-def _bracket(df: DataFrame, axes: DataFrame, axis: str, clamp_ends: bool) -> DataFrame:
+    # both azimuths of a corner are read on its ring; a node that is missing counts for nothing
+    joined = corners.join(large(rings(block.nodes, ["snapshot_id", "i_r", "i_t"], values)), ["snapshot_id", "i_r", "i_t"])
+    sides = [(on_ring(F.col("i_p0")), 1.0 - F.col("_fp")), (on_ring(F.col("i_p1")), F.col("_fp"))]
+    joined = joined.where(sides[0][0].isNotNull() | sides[1][0].isNotNull())
+    out = []
+    for v in values:
+        low, high = (F.col("_w") * w * n[v] for n, w in sides)
+        out.append(F.sum(F.coalesce(low + high, low, high)).alias(v))
+    return joined.groupBy("snapshot_id", *row_id).agg(*out)
+
+
+def _bracket(df: DataFrame, axis: str, clamp_ends: bool) -> DataFrame:
     """Interval and share of each position on one axis: the axis is one short sorted array per snapshot."""
-    cells = _intervals(axes, axis).groupBy("snapshot_id").agg(
-        F.sort_array(F.collect_list(F.struct("_lo", "_hi", f"i_{axis}0", f"i_{axis}1"))).alias("_cells")
-    )
-    n = F.size("_cells")
+    cells = F.col(f"_cells_{axis}")
+    n = F.size(cells)
     value = F.col(f"_v{axis}")
-    first, last = F.get("_cells", F.lit(0))["_lo"], F.get("_cells", n - 1)["_hi"]
+    first, last = F.get(cells, F.lit(0))["_lo"], F.get(cells, n - 1)["_hi"]
     if axis == "p":
         value = first + F.pmod(value - first, F.lit(TWO_PI))
     elif clamp_ends:
         value = F.least(F.greatest(value, first), last)
-    df = df.join(cells, "snapshot_id").withColumn("_at", value)
+    df = df.withColumn("_at", value)
     from heliospark.operators.lookup import _rank
 
-    spot = _rank(F.transform("_cells", lambda c: c["_lo"]), F.col("_at"), n)
-    df = df.withColumn("_cell", F.get("_cells", F.least(F.greatest(spot, F.lit(1)), n) - 1))
+    spot = _rank(F.transform(cells, lambda c: c["_lo"]), F.col("_at"), n)
+    df = df.withColumn("_cell", F.get(cells, F.least(F.greatest(spot, F.lit(1)), n) - 1))
     cell = F.col("_cell")
     return df.select(
-        *[c for c in df.columns if c not in ("_cells", "_at", "_cell")],
+        *[c for c in df.columns if c not in (f"_cells_{axis}", "_at", "_cell")],
         cell[f"i_{axis}0"].alias(f"i_{axis}0"), cell[f"i_{axis}1"].alias(f"i_{axis}1"),
         ((F.col("_at") - cell["_lo"]) / (cell["_hi"] - cell["_lo"])).alias(f"_f{axis}"),
     )

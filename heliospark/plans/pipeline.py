@@ -18,7 +18,7 @@ from heliospark.operators.lines import GridField
 from heliospark.operators.resample import StructuredBlock
 from heliospark.operators.stepper import TraceOptions
 from heliospark.operators.tiles import sample_tiles
-from heliospark.session import materialise
+from heliospark.session import large, materialise
 from heliospark.sources.structured import align_structured, cells_of
 
 #: Quality presets: resolution factor, supersample.
@@ -116,7 +116,7 @@ def build_field(cells: DataFrame | dict[str, StructuredBlock], cfg: RunConfig) -
         values = ["b_x", "b_y", "b_z"] + (["rho"] if "rho" in cells.columns else [])
         nodes = gen.grid_nodes(cells, cfg.grid)
         fitted = fit(nodes, cells, values)
-    packed = fitted.join(nodes.select("snapshot_id", "node_id", "i_r", "i_t", "i_p", "x", "y", "z"), ["snapshot_id", "node_id"])
+    packed = fitted.join(large(nodes.select("snapshot_id", "node_id", "i_r", "i_t", "i_p", "x", "y", "z")), ["snapshot_id", "node_id"])
     packed = materialise(packed.select("snapshot_id", "i_r", "i_t", "i_p", "x", "y", "z", *values), "field")
     density = None
     if "rho" in values:
@@ -192,7 +192,7 @@ def qmap_slice(
         return df.withColumn("radial_sign", F.lit(None).cast("long"))
     read = sample_tiles(at.select("snapshot_id", "seed_id", "x", "y", "z"), signs, sign_spec or spec, ["sign"], ["seed_id"])
     sign = read.select("snapshot_id", "seed_id", F.signum("sign").cast("long").alias("radial_sign"))
-    return df.join(sign, ["snapshot_id", "seed_id"])
+    return df.join(large(sign), ["snapshot_id", "seed_id"])
 
 
 def qmap_metrics(qmap: DataFrame) -> DataFrame:

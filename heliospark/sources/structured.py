@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from heliospark.functions.geometry import sph_to_cart, vec_file_angles
 from heliospark.operators.ranks import join_few
 from heliospark.operators.resample import StructuredBlock, resample_structured
+from heliospark.session import large, task_count
 
 #: Names a file of a set may carry.
 SET_VARIABLES = ("rho", "br", "bt", "bp", "vr", "vt", "vp", "t", "p")
@@ -53,10 +54,12 @@ def block_of(rows: DataFrame) -> StructuredBlock:
 
 def mesh_points(axes: DataFrame) -> DataFrame:
     """Every node of the mesh that three axes span."""
-    out = None
+    lists = [F.collect_list(F.when(F.col("axis") == a, F.struct("idx", "value"))).alias(f"_{a}") for a in "rtp"]
+    out = axes.groupBy("snapshot_id").agg(*lists)
     for a, c in zip("rtp", ("r", "theta", "phi")):
-        one = axes.where(F.col("axis") == a).select("snapshot_id", F.col("idx").alias(f"i_{a}"), F.col("value").alias(c))
-        out = one if out is None else out.join(one, "snapshot_id")
+        out = out.withColumn("_n", F.explode(f"_{a}")).withColumns({f"i_{a}": F.col("_n.idx"), c: F.col("_n.value")}).drop("_n", f"_{a}")
+        if a == "r":
+            out = out.repartition(task_count(axes.sparkSession), "snapshot_id", "i_r")
     return out
 
 
@@ -87,7 +90,7 @@ def align_structured(variables: dict[str, StructuredBlock]) -> DataFrame:
             named = points.withColumnsRenamed({f"i_{a}": f"h_{a}" for a in "rtp"})
             at = resample_structured(named, block, ["value"], ["h_r", "h_t", "h_p"], clamp_ends=False)
             value = at.withColumnsRenamed({f"h_{a}": f"i_{a}" for a in "rtp"} | {"value": name})
-        out = out.join(value, key)
+        out = out.join(large(value), key)
     b = vec_file_angles(F.col("br"), F.col("bt"), F.col("bp"), F.col("theta"), F.col("phi"))
     xyz = sph_to_cart(F.col("r"), F.col("theta"), F.col("phi"))
     named = [c.alias(n) for c, n in zip(xyz, "xyz")] + [c.alias(f"b_{n}") for c, n in zip(b, "xyz")]

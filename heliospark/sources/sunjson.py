@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heliospark.functions.imaging import sun_coordinates
 from heliospark.operators.lines import classify
+from heliospark.session import large
 
 DECIMALS = 6
 THICKNESS = 0.004
@@ -46,7 +47,7 @@ def line_documents(lines: DataFrame, paths: DataFrame, keep: Column | None = Non
         F.lit(THICKNESS).alias("thickness"),
         F.col("_topology").alias("topology"),
     )
-    return kept.join(lists, LINE).select(*LINE, F.to_json(geometry).alias("geometry"))
+    return kept.join(large(lists), LINE).select(*LINE, F.to_json(geometry).alias("geometry"))
 
 
 def document_time(timestamp: Column) -> Column:
