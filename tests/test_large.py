@@ -1,11 +1,14 @@
 """Sides of a join that grow with the rows stay off the driver, however small their files are."""
 
+import math
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heliospark.operators import resample, tiles
+from heliospark.functions.grid import GridSpec
+from heliospark.operators import generators, resample, stencil, tiles
 from heliospark.session import materialise
 from heliospark.sources.structured import block_of, mesh_points
 
@@ -55,3 +58,27 @@ def test_structured_nodes_are_not_broadcast(spark):
     for (i, j, _), v in ((k, v) for k, v in got.items() if k != (1, 2, 3)):
         assert abs(v - (1.0 + i + 10 * (0.5 + j))) < 1e-9
     assert len(got) >= 29
+
+
+def test_stencils_read_rings_and_bands(spark):
+    """Points are spread over few rows, nodes are not broadcast, and a hole in a map gives NULL where a stencil meets it."""
+    spec = GridSpec(5, 20, 6, inner=1.0, outer=2.5)
+    grid = generators.grid_nodes(spark.createDataFrame([(0,)], "snapshot_id long"), spec)
+    nodes = materialise(grid.withColumn("v", F.col("i_r") + F.cos("theta")), "nodes")
+    points = materialise(grid.select("snapshot_id", F.col("node_id").alias("pid"), *[(F.col(c) * 0.999).alias(c) for c in "xyz"]), "points")
+    read = stencil.interpolate(points, nodes, spec, ["v"], ["pid"])
+    assert "Broadcast" not in plan(read) and plan(read).count("Generate explode") <= 3
+    assert read.where("v IS NOT NULL").count() == spec.size
+
+    maps = nodes.where("i_r = 0").select("snapshot_id", F.lit(0).cast("long").alias("sphere"), "i_t", "i_p", F.cos("theta").alias("log_q"))
+    feet = grid.where("i_r = 0").select(
+        "snapshot_id", F.col("node_id").alias("pid"), F.lit(0).cast("long").alias("sphere"),
+        *[(F.col(c) + 0.25 * step).alias(c) for c, step in (("theta", spec.theta_step), ("phi", spec.phi_step))], "i_t", "i_p",
+    )
+    found = stencil.boundary_lookup(feet, maps.where("NOT (i_t = 9 AND i_p = 2)"), spec.n_theta, spec.n_phi, ["pid"])
+    assert "Broadcast" not in plan(found)
+    for row in found.join(feet, ["snapshot_id", "pid"]).collect():
+        # one row and one azimuth of nodes before a foot, two after
+        near = 7 <= row.i_t <= 10 and (2 - row.i_p) % 6 in (5, 0, 1, 2)
+        assert (row.log_q is None) == near
+        assert near or abs(row.log_q - math.cos(row.theta)) < 1e-2
