@@ -17,14 +17,18 @@ def write_volume(
     path: str, volume: DataFrame, spec: GridSpec, provenance: dict, radial_sign: DataFrame | None = None,
     sign_spec: GridSpec | None = None, density: DataFrame | None = None, density_spec: GridSpec | None = None, dtype: str = "float32",
 ) -> None:
-    """One Parquet folder per channel, partitioned by snapshot, and one metadata row."""
+    """One Parquet table per channel, ordered by snapshot, and one metadata row.
+
+    A snapshot lies together in few files, whose statistics lead a reader of one snapshot to it; there is no folder per
+    snapshot, so the number of files follows the size and not the number of snapshots.
+    """
     kinds = {"float32": "float", "float64": "double"}
     if dtype not in kinds:
         raise ValueError(f"dtype is 'float32' or 'float64', not {dtype!r}")
     grids = {"volume": spec.as_dict()}
 
     def put(name: str, df: DataFrame) -> None:
-        df.repartition("snapshot_id", "i_r").write.partitionBy("snapshot_id").parquet(f"{path}/{name}")
+        df.repartitionByRange("snapshot_id", "i_r").sortWithinPartitions(*_KEY).write.parquet(f"{path}/{name}")
 
     put("log_q", volume.select(*_KEY, F.col("log_q").cast(kinds[dtype])))
     if "polarity" in volume.columns:
@@ -80,11 +84,12 @@ def volume_provenance(input_facts: dict, field_facts: dict, volume_facts: dict,
 
 
 def write_frames(path: str, frame: DataFrame, values: list[str], camera=None) -> DataFrame:
-    """Pixel frames as FLOAT with their plane-of-sky axes."""
+    """Pixel frames as FLOAT with their plane-of-sky axes, ordered by snapshot."""
     keys = [c for c in ("snapshot_id", "pixel_id", "prow", "pcol") if c in frame.columns]
     axes = [c for c in ("px", "py", "rho", "theta", "phi") if c in frame.columns]
     out = frame.select(*keys, *[F.col(c).cast("float") for c in [*axes, *values]])
-    out.write.partitionBy("snapshot_id").parquet(path)
+    ordered = out.repartitionByRange("snapshot_id", "pixel_id" if "pixel_id" in keys else keys[-1])
+    ordered.sortWithinPartitions(*keys).write.parquet(path)
     return frame.sparkSession.read.parquet(path)
 
 

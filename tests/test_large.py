@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from heliospark.functions.grid import GridSpec
 from heliospark.operators import generators, resample, stencil, tiles
 from heliospark.session import materialise
+from heliospark.sources import store
 from heliospark.sources.structured import block_of, mesh_points
 
 COUNTED = T.StructType([T.StructField(c, T.LongType()) for c in ("snapshot_id", "tile", "points", "nodes")])
@@ -82,3 +83,16 @@ def test_stencils_read_rings_and_bands(spark):
         near = 7 <= row.i_t <= 10 and (2 - row.i_p) % 6 in (5, 0, 1, 2)
         assert (row.log_q is None) == near
         assert near or abs(row.log_q - math.cos(row.theta)) < 1e-2
+
+
+def test_files_at_rest_do_not_follow_the_snapshots(spark, tmp_path):
+    spec = GridSpec(4, 4, 4)
+    rows = generators.grid_nodes(spark.range(60).select(F.col("id").alias("snapshot_id")), spec)
+    rows = rows.select("snapshot_id", "i_r", "i_t", "i_p", (F.col("snapshot_id") + 0.25 * F.col("i_p")).alias("log_q"))
+    store.write_volume(str(tmp_path / "volume"), rows, spec, {})
+    frame = rows.select("snapshot_id", (F.col("i_r") * 16 + F.col("i_t") * 4 + F.col("i_p")).alias("pixel_id"), F.col("log_q").alias("mean"))
+    back = store.write_frames(str(tmp_path / "frames"), frame, ["mean"])
+    for name in ("volume/log_q", "frames"):
+        assert len(list((tmp_path / name).rglob("*.parquet"))) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read = store.read_volume(spark, str(tmp_path / "volume"))[0]["log_q"]
+    assert back.count() == 60 * spec.size and read.exceptAll(rows).isEmpty() and rows.exceptAll(read).isEmpty()
