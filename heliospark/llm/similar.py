@@ -1,13 +1,16 @@
-"""Near duplicates by similarity of word shingles: an exact self-join of sets.
+"""Near duplicates by similarity of word shingles: SimHash with an exact check, completed by an exact self-join of sets.
 
 Two texts are linked where the sets of their five-word shingles (ASCII case folded, white space as one space) have a
-Jaccard similarity of 0.8 or more; a text of fewer words is one shingle. Every such pair is found: with the shingles in one
+Jaccard similarity of 0.8 or more; a text of fewer words is one shingle. Sets have SimHash fingerprints (bits that over
+half of the shingles have); ``simhash.near_links`` finds those within ``distance`` bits by the generalised pigeonhole
+principle, and what it finds is verified on whole sets. Fingerprints at the least similarity differ in about 9.7 bits, so
+they alone would miss pairs; the others are found by an exact join: with the shingles in one
 order for all texts, the first ``n - ceil(0.8 n) + 1`` of both texts have one in common. The order is rare first, by
 counts in 2**18 buckets of hashes over all texts (a bucket that holds several shingles only makes the order worse, not
 the result), so that common lines and passages are not what texts meet in. What meets is pruned by sizes and by the
 places of the first common shingle, and verified on whole sets inside the join.
 
-Texts with equal sets are one node. All that share a shingle are first tried against one pivot for each shingle (the set with
+Texts with equal sets are one node. All that share a shingle are, with the pairs of near fingerprints, first tried against one pivot for each shingle (the set with
 the fewest rarer ones, which of a group of near copies is the text that they were made of), then
 those that are not yet in one component are tried in pairs, so a large group of near copies is not paired throughout.
 Shingles and sets have 64-bit names. Of each component the row with the smallest id stays; where all ids are null, one row.
@@ -29,6 +32,7 @@ from heliospark.llm.components import components
 from heliospark.llm.counts import cuts
 from heliospark.llm.flat import LOWER, SOLID_BYTES, mix, planes, prefix_hashes, runs, span_hashes, texts_of, unplanes, word_spans
 from heliospark.llm.frames import boxed, discard, field, materialise, parts, text_bytes
+from heliospark.llm.simhash import near_links, simhash
 
 #: Bits of a bucket's number; entries that a task holds before it passes them on; bytes of entries of a range.
 BUCKETS = 18
@@ -47,6 +51,8 @@ class SimilarOptions:
     #: Least similarity as a fraction.
     part: int = 4
     whole: int = 5
+    #: Bits in which fingerprints of candidates differ at most.
+    distance: int = 4
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -90,13 +96,17 @@ def sets_of(batch: pa.RecordBatch, options: SimilarOptions) -> Iterator[tuple[in
 
 
 def name_sets(docs: DataFrame, options: SimilarOptions) -> DataFrame:
-    """doc_id, a hash of the text, and the name of its set."""
-    schema = T.StructType([field(docs, "doc_id"), T.StructField("seal", T.LongType()), T.StructField("node", T.LongType())])
+    """doc_id, a hash of the text, the name of its set and the set's fingerprint."""
+    schema = T.StructType([field(docs, "doc_id"), *(T.StructField(c, T.LongType()) for c in ("seal", "node", "mark"))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = np.concatenate([np.zeros(0, np.uint64), *(s[3] for s in sets_of(batch, options))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("seal"), pa.array(names.view(np.int64))], schema.names)
+            names, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for _, _, grams, some in sets_of(batch, options):
+                names.append(some)
+                marks.append(simhash(np.concatenate(grams), np.array([len(g) for g in grams], np.int64)))
+            numbers = [pa.array(np.concatenate(x).view(np.int64)) for x in (names, marks)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("seal"), *numbers], schema.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("seal"), "text").mapInArrow(scan, schema)
 
@@ -213,10 +223,12 @@ def verified(docs: DataFrame, pairs: DataFrame, options: SimilarOptions) -> Data
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
+        sent: set[int] = set()  # copies leave a task once
         for batch in batches:
             for _, _, grams, names in sets_of(batch, options):
                 at = names >> np.uint64(64 - ASKED)
                 hit = np.flatnonzero((bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1)
+                hit = [r for r, name in zip(hit.tolist(), names[hit].tolist()) if not (name in sent or sent.add(name))]
                 for k in range(0, len(hit), 64):
                     some = hit[k : k + 64]
                     values = [grams[r].view(np.int64) for r in some]
@@ -254,12 +266,27 @@ def apart_pairs(placed: DataFrame, options: SimilarOptions) -> DataFrame:
     return a.join(b, apart).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
-def similar_links(docs: DataFrame, options: SimilarOptions) -> DataFrame:
+def marked_pairs(nodes: DataFrame, options: SimilarOptions) -> DataFrame:
+    """Pairs (u, v) of set names by fingerprints; ``nodes``: node, mark. Sets of one fingerprint are tried against one of
+    them, and these against each other where the fingerprints are near."""
+    marks = materialise(nodes.groupBy("mark").agg(F.min("node").alias("least")), "marks")
+    same = nodes.join(marks, "mark").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    first, second = marks.select(F.col("mark").alias("u"), F.col("least").alias("a")), marks.select(F.col("mark").alias("v"), F.col("least").alias("b"))
+    near = near_links(marks.select("mark"), options.distance).join(first, "u").join(second, "v")
+    pairs = materialise(same.unionAll(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))), "marked")
+    discard(marks)
+    return pairs
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, options: SimilarOptions) -> DataFrame:
     """Pairs (u, v) of set names that are similar, enough of them to connect all that are."""
+    marked = marked_pairs(nodes, options)
     shared = materialise(shared_entries(docs, bucket_counts(docs, options), options), "shared")
     size, place = F.col("size"), F.col("place")
     tried = shared.where(F.col("node") != F.col("pivot")).where(may_be((size, place), (F.col("pivot_size"), F.col("pivot_place")), options))
-    tried = materialise(tried.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct(), "tried")
+    tried = tried.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
+    tried = materialise(marked.unionAll(tried).distinct(), "tried")
+    discard(marked)
     links = verified(docs, tried, options)
     label = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
     placed = materialise(shared.select("key", "node", "size", "place").join(label, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
@@ -273,8 +300,8 @@ def without_similar(docs: DataFrame, options: SimilarOptions = SimilarOptions())
     """One document of each component: the one with the smallest id. Of identical rows one stays."""
     named = name_sets(docs, options)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "seal")
-    nodes = materialise(named.groupBy("node").agg(F.min(rank).alias("least")), "nodes")
-    roots = components(similar_links(docs, options)).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    nodes = materialise(named.groupBy("node").agg(F.min(rank).alias("least"), F.min("mark").alias("mark")), "nodes")
+    roots = components(similar_links(docs, nodes.select("node", "mark"), options)).select(F.col("u").alias("node"), F.col("v").alias("root"))
     first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     first = first.select(F.col("least.doc_id").alias("first_id"), F.col("least.seal").alias("first_seal")).distinct()
     first = materialise(first, "first")  # all that the result reads

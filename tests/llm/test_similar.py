@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from heliospark.llm.similar import SimilarOptions, apart_pairs, bucket_counts, shared_entries  # noqa: E402
+from heliospark.llm.similar import SimilarOptions, apart_pairs, bucket_counts, marked_pairs, name_sets, shared_entries  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -88,3 +88,21 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert got.columns == awkward(spark).columns
     assert {r.doc_id for r in got.collect()} - {None} == kept_ids(awkward_texts())
     assert stage(spark, empty(spark)).count() == 0
+
+
+def test_near_fingerprints_are_tried(spark):
+    """Sets within the fingerprints' distance are candidates, those of one fingerprint too; what is not similar is dropped."""
+    texts = [prose(k // 3, 400) for k in range(30)]
+    for k in range(0, 30, 3):  # one word of 400, then some 60
+        texts[k + 1] = texts[k].replace(texts[k].split()[200], "edited", 1)
+        texts[k + 2] = " ".join("edited" if j % 7 == 3 else w for j, w in enumerate(texts[k].split()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    options = SimilarOptions()
+    nodes = name_sets(docs, options).select("node", "mark").distinct()
+    bits = {r.node: r.mark for r in nodes.collect()}
+    pairs = {(r.u, r.v) for r in marked_pairs(nodes, options).collect()}
+    least = {m: min(n for n in bits if bits[n] == m) for m in bits.values()}
+    near = {(min(a, b), max(a, b)) for a in least.values() for b in least.values() if a != b and ((bits[a] ^ bits[b]) & (2**64 - 1)).bit_count() <= 4}
+    assert pairs == near | {(least[m], n) for n, m in bits.items() if least[m] != n}
+    assert len(pairs) >= 5
+    assert {r.doc_id for r in stage(spark, docs).collect()} == kept_ids(list(enumerate(texts)))
