@@ -146,11 +146,11 @@ def shared_entries(docs: DataFrame, counts: np.ndarray, options: SimilarOptions)
         order = common.value
 
         def passed() -> pa.RecordBatch:
-            columns = [np.concatenate([h[k] for h in held]) for k in range(4)]
-            rising = np.argsort(columns[0], kind="stable")
-            columns = [c[rising] for c in columns]
-            at = cuts(columns[0], ranges)
+            keys = np.concatenate([h[0] for h in held])
+            rising = np.argsort(keys, kind="stable")
+            at = cuts(keys[rising], ranges)
             full = np.flatnonzero(np.diff(at))
+            columns = (np.concatenate([h[j] for h in held])[rising] for j in range(4))  # one at a time
             packed = [pa.array([planes(c[at[k] : at[k + 1]]) for k in full], pa.binary()) for c in columns]
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *packed], ["range", *ENTRY])
 
@@ -303,10 +303,11 @@ def without_similar(docs: DataFrame, options: SimilarOptions = SimilarOptions())
     nodes = materialise(named.groupBy("node").agg(F.min(rank).alias("least"), F.min("mark").alias("mark")), "nodes")
     roots = components(similar_links(docs, nodes.select("node", "mark"), options)).select(F.col("u").alias("node"), F.col("v").alias("root"))
     first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
-    first = first.select(F.col("least.doc_id").alias("first_id"), F.col("least.seal").alias("first_seal")).distinct()
+    first = first.select(F.struct(F.col("least.doc_id").alias("id"), "least.seal").alias("key")).distinct()
     first = materialise(first, "first")  # all that the result reads
     discard(nodes)
-    kept = boxed(docs).withColumn("id", F.col("doc.doc_id")).withColumn("seal", F.xxhash64("doc.text"))
-    kept = kept.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("seal") == F.col("first_seal")), "left_semi")
-    same = Window.partitionBy("id", "seal").orderBy(F.lit(0))
+    # a struct equals another with a null in the same place, so join and window share one key and the texts move once
+    kept = boxed(docs).withColumn("key", F.struct(F.col("doc.doc_id").alias("id"), F.xxhash64("doc.text").alias("seal")).cast(first.schema["key"].dataType))
+    kept = kept.join(first, "key", "left_semi")
+    same = Window.partitionBy("key").orderBy(F.lit(0))
     return kept.withColumn("copy", F.row_number().over(same)).where("copy = 1").select("doc.*")
