@@ -1,7 +1,7 @@
 """A corpus from raw documents to packed sequences.
 
 Language identification drops documents in no known language, near-duplicate search keeps one document of each group,
-repeated byte strings leave the texts, documents with benchmark passages go, and the rest is packed into sequences.
+passages that repeat (over 50 words or 400 bytes) leave the texts, documents with benchmark passages go, and the rest is packed into sequences.
 Every stage reads what its predecessor wrote; all but the last keep the columns of ``documents``.
 """
 
@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_repeats(docs)
+    return without_repeats(docs, length=200, words=50, size=400)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

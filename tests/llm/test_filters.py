@@ -106,6 +106,26 @@ def test_text_without_repeats(docs):
     assert {r.doc_id: r.text for r in kept.collect()}[403] == "A."
 
 
+def test_passages_by_words(spark):
+    """A passage of over 50 words goes below 400 bytes too, a shorter one stays; 400 bytes go whatever their words."""
+    short, long, few = (" ".join(prose(k, 200).split()[:n]) for k, n in ((1, 40), (2, 52), (3, 20)))
+    solid = "x".join(prose(4, 200).split())[:450]
+    assert 200 <= len(short) and len(long) < 400
+    own = [prose(10 + k, 60, 5000) for k in range(8)]
+    rows = [(k, f"{own[k]}\n{p}\n{own[k + 4]}") for k, p in enumerate((short, short, long, long))]
+    rows += [(k, f"{prose(30 + k, 60, 5000)}\n{solid}\n{prose(40 + k, 60, 5000)}") for k in (4, 5)]
+    rows += [(k, t) for k, t in ((6, f"{few} {solid[:150]}"), (7, f"{few} {solid[:150]}"), (8, long), (9, long))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in repeated.without_repeats(docs, length=200, words=50, size=400).collect()}
+    before = dict(rows)
+    assert set(kept) == set(range(8))
+    for k in (0, 1, 6, 7):
+        assert kept[k] == before[k]
+    for k, p in ((2, long), (3, long), (4, solid), (5, solid)):
+        assert p not in kept[k] and len(before[k]) - len(p) - 8 <= len(kept[k]) <= len(before[k]) - len(p)
+    assert rows_of(repeated.repeated_bytes(docs, 200)) == repeats(rows, 200)
+
+
 def test_repeats_of_nothing(spark):
     assert repeated.repeated_bytes(empty(spark)).count() == 0
     assert repeated.without_repeats(empty(spark)).count() == 0
