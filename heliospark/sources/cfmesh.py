@@ -132,8 +132,13 @@ def mesh_boundary_synth(nodes: DataFrame, key: str = "file", tolerance: float =
 
 def cells_of(mesh: Mesh) -> DataFrame:
     """Cell centres with every variable."""
-    corners = mesh.elements.select("file", "cell_id", F.explode("node_ids").alias("node_id"))
-    return mesh_prism_center(corners, mesh.nodes).join(mesh_state_to_cell(mesh.elements, mesh.states), ["file", "cell_id"])
+    # corners, six to a cell, carry a 64-bit name of their file: its path folds well on disk but not in memory
+    name = F.xxhash64("file").alias("_file")
+    corners = mesh.elements.select(name, "cell_id", F.explode("node_ids").alias("node_id"))
+    centers = mesh_prism_center(corners, mesh.nodes.select(name, "node_id", *"xyz"), "_file")
+    cells = mesh_state_to_cell(mesh.elements, mesh.states).withColumn("_file", F.xxhash64("file"))
+    out = centers.join(cells, ["_file", "cell_id"])
+    return out.select("file", "cell_id", *[c for c in out.columns if c not in ("_file", "file", "cell_id")])
 
 
 def solution_info(mesh: Mesh, model: str = "mhd", normalization: str = "corona") -> DataFrame:

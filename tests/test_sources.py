@@ -66,6 +66,18 @@ def test_sectioned_mesh(spark, tmp_path, splitting):
     assert (info["n_nodes"], info["n_cells"], info["inner_radius"], info["outer_radius"]) == (10, 3, 1.0, 4.0)
 
 
+def test_corners_carry_no_path(spark):
+    """Two files of equal node ids: the join of the corners moves a short name of the file, and files stay apart."""
+    rows = [(f, n, float(n + 10 * k), 0.0, 1.0) for k, f in enumerate(("file:/a", "file:/b")) for n in range(3)]
+    nodes = spark.createDataFrame(rows, "file string, node_id long, x double, y double, z double")
+    elements = nodes.groupBy("file").agg(F.collect_list("node_id").alias("node_ids")).select("file", F.lit(0).cast("long").alias("cell_id"), "node_ids", F.lit(0).cast("long").alias("state_id"))
+    states = nodes.select("file", F.col("x").alias("rho"), F.col("node_id").alias("state_id")).where("state_id = 0")
+    got = cfmesh.cells_of(cfmesh.Mesh(nodes, elements, states, nodes, nodes, ("rho",)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [("(file" in line or "AND (file" in line) for line in plan.splitlines() if "Join" in line and "node_id" in line] == [False]
+    assert sorted((r.file, r.cell_id, r.x, r.rho) for r in got.collect()) == [("file:/a", 0, 1.0, 0.0), ("file:/b", 0, 11.0, 10.0)]
+
+
 def test_wrong_variable_count(spark, tmp_path):
     (tmp_path / "a.CFmesh").write_text(sectioned())
     with pytest.raises(Exception, match="NB_EQ=9"):
