@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliospark.llm.flat import mix
-from heliospark.llm.frames import boxed, field, fold
+from heliospark.llm.frames import boxed, field, fold, release
 
 UNKNOWN = "und"
 #: Rows and characters of a batch of texts that are turned into vectors at a time.
@@ -168,6 +168,7 @@ def predictions(rows: DataFrame, names: list[str], model: np.ndarray, options: L
                     langs += [names[j] if s else UNKNOWN for j, s in zip(best, some)]
                     scores += np.where(some, np.clip(cosine[np.arange(b - a), best], 0, 1), 0.0).tolist()
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["key", "lang_pred", "score"])
+        release()
 
     return rows.mapInArrow(predict, schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from heliospark.llm.flat import LOWER, byte_set, prefix_hashes, span_hashes, texts_of, word_spans
-from heliospark.llm.frames import field, materialise
+from heliospark.llm.frames import field, materialise, release
 
 #: Ranks of one kind of length are counted in so many parts, so that a length that most documents share is split.
 SALTS = 256
@@ -168,6 +168,7 @@ def pieces(docs: DataFrame, options: PackOptions) -> DataFrame:
                 if options.keep_ids:
                     columns.append(pa.array([p.tobytes() for p in parts], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from heliospark.llm.components import components
 from heliospark.llm.counts import cuts
 from heliospark.llm.flat import LOWER, SOLID_BYTES, mix, planes, prefix_hashes, runs, span_hashes, texts_of, unplanes, word_spans
-from heliospark.llm.frames import boxed, discard, field, materialise, parts, text_bytes
+from heliospark.llm.frames import boxed, discard, field, materialise, parts, release, text_bytes
 from heliospark.llm.simhash import near_links, simhash
 
 #: Bits of a bucket's number; entries that a task holds before it passes them on; bytes of entries of a range.
@@ -107,6 +107,7 @@ def name_sets(docs: DataFrame, options: SimilarOptions) -> DataFrame:
                 marks.append(simhash(np.concatenate(grams), np.array([len(g) for g in grams], np.int64)))
             numbers = [pa.array(np.concatenate(x).view(np.int64)) for x in (names, marks)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("seal"), *numbers], schema.names)
+        release()
 
     return docs.select("doc_id", F.xxhash64("text").alias("seal"), "text").mapInArrow(scan, schema)
 
@@ -121,6 +122,7 @@ def bucket_counts(docs: DataFrame, options: SimilarOptions) -> np.ndarray:
                 total += np.bincount((np.concatenate(grams) >> np.uint64(64 - BUCKETS)).astype(np.int64), minlength=len(total))
         chunks = total.reshape(64, -1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array([planes(c) for c in chunks])], ["chunk", "counts"])
+        release()
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
         total = sum(unplanes(c).astype(np.int64) for c in rows.column("counts").to_pylist())
@@ -167,8 +169,11 @@ def shared_entries(docs: DataFrame, counts: np.ndarray, options: SimilarOptions)
                             held, size = [], 0
         if held:
             yield passed()
+        held = []
+        release()
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        release()
         keys, nodes, sizes, places = (np.concatenate([unplanes(x) for x in rows.column(c).to_pylist()]) for c in ENTRY)
         order = np.lexsort((nodes, keys))
         keys, nodes, sizes, places = keys[order], nodes[order], sizes[order], places[order]
@@ -235,6 +240,7 @@ def verified(docs: DataFrame, pairs: DataFrame, options: SimilarOptions) -> Data
                     offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
                     yield pa.RecordBatch.from_arrays([pa.array(names[some].view(np.int64)), lists], ["node", "grams"])
+        release()
 
     found = docs.select("text").mapInArrow(scan, "node long, grams array<long>")
     sets = materialise(found.join(asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
