@@ -20,6 +20,8 @@ from heliospark.session import large, materialise
 
 #: Cells a bucket may hold before buckets are halved.
 BUCKET_CAP = 4096
+#: A snapshot of so many cells is one block; blocks are as wide as for so many neighbours at least.
+WHOLE_CELLS, LEAST_K = 2048, 30
 RIDGE = 1e-8
 
 
@@ -39,12 +41,15 @@ def _bucket(edge: Column, scale: float) -> list[Column]:
 
 
 def _bucket_edges(cells: DataFrame, k: int) -> DataFrame:
-    """First bucket edge of each snapshot: a ball of that radius holds about 1.5 k cells on average over the box."""
+    """First bucket edge of each snapshot: a ball of that radius holds about 1.5 k cells on average over the box.
+
+    For few neighbours it is no smaller than for LEAST_K, so that a block is worth its task.
+    """
     side = lambda c: F.max(c) - F.min(c)
     box = F.greatest(side("x"), side("y"), side("z"))
     n = F.count(F.lit(1))
     reach = F.greatest(*[F.max(F.abs(c)) for c in "xyz"]) * 1.7321
-    edge = box * F.pow(F.lit(0.36 * k) / n, F.lit(1.0 / 3.0))
+    edge = box * F.pow(F.lit(0.36 * max(k, LEAST_K)) / n, F.lit(1.0 / 3.0))
     return cells.groupBy("snapshot_id").agg(
         F.greatest(edge, F.lit(1e-12)).alias("_edge"), reach.alias("_reach"),
         n.alias("_count"),
@@ -89,23 +94,31 @@ def knn_join(points: DataFrame, cells: DataFrame, k: int, id_col: str = "pid") -
 def _around(points: DataFrame, cells: DataFrame, wanted: DataFrame, widest: int, id_col: str, values: list[str], kind, made) -> DataFrame:
     """What ``made`` makes of each point's nearest cells, as many as its snapshot's ``_wanted`` (at most ``widest``).
 
-    Space is cut into blocks two edges wide; a block's points meet the cells of the block and of a rim one
+    A snapshot of at most WHOLE_CELLS cells is one block, whose points all settle at once. Where there are more,
+    space is cut into blocks two edges wide; a block's points meet the cells of the block and of a rim one
     edge wide, in one task per block (several where many points share it). A point is settled once its last
     wanted cell lies within what the rim covers for sure; the rest goes on with blocks twice as wide. The result is
     made where the cells are, so no row per neighbour is ever shuffled. Cells at one position beyond the smallest ids
-    that could be chosen are dropped first.
+    that could be chosen are dropped first. Points and cells without a position take no part.
     """
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    cells, points = cells.where(placed), points.where(placed)
+    sizes = materialise(cells.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("_count")).join(wanted, "snapshot_id"), "sizes")
+    cells = cells.select("snapshot_id", F.col("cell_id").cast("long").alias("cell_id"), "x", "y", "z", *values)
+    points = points.select("snapshot_id", id_col, "x", "y", "z")
+    few, many = sizes.where(F.col("_count") <= WHOLE_CELLS), sizes.where(F.col("_count") > WHOLE_CELLS).drop("_count")
+    if many.isEmpty():
+        return _whole(points, cells, few, id_col, kind, made, values)
+    settled = []
+    if not few.isEmpty():
+        settled.append(_whole(points, join_few(cells, few.select("snapshot_id")), few, id_col, kind, made, values))
+    cells = join_few(cells, many.select("snapshot_id"))
     copies = Window.partitionBy("snapshot_id", "x", "y", "z").orderBy("cell_id")
-    sites = (
-        cells.select("snapshot_id", F.col("cell_id").cast("long").alias("cell_id"), "x", "y", "z", *values)
-        .withColumn("_copy", F.row_number().over(copies))
-        .where(F.col("_copy") <= widest)
-        .drop("_copy")
-    )
-    edges = materialise(_shrink_crowded(sites, _bucket_edges(sites, widest)).join(wanted, "snapshot_id"), "edges")
+    sites = cells.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= widest).drop("_copy")
+    edges = materialise(_shrink_crowded(sites, _bucket_edges(sites, widest)).join(many, "snapshot_id"), "edges")
     sites = join_few(sites, edges.select("snapshot_id", "_edge"))
-    waiting = join_few(points.select("snapshot_id", id_col, "x", "y", "z"), edges)
-    settled, scale = [], 1.0
+    waiting = join_few(points, edges)
+    scale = 1.0
     while True:
         step = materialise(_knn_round(waiting, sites, id_col, scale, values, kind, made), "knn-round")
         settled.append(step.where("_done").select("snapshot_id", id_col, "_near"))
@@ -119,6 +132,25 @@ def _around(points: DataFrame, cells: DataFrame, wanted: DataFrame, widest: int,
     return found
 
 
+def _whole(points: DataFrame, cells: DataFrame, few: DataFrame, id_col: str, kind, made, values: list[str]) -> DataFrame:
+    """The same for snapshots that are one block: every cell moves once (for each task of the block) and no point waits."""
+    tile = F.lit(0).cast("long").alias("tile")
+    asked = join_few(points, few.select("snapshot_id", "_wanted")).select("*", tile)
+    held = cells.select("*", tile)
+    schema = T.StructType([asked.schema["snapshot_id"], asked.schema[id_col], T.StructField("_near", kind)])
+
+    def evaluate(rows: pa.Table, block: pa.Table) -> pa.Table:
+        block = block.sort_by("cell_id")
+        xyz = np.stack([as_numpy(block, c) for c in "xyz"], axis=1)
+        at = np.stack([as_numpy(rows, c) for c in "xyz"], axis=1)
+        size = np.minimum(as_numpy(rows, "_wanted"), len(xyz)).astype(np.int64)
+        picks, gaps = _nearest(at, xyz, int(size.max(initial=1)))
+        near = made(block, at, xyz, picks, gaps, size, values)
+        return pa.Table.from_arrays([rows.column("snapshot_id"), rows.column(id_col), near], names=schema.names)
+
+    return tile_join(asked, held, [id_col], evaluate, schema)
+
+
 #: Block numbers of one axis lie within this of zero, so three of them pack into one key.
 _SPAN = 1 << 20
 
@@ -226,9 +258,19 @@ def rows_at_once(m: int) -> int:
 
 
 def resample_nearest(points: DataFrame, cells: DataFrame, values: list[str], id_col: str = "pid") -> DataFrame:
-    """Values of the nearest cell."""
-    one = knn_join(points, cells, 1, id_col).select("snapshot_id", id_col, "cell_id")
-    return one.join(large(cells.select("snapshot_id", "cell_id", *values)), ["snapshot_id", "cell_id"])
+    """Values of the nearest cell, taken where the cells are."""
+    wanted = cells.groupBy("snapshot_id").agg(F.lit(1).cast("long").alias("_wanted"))
+    kind = T.ArrayType(T.StructType([T.StructField("cell_id", T.LongType()), *[T.StructField(v, cells.schema[v].dataType) for v in values]]))
+    near = _around(points, cells, wanted, 1, id_col, values, kind, _taken).select("snapshot_id", id_col, F.get("_near", F.lit(0)).alias("_n"))
+    return near.where(F.col("_n").isNotNull()).select("snapshot_id", F.col("_n")["cell_id"].alias("cell_id"), id_col, *[F.col("_n")[v].alias(v) for v in values])
+
+
+def _taken(block: pa.Table, at, xyz, picks, gaps, size, values) -> pa.Array:
+    """Ids and values, nearest first."""
+    chosen = pa.array(picks[np.arange(picks.shape[1]) < size[:, None]])
+    columns = [block.column(c).combine_chunks().take(chosen) for c in ("cell_id", *values)]
+    structs = pa.StructArray.from_arrays(columns, names=["cell_id", *values])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), structs)
 
 
 _MOMENTS = ["n00", "n01", "n02", "n03", "n11", "n12", "n13", "n22", "n23", "n33"]

@@ -96,3 +96,30 @@ def test_files_at_rest_do_not_follow_the_snapshots(spark, tmp_path):
         assert len(list((tmp_path / name).rglob("*.parquet"))) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     read = store.read_volume(spark, str(tmp_path / "volume"))[0]["log_q"]
     assert back.count() == 60 * spec.size and read.exceptAll(rows).isEmpty() and rows.exceptAll(read).isEmpty()
+
+
+def near_by_hand(points, cells, k):
+    out = set()
+    for p in points:
+        gaps = sorted((math.dist(p[2:], c[2:5]), c[1]) for c in cells if c[0] == p[0])
+        out |= {(*p[:2], rank, cell) for rank, (_, cell) in enumerate(gaps[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 40, 2048])
+def test_small_snapshots_settle_in_one_block(spark, monkeypatch, most):
+    """Snapshots of few cells go as one block each; those of more, and few beside more, give the same."""
+    spot = lambda i, a: tuple(((i * m + a) % 101) / 25.0 - 2.0 for m in (37, 59, 83))
+    cells = [(s, 1000 * s + i, *spot(i, s), f"c{i}") for s, n in ((0, 30), (1, 90), (2, 3)) for i in range(n)]
+    points = [(s, 100 * s + i, *spot(7 * i + 3, s)) for s in range(4) for i in range(12)]
+    at = "x double, y double, z double"
+    held = spark.createDataFrame(cells + [(0, 999, None, 0.0, 0.0, "nowhere")], f"snapshot_id long, cell_id long, {at}, tag string")
+    asked = spark.createDataFrame(points + [(0, 99, None, 0.0, 0.0)], f"snapshot_id long, pid long, {at}")
+    monkeypatch.setattr(resample, "WHOLE_CELLS", most)
+    if most == 2048:  # no rounds at all
+        monkeypatch.setattr(resample, "_knn_round", None)
+    for k in (1, 3):
+        got = {(r.snapshot_id, r.pid, r["rank"], r.cell_id) for r in resample.knn_join(asked, held, k).collect()}
+        assert got == near_by_hand(points, cells, k)
+    tags = {(r.snapshot_id, r.pid, 1, r.cell_id) for r in resample.resample_nearest(asked, held, ["tag"]).collect() if r.tag == f"c{r.cell_id % 1000}"}
+    assert tags == near_by_hand(points, cells, 1)
