@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heliospark.session import materialise
 from heliospark.sources.text_rows import after, numbered, text_rows
 
 BRICK = 8
@@ -97,7 +98,7 @@ def _blocks(zones: DataFrame) -> DataFrame:
 def read_tecplot(spark: SparkSession, path: str) -> ZoneTables:
     """Token numbers place every value in its block, so files split freely."""
     rows = text_rows(spark, path)
-    zones = _zones(rows)
+    zones = materialise(_zones(rows), "zones")
     # variable names decide the columns, so the one header line is read here
     names = [r["names"] for r in zones.select("names").distinct().limit(2).collect()]
     if len(names) != 1 or not names[0]:
@@ -107,9 +108,6 @@ def read_tecplot(spark: SparkSession, path: str) -> ZoneTables:
     )
     body = body.select("file", "split", "row", F.split(F.trim("line"), r"\s+").alias("w"))
     placed = numbered(body, ["file"], F.size("w"), "first")
-    tokens = placed.select("file", "first", F.posexplode("w").alias("_k", "token")).select(
-        "file", (F.col("first") + F.col("_k")).alias("n"), "token"
-    )
     # the body must hold exactly what the zone states; the check sits in a join key, so it always runs
     held = body.groupBy("file").agg(F.sum(F.size("w")).alias("_held"))
     stated = F.sum("length").over(Window.partitionBy("file"))
@@ -119,9 +117,13 @@ def read_tecplot(spark: SparkSession, path: str) -> ZoneTables:
         .withColumn("start", F.when(F.col("_held") == F.col("_stated"), F.col("start")).otherwise(F.raise_error(problem).cast("long")))
         .select(F.col("file").alias("_file"), "name", "length", "start")
     )
-    inside = (F.col("n") >= F.col("start")) & (F.col("n") < F.col("start") + F.col("length"))
-    values = tokens.join(spans, (F.col("file") == F.col("_file")) & inside)
-    values = values.select("file", "name", (F.col("n") - F.col("start")).alias("i"), "token")
+    # a line meets the blocks that it holds values of, and only then its tokens become rows; written once, as three tables read it
+    end, close = F.col("first") + F.size("w"), F.col("start") + F.col("length")
+    lines = placed.join(spans, (F.col("file") == F.col("_file")) & (F.col("first") < close) & (end > F.col("start")))
+    low = F.greatest(F.col("first"), F.col("start"))
+    part = F.slice("w", (low - F.col("first") + 1).cast("int"), (F.least(end, close) - low).cast("int"))
+    lines = materialise(lines.select("file", "name", (low - F.col("start")).alias("i"), part.alias("w")), "zone-lines")
+    values = lines.select("file", "name", "i", F.posexplode("w").alias("_k", "token")).select("file", "name", (F.col("i") + F.col("_k")).alias("i"), "token")
     coordinates = [n for n in names[0] if n in COORDINATES]
     fields = [n for n in names[0] if n not in COORDINATES]
     if len(coordinates) != 3:

@@ -96,6 +96,19 @@ def test_zone_file(spark, tmp_path, splitting, where):
     assert zone.zones.first()["solution_time"] == 2.5
 
 
+def test_zone_lines_meet_blocks_once(spark, tmp_path):
+    """One table of placed lines serves nodes, cells and corners; a line may hold values of several blocks."""
+    text = zoned()
+    head, body = text[: text.index("ZONE")], text[text.index("ZONE") :].split("\n", 1)
+    words = body[1].split()
+    (tmp_path / "a.plt").write_text(head + body[0] + "\n" + "\n".join(" ".join(words[k : k + 7]) for k in range(0, len(words), 7)) + "\n")
+    zone = tecplot.read_tecplot(spark, str(tmp_path))
+    for table in (zone.nodes, zone.cells, zone.corners):
+        assert "Join" not in table._jdf.queryExecution().optimizedPlan().toString()
+    cells = cfmesh.mesh_prism_center(zone.corners, zone.nodes).join(zone.cells, ["file", "cell_id"]).orderBy("cell_id").toPandas()
+    assert cells[["Bx", "By", "Bz"]].to_numpy().tolist() == FIELD and cells["x"].tolist() == CENTRES
+
+
 def test_zone_file_refusals(spark, tmp_path):
     point, second, short = tmp_path / "p", tmp_path / "s", tmp_path / "t"
     point.mkdir(), second.mkdir(), short.mkdir()
