@@ -18,7 +18,7 @@ A null doc_id is not held out and learned from. Repeated rows count as often as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliospark.llm.counts import cuts, merged, pack_counts, totals
-from heliospark.llm.flat import LOWER, SOLID_BYTES, mix, planes, prefix_hashes, span_hashes, texts_of, unplanes, word_spans
+from heliospark.llm.flat import LOWER, SOLID_BYTES, mix, planes, prefix_hashes, runs, span_hashes, texts_of, unplanes, word_spans
 from heliospark.llm.frames import field, fold, materialise, parts, text_bytes
 
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -72,6 +72,12 @@ def pair_names(before: np.ndarray, names: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x2545F4914F6CDD1D) + names)
 
 
+def distinct(names: np.ndarray) -> np.ndarray:
+    """Each name once, rising. Names are sorted: ``np.unique`` without inverse hashes them, which takes far longer."""
+    names = np.sort(names)
+    return names[runs(names)[0]]
+
+
 def count_tokens(docs: DataFrame, ranges: int) -> DataFrame:
     """Counts of words (kind 1) and of pairs (kind 2) of each range, summed within tasks."""
 
@@ -152,6 +158,31 @@ def range_levels(part: bytes, names: np.ndarray, options: ModelOptions) -> np.nd
     return np.where(counts > 0, levels_of(counts, options.least), 0).astype(np.uint8)
 
 
+def _at_once(asked: list[bytes], found_of: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """What is found for the names of all slices together: with more input a slice asks a range for fewer of them."""
+    each = [unplanes(raw) for raw in asked]
+    found = found_of(np.concatenate([np.zeros(0, np.uint64), *each]))
+    return np.split(found, np.cumsum([len(e) for e in each])[:-1]) if each else []
+
+
+def word_answers(names: np.ndarray, counts: np.ndarray, asked: list[bytes]) -> list[bytes]:
+    """The counts of the words that each slice asks a range for."""
+
+    def found(wanted: np.ndarray) -> np.ndarray:
+        if not len(names):
+            return np.zeros(len(wanted), np.int64)
+        at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+        return np.where(names[at] == wanted, counts[at], 0)
+
+    return [planes(x) for x in _at_once(asked, found)]
+
+
+def pair_answers(part: bytes | None, asked: list[bytes], options: ModelOptions) -> list[bytes]:
+    """The levels of the pairs that each slice asks a range for; a range without a part has no pairs."""
+    none = lambda wanted: np.zeros(len(wanted), np.uint8)
+    return [x.tobytes() for x in _at_once(asked, none if part is None else lambda wanted: range_levels(part, wanted, options))]
+
+
 def score(docs: DataFrame, options: ModelOptions = ModelOptions()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     size = text_bytes(docs)
@@ -179,16 +210,16 @@ def score(docs: DataFrame, options: ModelOptions = ModelOptions()) -> DataFrame:
     counted = materialise(count_tokens(train, ranges).groupBy("kind", "range").applyInArrow(add, added), "counts")
     n_all, n_different = (int(x or 0) for x in counted.where("kind = 1").agg(F.sum("total"), F.sum("different")).first())
 
-    def different(rows: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
-        """Tokens of a slice's texts, its different words and its different pairs."""
-        held = [(a, b, *tokens(d, o)) for a, b, d, o in texts_of(rows, "text")]
-        none = np.zeros(0, np.uint64)
-        words = np.unique(np.concatenate([none, *(np.unique(h[2]) for h in held)]))
-        return held, words, np.unique(np.concatenate([none, *(np.unique(pair_names(contexts(h[2], h[3]), h[2])) for h in held)]))
+    def all_tokens(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of a slice's texts, how many each text has, and the pairs that the tokens end."""
+        held = [tokens(d, o) for _, _, d, o in texts_of(rows, "text")]
+        names, sizes = (np.concatenate([h[j] for h in held]) for j in range(2))
+        return names, sizes, pair_names(contexts(names, sizes), names)
 
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
         found: dict[str, list] = {c: [] for c in ("kind", "range", "names")}
-        for kind, names in enumerate(different(rows)[1:], 1):
+        words, _, pairs = all_tokens(rows)
+        for kind, names in enumerate((distinct(words), distinct(pairs)), 1):
             at = cuts(names, ranges)
             for k in np.flatnonzero(np.diff(at)):
                 for values, value in zip(found.values(), (kind, int(k), planes(names[at[k] : at[k + 1]]))):
@@ -203,17 +234,11 @@ def score(docs: DataFrame, options: ModelOptions = ModelOptions()) -> DataFrame:
         )
 
     def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
-        kind, out = key[0].as_py(), []
-        names, counts = merged(known) if kind == 1 else (None, None)
-        for raw in asked.column("names").to_pylist():
-            wanted = unplanes(raw)
-            if kind == 2:
-                found = range_levels(known.column("names")[0].as_py(), wanted, options) if known.num_rows else np.zeros(len(wanted), np.uint8)
-                out.append(found.tobytes())
-                continue
-            at = np.minimum(np.searchsorted(names, wanted), max(len(names) - 1, 0))
-            found = np.where(names[at] == wanted, counts[at], 0) if len(names) else np.zeros(len(wanted), np.int64)
-            out.append(planes(found))
+        raws = asked.column("names").to_pylist()
+        if key[0].as_py() == 1:
+            out = word_answers(*merged(known), raws)
+        else:
+            out = pair_answers(known.column("names")[0].as_py() if known.num_rows else None, raws, options)
         return pa.table({"slice": asked.column("slice"), "kind": asked.column("kind"), "range": asked.column("range"), "counts": pa.array(out, pa.binary())})
 
     out_schema = T.StructType(
@@ -222,31 +247,29 @@ def score(docs: DataFrame, options: ModelOptions = ModelOptions()) -> DataFrame:
     )
 
     def assess(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        held, names, pairs = different(rows)
-        at, pair_at = cuts(names, ranges), cuts(pairs, ranges)
+        token, sizes, pair = all_tokens(rows)
+        names, word_at = np.unique(token, return_inverse=True)
+        pairs, pair_at = np.unique(pair, return_inverse=True)
+        starts = {1: cuts(names, ranges), 2: cuts(pairs, ranges)}
         counts, levels = np.zeros(len(names), np.int64), np.zeros(len(pairs), np.uint8)
         for kind, k, raw in zip(*(answers.column(c).to_pylist() for c in ("kind", "range", "counts"))):
+            part = slice(starts[kind][k], starts[kind][k + 1])
             if kind == 1:
-                counts[at[k] : at[k + 1]] = unplanes(raw).astype(np.int64)
+                counts[part] = unplanes(raw).astype(np.int64)
             else:
-                levels[pair_at[k] : pair_at[k + 1]] = np.frombuffer(raw, np.uint8)
-        n_texts = counts[names == END].sum()
-        columns: list[list[np.ndarray]] = [[] for _ in range(4)]
-        for a, b, token, sizes in held:
-            first = np.cumsum(sizes) - sizes
-            count = counts[np.searchsorted(names, token)]
-            chance = (count + 0.5) / (n_all + 0.5 * (n_different + 1))
-            before = contexts(token, sizes)
-            context = np.empty(len(token))
-            context[1:] = count[:-1]
-            context[first] = n_texts
-            level = levels[np.searchsorted(pairs, pair_names(before, token))]
-            pair = np.where(level > 0, options.least * 2.0 ** (level.astype(np.int64) - 1), 0)
-            share = np.minimum(pair / np.maximum(context, 1), 1) * (context > 0)
-            mixed = np.log10((1 - options.mix) * chance + options.mix * share)
-            for column, value in zip(columns, (sizes, np.add.reduceat((count > 0).astype(np.int64), first), np.add.reduceat(np.log10(chance), first), np.add.reduceat(mixed, first))):
-                column.append(value)
-        return pa.table([rows.column("doc_id"), *(pa.array(np.concatenate(c)) for c in columns)], [f.name for f in out_schema])
+                levels[part] = np.frombuffer(raw, np.uint8)
+        first = np.cumsum(sizes) - sizes
+        count = counts[word_at]
+        chance = (count + 0.5) / (n_all + 0.5 * (n_different + 1))
+        context = np.empty(len(token))
+        context[1:] = count[:-1]
+        context[first] = counts[names == END].sum()
+        level = levels[pair_at]
+        times = np.where(level > 0, options.least * 2.0 ** (level.astype(np.int64) - 1), 0)
+        share = np.minimum(times / np.maximum(context, 1), 1) * (context > 0)
+        mixed = np.log10((1 - options.mix) * chance + options.mix * share)
+        columns = [sizes, *(np.add.reduceat(x, first) for x in ((count > 0).astype(np.int64), np.log10(chance), mixed))]
+        return pa.table([rows.column("doc_id"), *map(pa.array, columns)], [f.name for f in out_schema])
 
     key = F.pmod(F.xxhash64("doc_id", F.crc32(F.encode("text", "UTF-8"))), F.lit(slices)).alias("slice")
     texts = docs.select("doc_id", "text", key)
