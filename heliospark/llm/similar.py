@@ -8,7 +8,8 @@ they alone would miss pairs; the others are found by an exact join: with the shi
 order for all texts, the first ``n - ceil(0.8 n) + 1`` of both texts have one in common. The order is rare first, by
 counts in 2**18 buckets of hashes over all texts (a bucket that holds several shingles only makes the order worse, not
 the result), so that common lines and passages are not what texts meet in. What meets is pruned by sizes and by the
-places of the first common shingle, and verified on whole sets inside the join.
+places of the first common shingle and by counts of both sets' shingles in bins, which bound what they share from above,
+and verified on whole sets inside the join.
 
 Texts with equal sets are one node. All that share a shingle are, with the pairs of near fingerprints, first tried against one pivot for each shingle (the set with
 the fewest rarer ones, which of a group of near copies is the text that they were made of), then
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +35,14 @@ from heliospark.llm.counts import cuts
 from heliospark.llm.flat import LOWER, SOLID_BYTES, mix, planes, prefix_hashes, runs, span_hashes, texts_of, unplanes, word_spans
 from heliospark.llm.frames import boxed, discard, field, materialise, parts, release, text_bytes
 from heliospark.llm.simhash import near_links, simhash
+from heliospark.session import large
 
 #: Bits of a bucket's number; entries that a task holds before it passes them on; bytes of entries of a range.
 BUCKETS = 18
 ENTRIES = 1 << 19
 RANGE = 8 << 20
+#: Bins that a set's shingles are counted in: what two sets share is at most the sum of the lesser counts.
+BINS = 256
 #: Bits of the table that tells which sets are asked for; a set too many is dropped in the join.
 ASKED = 23
 
@@ -88,6 +93,12 @@ def set_name(grams: np.ndarray) -> np.uint64:
     return mix(np.add.reduce(mix(grams), keepdims=True, dtype=np.uint64) + np.uint64(len(grams)))[0]
 
 
+def bin_counts(grams: np.ndarray) -> bytes | None:
+    """How many shingles a set has in each bin; none where a count does not fit a byte."""
+    counts = np.bincount((grams & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
 def sets_of(batch: pa.RecordBatch, options: SimilarOptions) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
     """(first row, last row, shingles, names of the sets) of a batch, portion by portion."""
     for a, b, data, offsets in texts_of(batch, "text"):
@@ -96,17 +107,19 @@ def sets_of(batch: pa.RecordBatch, options: SimilarOptions) -> Iterator[tuple[in
 
 
 def name_sets(docs: DataFrame, options: SimilarOptions) -> DataFrame:
-    """doc_id, a hash of the text, the name of its set and the set's fingerprint."""
-    schema = T.StructType([field(docs, "doc_id"), *(T.StructField(c, T.LongType()) for c in ("seal", "node", "mark"))])
+    """doc_id, a hash of the text, the name of its set, the set's fingerprint and its counts by bin."""
+    schema = T.StructType([field(docs, "doc_id"), *(T.StructField(c, T.LongType()) for c in ("seal", "node", "mark")), T.StructField("bins", T.BinaryType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            bins: list[bytes | None] = []
             for _, _, grams, some in sets_of(batch, options):
                 names.append(some)
                 marks.append(simhash(np.concatenate(grams), np.array([len(g) for g in grams], np.int64)))
+                bins += map(bin_counts, grams)
             numbers = [pa.array(np.concatenate(x).view(np.int64)) for x in (names, marks)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("seal"), *numbers], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("seal"), *numbers, pa.array(bins, pa.binary())], schema.names)
         release()
 
     return docs.select("doc_id", F.xxhash64("text").alias("seal"), "text").mapInArrow(scan, schema)
@@ -204,6 +217,26 @@ def may_be(a: tuple[Column, Column], b: tuple[Column, Column], options: SimilarO
     )
 
 
+def likely(pairs: DataFrame, nodes: DataFrame, options: SimilarOptions) -> DataFrame:
+    """Those of the pairs (u, v) whose counts by bin allow enough shared shingles: a bound from above, so no similar pair is
+    lost, and whole sets are moved for few others. ``nodes``: node, bins."""
+    part, whole = options.part, options.whole
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            known = pc.and_(pc.is_valid(rows.column("a")), pc.is_valid(rows.column("b")))
+            yield from rows.filter(pc.invert(known)).select(["u", "v"]).to_batches()  # no counts: nothing is known
+            rows = rows.filter(known)
+            a, b = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in "ab")
+            shared, both = (x.sum(axis=1, dtype=np.int64) for x in (np.minimum(a, b), a.astype(np.uint16) + b))
+            yield from rows.filter(pa.array(shared * (part + whole) >= both * part)).select(["u", "v"]).to_batches()
+
+    met = pairs.join(large(nodes.select(F.col("node").alias("u"), F.col("bins").alias("a"))), "u")
+    met = met.join(large(nodes.select(F.col("node").alias("v"), F.col("bins").alias("b"))), "v")
+    return met.select("u", "v", "a", "b").mapInArrow(scan, "u long, v long")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, options: SimilarOptions) -> DataFrame:
     """Those of the pairs (u, v) of set names whose sets are similar enough."""
     asked = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
@@ -285,19 +318,21 @@ def marked_pairs(nodes: DataFrame, options: SimilarOptions) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, options: SimilarOptions) -> DataFrame:
-    """Pairs (u, v) of set names that are similar, enough of them to connect all that are."""
-    marked = marked_pairs(nodes, options)
+    """Pairs (u, v) of set names that are similar, enough of them to connect all that are. ``nodes``: node, mark, bins."""
+    marked = marked_pairs(nodes.select("node", "mark"), options)
     shared = materialise(shared_entries(docs, bucket_counts(docs, options), options), "shared")
     size, place = F.col("size"), F.col("place")
     tried = shared.where(F.col("node") != F.col("pivot")).where(may_be((size, place), (F.col("pivot_size"), F.col("pivot_place")), options))
     tried = tried.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
     tried = materialise(marked.unionAll(tried).distinct(), "tried")
     discard(marked)
-    links = verified(docs, tried, options)
+    able = materialise(likely(tried, nodes, options), "likely")
+    links = verified(docs, able, options)
+    discard(able)
     label = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
     placed = materialise(shared.select("key", "node", "size", "place").join(label, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     discard(shared)
-    rest = materialise(apart_pairs(placed, options).join(tried, ["u", "v"], "left_anti"), "rest")
+    rest = materialise(likely(apart_pairs(placed, options).join(tried, ["u", "v"], "left_anti"), nodes, options), "rest")
     discard(placed, tried)
     return links.unionAll(verified(docs, rest, options))
 
@@ -306,8 +341,8 @@ def without_similar(docs: DataFrame, options: SimilarOptions = SimilarOptions())
     """One document of each component: the one with the smallest id. Of identical rows one stays."""
     named = name_sets(docs, options)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "seal")
-    nodes = materialise(named.groupBy("node").agg(F.min(rank).alias("least"), F.min("mark").alias("mark")), "nodes")
-    roots = components(similar_links(docs, nodes.select("node", "mark"), options)).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    nodes = materialise(named.groupBy("node").agg(F.min(rank).alias("least"), F.min("mark").alias("mark"), F.min("bins").alias("bins")), "nodes")
+    roots = components(similar_links(docs, nodes.select("node", "mark", "bins"), options)).select(F.col("u").alias("node"), F.col("v").alias("root"))
     first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     first = first.select(F.struct(F.col("least.doc_id").alias("id"), "least.seal").alias("key")).distinct()
     first = materialise(first, "first")  # all that the result reads

@@ -244,6 +244,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 7, span
     key = F.struct("doc_id", F.xxhash64("text").alias("text"))
     judged = contamination(docs.select(key.alias("doc_id"), "text"), benchmark, k, span)
     bad = judged.where("contaminated").select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.text").alias("text")).distinct()
+    bad = materialise(bad, "contaminated")  # few: Spark then knows its size and need not move the texts
     rows = boxed(docs)
     same = rows["doc.doc_id"].eqNullSafe(bad["id"]) & (F.xxhash64(rows["doc.text"]) == bad["text"])
     return rows.join(bad, same, "left_anti").select("doc.*")

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from brute import awkward, awkward_texts, contamination, empty, near, prose, repeats, rows_of
+from pyspark.sql import functions as F
 
 from heliospark.llm import repeats as repeated
 from heliospark.llm.pack import PackOptions, generate_patterns, pack, round_patterns
@@ -166,3 +167,12 @@ def test_thresholds_add_up(total):
     pairs = (bits.T.astype(float) @ bits) * total / 2000
     plan = allocate(total, pairs, 4)
     assert sum(most + 1 for _, most in plan) == 5 and len({b for g, _ in plan for b in g}) == sum(len(g) for g, _ in plan)
+
+
+def test_texts_meet_the_contaminated_ones_as_a_written_table(spark):
+    """A side of unknown size would make Spark move all texts."""
+    docs = spark.createDataFrame([(k, " ".join(f"a{k}b{j}" for j in range(30))) for k in range(8)], "doc_id long, text string")
+    clean = without_contaminated(docs, docs.where("doc_id in (2, 5)").select(F.col("doc_id").alias("item_id"), "text"))
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "SortMergeJoin" not in plan
+    assert {r.doc_id for r in clean.collect()} == {0, 1, 3, 4, 6, 7}

@@ -10,9 +10,11 @@ from brute import awkward, awkward_texts, empty, prose
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
+import numpy as np  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from heliospark.llm.similar import SimilarOptions, apart_pairs, bucket_counts, marked_pairs, name_sets, shared_entries  # noqa: E402
+from heliospark.llm import similar  # noqa: E402
+from heliospark.llm.similar import BINS, SimilarOptions, apart_pairs, bucket_counts, likely, marked_pairs, name_sets, shared_entries  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -106,3 +108,24 @@ def test_near_fingerprints_are_tried(spark):
     assert pairs == near | {(least[m], n) for n, m in bits.items() if least[m] != n}
     assert len(pairs) >= 5
     assert {r.doc_id for r in stage(spark, docs).collect()} == kept_ids(list(enumerate(texts)))
+
+
+def test_counts_by_bin_drop_no_similar_pair(spark):
+    rng = random.Random(11)
+    sets = {k: set(rng.sample(range(1 << 60), 150)) for k in range(30)}
+    for k in range(30):  # 30 + k share ever more of the other's, 60 + k some tenth
+        for base, kept in ((30, 90 + 2 * k), (60, 20)):
+            sets[base + k] = set(rng.sample(sorted(sets[k]), kept)) | set(rng.sample(range(1 << 60), 150 - kept))
+    sets[90] = {j * BINS for j in range(256)}  # 256 in one bin
+    sets[91] = {j * BINS for j in range(300, 700)}
+    sets[92] = {7}
+    counts = {k: similar.bin_counts(np.array(sorted(s), np.uint64)) for k, s in sets.items()}
+    assert counts[90] is None and counts[91] is None
+    pairs = [(k, b + k) for k in range(30) for b in (30, 60)] + [(90, 91), (90, 92), (1, 92)]
+    enough = lambda a, b: 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))
+    nodes = spark.createDataFrame([(k, c) for k, c in counts.items()], "node long, bins binary")
+    got = {(r.u, r.v) for r in likely(spark.createDataFrame(pairs, "u long, v long"), nodes, SimilarOptions()).collect()}
+    assert {p for p in pairs if enough(*p)} <= got
+    assert {(90, 91), (90, 92)} <= got and (1, 92) not in got
+    assert not any((k, 60 + k) in got for k in range(30))
+    assert likely(spark.createDataFrame([(90, 91)], "u long, v long"), nodes, SimilarOptions()).count() == 1
