@@ -123,3 +123,19 @@ def test_small_snapshots_settle_in_one_block(spark, monkeypatch, most):
         assert got == near_by_hand(points, cells, k)
     tags = {(r.snapshot_id, r.pid, 1, r.cell_id) for r in resample.resample_nearest(asked, held, ["tag"]).collect() if r.tag == f"c{r.cell_id % 1000}"}
     assert tags == near_by_hand(points, cells, 1)
+
+
+def test_tiles_of_much_work_keep_their_tasks(spark):
+    """Spark puts the tiles of small tables into one task by their bytes; a superstep's work is not in its bytes."""
+
+    def counted(rows: pa.Table, nodes: pa.Table) -> pa.Table:
+        n = min(rows.num_rows, 1)
+        keys = [rows.column(c).slice(0, n) for c in ("snapshot_id", "tile")]
+        return pa.table([*keys, *(pa.array([t.num_rows] * n, pa.int64()) for t in (rows, nodes))], names=COUNTED.names)
+
+    key = [(F.col("id") % 7).alias("snapshot_id"), (F.col("id") % 3).alias("tile")]
+    points = materialise(spark.range(420).select("id", *key), "points")
+    nodes = materialise(spark.range(840).select(F.lit(1.0).alias("v"), *key), "nodes")
+    made = [tiles.tile_join(points, nodes, ["id"], counted, COUNTED, tasks=tasks) for tasks in (5, None)]
+    assert made[0].rdd.getNumPartitions() == 5
+    assert sorted(made[0].collect()) == sorted(made[1].collect()) and made[0].count() == 21
