@@ -30,3 +30,8 @@ def test_gives_rows(spark, name):
 
 def test_only_registered_sql():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_boundary_map_has_both_spheres(spark):
+    rows = QUERIES["boundary_map"](spark, SF).groupBy("snapshot_id").pivot("sphere", [0, 1]).count().collect()
+    assert rows and all(r["0"] == r["1"] == 8 * 12 for r in rows)
