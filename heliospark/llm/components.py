@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliospark.llm.frames import discard, materialise
+from heliospark.session import large as merged
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
     if large:
         links = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    met = links.join(least, "u")
+    met = links.join(merged(least), "u")
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from heliospark.llm.components import components
 from heliospark.llm.frames import boxed, field, materialise
+from heliospark.session import large
 
 BITS = 64
 
@@ -183,7 +184,8 @@ def near_links(marks: DataFrame, distance: int) -> DataFrame:
     )
     verified = (asked["part"] == kept["part"]) & (asked["key"] == kept["key"]) & (asked["u"] < kept["v"])
     verified &= F.bit_count(asked["u"].bitwiseXOR(kept["v"])) <= distance
-    return asked.join(kept, verified).select("u", "v").distinct()
+    # Spark sizes neither side by the rows that the explode makes of one
+    return asked.join(large(kept), verified).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, options: SimHashOptions = SimHashOptions()) -> DataFrame:
@@ -191,11 +193,11 @@ def near_duplicates(docs: DataFrame, options: SimHashOptions = SimHashOptions())
     named = materialise(fingerprints(docs, options), "marks")
     nodes = materialise(named.groupBy("mark").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(near_links(nodes.select("mark"), options.distance))
-    placed = nodes.join(roots.select(F.col("u").alias("mark"), F.col("v").alias("root")), "mark", "left")
+    placed = nodes.join(large(roots.select(F.col("u").alias("mark"), F.col("v").alias("root"))), "mark", "left")
     placed = placed.select("mark", "least", F.coalesce("root", "mark").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = placed.join(least, "root").select("mark", "component_id")
-    return named.join(component, "mark").select(
+    component = placed.join(large(least), "root").select("mark", "component_id")
+    return named.join(large(component), "mark").select(
         "doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -204,6 +206,6 @@ def without_near_duplicates(docs: DataFrame, options: SimHashOptions = SimHashOp
     """One document of each component: the one with the smallest id. Of identical rows one stays."""
     first = near_duplicates(docs, options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = boxed(docs).withColumn("id", F.col("doc.doc_id"))
-    kept = kept.join(first, F.col("id").eqNullSafe(first["doc_id"]), "left_semi")
+    kept = kept.join(large(first), F.col("id").eqNullSafe(first["doc_id"]), "left_semi")
     same = Window.partitionBy("id", F.xxhash64("doc.text")).orderBy(F.lit(0))
     return kept.withColumn("copy", F.row_number().over(same)).where("copy = 1").select("doc.*")

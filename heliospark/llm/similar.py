@@ -276,9 +276,9 @@ def verified(docs: DataFrame, pairs: DataFrame, options: SimilarOptions) -> Data
         release()
 
     found = docs.select("text").mapInArrow(scan, "node long, grams array<long>")
-    sets = materialise(found.join(asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    met = pairs.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u")
-    met = met.join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
+    sets = materialise(found.join(large(asked), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    met = pairs.join(large(sets.select(F.col("node").alias("u"), F.col("grams").alias("a"))), "u")
+    met = met.join(large(sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))), "v")
     both = F.size(F.array_intersect("a", "b"))
     enough = both * (options.part + options.whole) >= (F.size("a") + F.size("b")) * options.part
     out = materialise(met.where(enough).select("u", "v"), "links")
@@ -302,16 +302,16 @@ def apart_pairs(placed: DataFrame, options: SimilarOptions) -> DataFrame:
     larger = (F.col("a.size") > F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.node") > F.col("b.node")))
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.sizes") == F.col("b.sizes")) & larger & (F.col("a.root") != F.col("b.root"))
     apart &= may_be((F.col("a.size"), F.col("a.place")), (F.col("b.size"), F.col("b.place")), options)
-    return a.join(b, apart).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    return a.join(large(b), apart).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
 def marked_pairs(nodes: DataFrame, options: SimilarOptions) -> DataFrame:
     """Pairs (u, v) of set names by fingerprints; ``nodes``: node, mark. Sets of one fingerprint are tried against one of
     them, and these against each other where the fingerprints are near."""
     marks = materialise(nodes.groupBy("mark").agg(F.min("node").alias("least")), "marks")
-    same = nodes.join(marks, "mark").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    same = nodes.join(large(marks), "mark").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
     first, second = marks.select(F.col("mark").alias("u"), F.col("least").alias("a")), marks.select(F.col("mark").alias("v"), F.col("least").alias("b"))
-    near = near_links(marks.select("mark"), options.distance).join(first, "u").join(second, "v")
+    near = near_links(marks.select("mark"), options.distance).join(large(first), "u").join(large(second), "v")
     pairs = materialise(same.unionAll(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))), "marked")
     discard(marks)
     return pairs
@@ -330,9 +330,9 @@ def similar_links(docs: DataFrame, nodes: DataFrame, options: SimilarOptions) ->
     links = verified(docs, able, options)
     discard(able)
     label = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    placed = materialise(shared.select("key", "node", "size", "place").join(label, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    placed = materialise(shared.select("key", "node", "size", "place").join(large(label), "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     discard(shared)
-    rest = materialise(likely(apart_pairs(placed, options).join(tried, ["u", "v"], "left_anti"), nodes, options), "rest")
+    rest = materialise(likely(apart_pairs(placed, options).join(large(tried), ["u", "v"], "left_anti"), nodes, options), "rest")
     discard(placed, tried)
     return links.unionAll(verified(docs, rest, options))
 
@@ -343,12 +343,12 @@ def without_similar(docs: DataFrame, options: SimilarOptions = SimilarOptions())
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "seal")
     nodes = materialise(named.groupBy("node").agg(F.min(rank).alias("least"), F.min("mark").alias("mark"), F.min("bins").alias("bins")), "nodes")
     roots = components(similar_links(docs, nodes.select("node", "mark", "bins"), options)).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    first = nodes.join(large(roots), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     first = first.select(F.struct(F.col("least.doc_id").alias("id"), "least.seal").alias("key")).distinct()
     first = materialise(first, "first")  # all that the result reads
     discard(nodes)
     # a struct equals another with a null in the same place, so join and window share one key and the texts move once
     kept = boxed(docs).withColumn("key", F.struct(F.col("doc.doc_id").alias("id"), F.xxhash64("doc.text").alias("seal")).cast(first.schema["key"].dataType))
-    kept = kept.join(first, "key", "left_semi")
+    kept = kept.join(large(first), "key", "left_semi")
     same = Window.partitionBy("key").orderBy(F.lit(0))
     return kept.withColumn("copy", F.row_number().over(same)).where("copy = 1").select("doc.*")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliospark.functions.grid import GridSpec
+from heliospark.llm import similar, simhash
 from heliospark.operators import generators, resample, stencil, tiles
 from heliospark.session import materialise
 from heliospark.sources import store
@@ -139,3 +140,18 @@ def test_tiles_of_much_work_keep_their_tasks(spark):
     made = [tiles.tile_join(points, nodes, ["id"], counted, COUNTED, tasks=tasks) for tasks in (5, None)]
     assert made[0].rdd.getNumPartitions() == 5
     assert sorted(made[0].collect()) == sorted(made[1].collect()) and made[0].count() == 21
+
+
+def test_fingerprints_are_not_broadcast(spark):
+    # the files of the fingerprints are small, their probes are some fifty times as many rows
+    marks = materialise(spark.range(2000).select(F.xxhash64("id").alias("mark")), "marks")
+    links = simhash.near_links(marks, 4)
+    assert "Broadcast" not in plan(links)
+    assert links.count() == 0
+
+
+def test_pairs_of_texts_are_not_broadcast(spark):
+    placed = materialise(spark.range(100).selectExpr("id % 5 AS key", "id AS node", "10L AS size", "0L AS place", "id AS root"), "placed")
+    pairs = similar.apart_pairs(placed, similar.SimilarOptions())
+    assert "Broadcast" not in plan(pairs)
+    assert pairs.count() == 5 * 20 * 19 // 2
