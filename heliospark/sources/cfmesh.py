@@ -7,8 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliospark.sources.text_rows import numbered, section_rows, text_rows
+from heliospark.operators.stencil import on_ring, rings
+from heliospark.session import large
+from heliospark.sources.text_rows import beside, few_files, numbered, section_rows, text_rows
 
+#: Nodes of a block that corners are read from at once.
+BLOCK = 64
 VARIABLES = ("rho", "vx", "vy", "vz", "Bx", "By", "Bz", "p", "psi")
 
 
@@ -31,6 +35,7 @@ def _words(line: Column) -> Column:
 def read_cfmesh(spark: SparkSession, path: str, variables: tuple[str, ...] | None = None) -> Mesh:
     names = tuple(variables or VARIABLES)
     rows = text_rows(spark, path)
+    few = few_files(rows)
     keyword = rows.where(F.col("line").startswith("!")).select(
         "file", "split", "row",
         F.regexp_extract("line", r"^(\S+)", 1).alias("key"),
@@ -53,7 +58,7 @@ def read_cfmesh(spark: SparkSession, path: str, variables: tuple[str, ...] | Non
         F.when(F.col("key") == "!LIST_GEOM_ENT", F.concat(F.lit("face:"), F.col("surface"))).otherwise(F.col("key")).alias("section"),
         F.col("split").alias("s_split"), F.col("row").alias("s_row"), "e_split", "e_row",
     )
-    body = numbered(section_rows(rows.where(~F.col("line").startswith("!") & (F.trim("line") != "")), lists), ["file", "section"])
+    body = numbered(section_rows(rows.where(~F.col("line").startswith("!") & (F.trim("line") != "")), lists, few), ["file", "section"], few=few)
     body = body.withColumn("w", _words(F.col("line")))
     part = lambda name: body.where(F.col("section") == name)
     # filters may be evaluated in any order, so a cast must not fail on a row another filter drops
@@ -66,7 +71,7 @@ def read_cfmesh(spark: SparkSession, path: str, variables: tuple[str, ...] | Non
     elements = part("!LIST_ELEM").select(
         "file", F.col("number").alias("cell_id"), corners.alias("node_ids"), F.try_element_at("w", F.lit(-1)).try_cast("long").alias("state_id")
     )
-    states = part("!LIST_STATE").join(header.select("file", "n_equations"), "file").select(
+    states = part("!LIST_STATE").join(beside(few, header.select("file", "n_equations")), "file").select(
         "file", F.when(F.col("n_equations").isNotNull(), F.col("number")).alias("state_id"),
         *[number(k, "double").alias(n) for k, n in enumerate(names)],
     )
@@ -100,6 +105,24 @@ def mesh_prism_center(corners: DataFrame, nodes: DataFrame, key: str = "file") -
     )
 
 
+def cell_centers(cells: DataFrame, nodes: DataFrame, key: str = "file") -> DataFrame:
+    """As ``mesh_prism_center`` for cells that list their nodes (``node_ids``): a cell goes to the blocks of nodes that it lies
+    in, mostly one, and each block adds up its corners, so neither corners nor their positions move one by one."""
+    block = lambda n: F.floor(n / BLOCK)
+    place = lambda n: F.pmod(n, F.lit(BLOCK)).cast("int")
+    held = rings(nodes.select(key, block(F.col("node_id")).alias("node_id_block"), place(F.col("node_id")).alias("i_p"), *"xyz"), [key, "node_id_block"], list("xyz"))
+    asked = cells.select(key, "cell_id", "node_ids", F.explode(F.array_distinct(F.transform("node_ids", block))).alias("node_id_block"))
+    inside = F.transform(F.filter("node_ids", lambda n: block(n) == F.col("node_id_block")), place)
+    met = asked.select(key, "cell_id", "node_id_block", inside.alias("_at")).join(large(held), [key, "node_id_block"])
+    # a node that is missing counts for nothing
+    met = met.select(key, "cell_id", F.filter(F.transform("_at", on_ring), lambda n: n.isNotNull()).alias("_n")).where(F.size("_n") > 0)
+    total = lambda c: F.aggregate("_n", F.lit(0.0), lambda s, n: s + F.coalesce(n[c], F.lit(0.0)))
+    known = lambda c: F.size(F.filter("_n", lambda n: n[c].isNotNull()))
+    sums = [part(c).alias(f"_{k}{c}") for k, part in (("s", total), ("c", known)) for c in "xyz"]
+    mean = [F.try_divide(F.sum(f"_s{c}"), F.sum(f"_c{c}")).alias(c) for c in "xyz"]
+    return met.select(key, "cell_id", *sums).groupBy(key, "cell_id").agg(*mean)
+
+
 def mesh_boundary_tag(face_nodes: DataFrame, nodes: DataFrame, key: str = "file") -> DataFrame:
     """Mean node radius of each tagged surface and its role in order of radius."""
     radius = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
@@ -132,10 +155,9 @@ def mesh_boundary_synth(nodes: DataFrame, key: str = "file", tolerance: float =
 
 def cells_of(mesh: Mesh) -> DataFrame:
     """Cell centres with every variable."""
-    # corners, six to a cell, carry a 64-bit name of their file: its path folds well on disk but not in memory
+    # rows carry a 64-bit name of their file: its path folds well on disk but not in memory
     name = F.xxhash64("file").alias("_file")
-    corners = mesh.elements.select(name, "cell_id", F.explode("node_ids").alias("node_id"))
-    centers = mesh_prism_center(corners, mesh.nodes.select(name, "node_id", *"xyz"), "_file")
+    centers = cell_centers(mesh.elements.select(name, "cell_id", "node_ids"), mesh.nodes.select(name, "node_id", *"xyz"), "_file")
     cells = mesh_state_to_cell(mesh.elements, mesh.states).withColumn("_file", F.xxhash64("file"))
     out = centers.join(cells, ["_file", "cell_id"])
     return out.select("file", "cell_id", *[c for c in out.columns if c not in ("_file", "file", "cell_id")])

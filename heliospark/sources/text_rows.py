@@ -10,6 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heliospark.operators.ranks import BROADCAST_ROWS
+from heliospark.session import large
+
+#: Sections of a file that are reckoned with where it is decided whether their table is broadcast.
+SECTIONS = 5
+
 
 def text_rows(spark: SparkSession, path: str) -> DataFrame:
     """Columns file, split, row (increasing within the split), line."""
@@ -21,19 +27,29 @@ def text_rows(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def few_files(rows: DataFrame) -> bool:
+    """Whether a table of a few rows per file may be broadcast: text lines then stay where they are read."""
+    return SECTIONS * len(rows.inputFiles()) <= BROADCAST_ROWS
+
+
+def beside(few: bool | None, table: DataFrame) -> DataFrame:
+    """A table of a few rows per file, as the side of a join with text lines (None: as Spark sizes it)."""
+    return table if few is None else F.broadcast(table) if few else large(table)
+
+
 def after(split: Column, row: Column, split0: Column, row0: Column) -> Column:
     return (split > split0) | ((split == split0) & (row > row0))
 
 
-def section_rows(rows: DataFrame, sections: DataFrame) -> DataFrame:
+def section_rows(rows: DataFrame, sections: DataFrame, few: bool | None = None) -> DataFrame:
     """Rows strictly between a section's start and its end; sections: file, section, s_*, e_* (NULL: to the end)."""
     inside = after(F.col("split"), F.col("row"), F.col("s_split"), F.col("s_row")) & (
         F.col("e_split").isNull() | after(F.col("e_split"), F.col("e_row"), F.col("split"), F.col("row"))
     )
-    return rows.join(sections, "file").where(inside).select("file", "section", "split", "row", "line")
+    return rows.join(beside(few, sections), "file").where(inside).select("file", "section", "split", "row", "line")
 
 
-def numbered(rows: DataFrame, keys: list[str], size: Column | None = None, name: str = "number") -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], size: Column | None = None, name: str = "number", few: bool | None = None) -> DataFrame:
     """Zero-based number of each row within ``keys``, or of its first unit where rows hold ``size`` units."""
     if size is None:
         per_split = rows.groupBy(*keys, "split").agg(
@@ -47,5 +63,5 @@ def numbered(rows: DataFrame, keys: list[str], size: Column | None = None, name:
         place = F.col("_place")
     before = Window.partitionBy(*keys).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_split.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    out = rows.join(offsets, [*keys, "split"]).withColumn(name, (F.col("_before") + place).cast("long"))
+    out = rows.join(beside(few, offsets), [*keys, "split"]).withColumn(name, (F.col("_before") + place).cast("long"))
     return out.drop("_first", "_n", "_before", "_size", "_place")

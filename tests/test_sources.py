@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heliospark.functions.grid import GridSpec
-from heliospark.sources import cfmesh, store, structured, sunjson, tecplot
+from heliospark.sources import cfmesh, store, structured, sunjson, tecplot, text_rows
 
 # three triangles around a top, each raised from radius 1 to radius 4
 BASE = [(1, 0, 0), (0, 1, 0), (-1, 0, 0), (0, -1, 0), (0, 0, 1)]
@@ -168,3 +168,29 @@ def test_grid_rules():
             GridSpec(*bad)
     with pytest.raises(ValueError):
         GridSpec(8, 8, 8, spacing="cubic")
+
+
+def test_cell_centers_by_blocks(spark):
+    """Cells that list their nodes have the centres that a join corner by corner gives, wherever their nodes lie."""
+    nodes = spark.range(1000).where("id % 97 <> 5").selectExpr("id % 2 AS file", "id AS node_id", "sin(id) AS x", "IF(id % 13 = 0, NULL, cos(id)) AS y", "id * 0.5D AS z")
+    lists = spark.range(300).selectExpr("id % 2 AS file", "id AS cell_id", "array(id, id + 2, id + 64, (id * 37) % 1000, id, 5L, 2000L, NULL) AS node_ids")
+    lists = lists.unionAll(spark.sql("SELECT 0L, 900L, array(2000L, 5L)")).unionAll(spark.sql("SELECT 1L, 901L, array(13L)")).unionAll(spark.sql("SELECT 1L, 902L, CAST(NULL AS ARRAY<BIGINT>)"))
+    corners = lists.select("file", "cell_id", F.explode("node_ids").alias("node_id"))
+    want = {(r.file, r.cell_id): r for r in cfmesh.mesh_prism_center(corners, nodes).collect()}
+    got = {(r.file, r.cell_id): r for r in cfmesh.cell_centers(lists, nodes).collect()}
+    assert set(got) == set(want) and (0, 900) not in got and got[1, 901].y is None
+    for k, r in want.items():
+        assert all((a is None and b is None) or abs(a - b) < 1e-12 for a, b in zip(r[2:], got[k][2:]))
+
+
+@pytest.mark.parametrize("most", [text_rows.BROADCAST_ROWS, 0])
+def test_lines_of_few_files_stay_where_they_are_read(spark, monkeypatch, tmp_path, most):
+    monkeypatch.setattr(text_rows, "BROADCAST_ROWS", most)
+    text = "!NB_EQ 2\n!LIST_ELEM\n0 1 2 0\n!LIST_NODE\n0 0 0\n1 0 0\n0 1 0\n!LIST_STATE 1\n7 8\n!END\n"
+    for k in range(3):
+        (tmp_path / f"mesh{k}.CFmesh").write_text(text)
+    mesh = cfmesh.read_cfmesh(spark, str(tmp_path), ("rho", "p"))
+    states = mesh.states
+    moved = states._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+    assert (moved > 0) == (most == 0)
+    assert sorted((r.state_id, r.rho, r.p) for r in states.collect()) == [(0, 7.0, 8.0)] * 3
